@@ -181,14 +181,16 @@ def hrefs() -> Column:
     return F.filter(F.col("anchors"), lambda a: has(a, "href"))
 
 
-def internal_links(base: Column) -> Column:
-    """H5: links to the same site."""
-    return F.filter(hrefs(), lambda a: U.same_site(base, a["abs"]))
+def internal_links(site: Column) -> Column:
+    """H5: links to the same site; ``site`` is its host without ``www.``."""
+    return F.filter(F.col("anchors"), lambda a: (a["host"] == site) & (site != ""))
 
 
-def outbound_links(base: Column) -> Column:
+def outbound_links(site: Column) -> Column:
     """H5: links written with an http address that leave the site."""
-    return F.filter(hrefs(), lambda a: attr(a, "href").startswith("http") & ~U.same_site(base, a["abs"]))
+    return F.filter(
+        F.col("anchors"), lambda a: attr_or(a, "href").startswith("http") & (F.coalesce(a["host"], F.lit("")) != site)
+    )
 
 
 def footer_link(pattern: str) -> Column:
@@ -198,10 +200,10 @@ def footer_link(pattern: str) -> Column:
     )
 
 
-def matching_link(base: Column, pattern: str) -> Column:
+def matching_link(site: Column, pattern: str) -> Column:
     """First same-site link whose resolved address or text matches."""
     return first(
-        internal_links(base), lambda a: P.test(a["abs"], pattern) | P.test(collapse(a["text"]), pattern)
+        internal_links(site), lambda a: P.test(a["abs"], pattern) | P.test(collapse(a["text"]), pattern)
     )
 
 
@@ -220,9 +222,9 @@ def see_also_count() -> Column:
     return F.aggregate(around, F.lit(0), lambda acc, x: acc + x)
 
 
-def contextual_internal(base: Column) -> Column:
+def contextual_internal(site: Column) -> Column:
     """H5: same-site links inside a paragraph."""
-    return F.filter(internal_links(base), lambda a: inside(a, "p"))
+    return F.filter(internal_links(site), lambda a: inside(a, "p"))
 
 
 # --- assets -------------------------------------------------------------------------------------
@@ -556,10 +558,10 @@ def head_blocking() -> Column:
     )
 
 
-def third_party_scripts(base: Column) -> Column:
+def third_party_scripts(site: Column) -> Column:
     """Scripts from another site, with their deferred flag."""
     other = F.filter(
-        F.col("scripts"), lambda s: has(s, "src") & (text_or_empty(s["abs"]) != "") & ~U.same_site(base, s["abs"])
+        F.col("scripts"), lambda s: (text_or_empty(s["abs"]) != "") & (s["host"] != site)
     )
     return F.transform(
         other, lambda s: has(s, "async") | has(s, "defer") | (F.lower(attr_or(s, "type")) == "module")
@@ -584,11 +586,10 @@ def api_urls(origin: Column, limit: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(resolved, lambda u: u != "")), 1, limit)
 
 
-def subdomain_hosts(base: Column) -> Column:
+def subdomain_hosts(own: Column) -> Column:
     """Hosts below the site's own host."""
-    own = U.bare_host(base)
     el = F.concat(F.col("anchors"), F.col("images"), F.col("scripts"), F.col("link_tags"), F.col("nodes"))
-    hosts = F.transform(F.filter(el, lambda e: e["abs"].isNotNull()), lambda e: U.bare_host(e["abs"]))
+    hosts = F.transform(F.filter(el, lambda e: e["host"].isNotNull()), lambda e: e["host"])
     return F.array_distinct(F.filter(hosts, lambda h: (h != own) & h.endswith(F.concat(F.lit("."), own))))
 
 
@@ -677,10 +678,10 @@ def has_byline() -> Column:
     return marked | P.test(F.col("body_text"), r"\b(by|written by|reviewed by)\s+[A-Z][a-z]+")
 
 
-def bio_link(base: Column) -> Column:
+def bio_link(site: Column) -> Column:
     """H22."""
     return first(
-        internal_links(base),
+        internal_links(site),
         lambda a: P.test(F.concat_ws(" ", a["abs"], trim_blank(text_or_empty(a["text"]))), "author|team|about|bio|profile"),
     )
 

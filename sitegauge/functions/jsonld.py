@@ -56,13 +56,7 @@ def get_array(value: Column, key: str) -> Column:
 
 def truthy(value: Column) -> Column:
     """Present and not null, false, zero or the empty string."""
-    scalar = F.try_variant_get(value, "$", "string")
-    return F.coalesce(
-        value.isNotNull()
-        & ~F.is_variant_null(value)
-        & (scalar.isNull() | ~scalar.isin("", "0", "false")),
-        F.lit(False),
-    )
+    return ~F.coalesce(F.to_json(value), F.lit("null")).isin("null", "false", "0", '""')
 
 
 def has_key(value: Column, key: str) -> Column:
@@ -170,24 +164,31 @@ def first(values: Column) -> Column:
     return F.get(values, 0)
 
 
-def text_value(value: Column, numbers: bool = False, depth: int = 3) -> Column:
+_TEXT_KEYS = ("name", "url", "@id")
+
+
+def _text_paths(prefix: str, depth: int = 2) -> list[str]:
+    """JSON paths a text may come from, in order of preference."""
+    out = [prefix]
+    if depth:
+        for key in _TEXT_KEYS:
+            out += _text_paths(f'{prefix}["{key}"]', depth - 1)
+    return out
+
+
+def text_value(value: Column, numbers: bool = False, prefix: str = "$") -> Column:
     """A string, else the text of name, url or ``@id``; numbers only where asked for."""
-    own = string_of(value)
-    if numbers:
-        numeric = F.when(
-            F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "string")
-        )
-        own = F.coalesce(own, numeric)
-    out = trim_blank(own)
-    if depth > 0:
-        for key in ("name", "url", "@id"):
-            nested = text_value(get(value, key), numbers, depth - 1)
-            out = F.coalesce(F.when(out != "", out), F.when(is_object(value), nested))
-    return F.coalesce(out, F.lit(""))
+    kinds = "^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)" if numbers else "^STRING"
+    found = F.array(*[F.try_variant_get(value, path, "variant") for path in _text_paths(prefix)])
+    texts = F.transform(
+        F.filter(found, lambda v: F.schema_of_variant(v).rlike(kinds)),
+        lambda v: trim_blank(F.try_variant_get(v, "$", "string")),
+    )
+    return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), 0), F.lit(""))
 
 
 def text_of(record: Column, key: str, numbers: bool = False) -> Column:
-    return text_value(get(record, key), numbers)
+    return text_value(record, numbers, f'$["{key}"]')
 
 
 # Address parts in the order they are written out.
@@ -196,8 +197,7 @@ ADDRESS_PARTS = ("streetAddress", "addressLocality", "addressRegion", "postalCod
 
 def address_text(record: Column) -> Column:
     """Address parts joined with commas."""
-    address = get(record, "address")
-    parts = F.array(*[text_of(address, key, numbers=True) for key in ADDRESS_PARTS])
+    parts = F.array(*[text_value(record, True, f'$["address"]["{key}"]') for key in ADDRESS_PARTS])
     return F.array_join(F.filter(parts, lambda p: p != ""), ", ")
 
 

@@ -153,20 +153,29 @@ def add_months_rolling(date: Column, months: int) -> Column:
     return F.date_add(first, F.dayofmonth(date) - 1)
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` as a lambda variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def heading_case(value: Column) -> Column:
     """Title / sentence / upper / mixed / unknown."""
-    words = F.filter(F.split(value, f"{P.BLANK}+"), lambda w: w.rlike("[A-Za-z]"))
-    n = F.size(words)
-    title_words = F.size(F.filter(words, lambda w: w.rlike("^[A-Z][a-z0-9]+")))
-    lower_rest = F.size(F.filter(F.slice(words, 2, F.greatest(n, F.lit(1))), lambda w: w.rlike("^[a-z0-9]")))
-    sentence = trim_blank(value).rlike("^[A-Z]") & (lower_rest >= F.greatest(F.lit(1), n - 2))
-    return (
-        F.when(n == 0, "unknown")
-        .when(rate(title_words, n) >= 0.65, "title")
-        .when(sentence, "sentence")
-        .when((value == F.upper(value)) & value.rlike("[A-Z]"), "upper")
-        .otherwise("mixed")
-    )
+
+    def classify(words: Column) -> Column:
+        n = F.size(words)
+        title_words = F.size(F.filter(words, lambda w: w.rlike("^[A-Z][a-z0-9]+")))
+        lower_all = F.size(F.filter(words, lambda w: w.rlike("^[a-z0-9]")))
+        lower_rest = lower_all - F.get(words, 0).rlike("^[a-z0-9]").cast("int")
+        sentence = trim_blank(value).rlike("^[A-Z]") & (lower_rest >= F.greatest(F.lit(1), n - 2))
+        return (
+            F.when(n == 0, "unknown")
+            .when(title_words >= n * 0.65, "title")
+            .when(sentence, "sentence")
+            .when((value == F.upper(value)) & value.rlike("[A-Z]"), "upper")
+            .otherwise("mixed")
+        )
+
+    return let(F.filter(F.split(value, f"{P.BLANK}+"), lambda w: w.rlike("[A-Za-z]")), classify)
 
 
 def dominant_case(cases: Column) -> Column:

@@ -9,21 +9,25 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+# The helper travels inside the task, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELEMENT = (
-    "struct<ord:int,last:int,tag:string,up:string,attrs:map<string,string>,abs:string,text:string,"
+    "struct<ord:int,last:int,tag:string,up:string,attrs:map<string,string>,abs:string,host:string,text:string,"
     "hid:boolean,excl:boolean,crumb:boolean,rel:boolean>"
 )
 _ARROW_ELEMENT = pa.struct(
     [
         ("ord", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("up", pa.string()),
-        ("attrs", pa.map_(pa.string(), pa.string())), ("abs", pa.string()), ("text", pa.string()),
+        ("attrs", pa.map_(pa.string(), pa.string())), ("abs", pa.string()), ("host", pa.string()), ("text", pa.string()),
         ("hid", pa.bool_()), ("excl", pa.bool_()), ("crumb", pa.bool_()), ("rel", pa.bool_()),
     ]
 )
@@ -109,6 +113,13 @@ def resolve(base: str, href: str) -> str:
         return ""
 
 
+def bare_host(url: str) -> str:
+    """U4: host without port and leading ``www.``, ``''`` for addresses without one."""
+    if "://" not in url:
+        return ""
+    return url.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0].rsplit("@", 1)[-1].split(":", 1)[0].removeprefix("www.")
+
+
 class _Tree:
     """Elements of one document in preorder, with text as offsets into one string."""
 
@@ -416,7 +427,8 @@ def parse_page(source: str, base: str) -> dict:
         http_refs += attrs.get("src", "").startswith("http://") or attrs.get("href", "").startswith("http://")
         family = _FAMILY_OF.get(tag)
         if family is None:
-            if not (tag in _KEEP or (tag == "title" and in_svg) or not _KEEP_ATTRS.isdisjoint(attrs)):
+            crumb_span = tag == "span" and tree.flags[i] & CRUMB
+            if not (tag in _KEEP or (tag == "title" and in_svg) or crumb_span or not _KEEP_ATTRS.isdisjoint(attrs)):
                 continue
             family = "nodes"
         hidden_like = (
@@ -431,6 +443,7 @@ def parse_page(source: str, base: str) -> dict:
             or (tag == "section" and "Transcript" in slice_of(i))
             or (tree.flags[i] & CRUMB and tag == "span")
         )
+        absolute = resolve(base, href) if href is not None else None
         rel = False
         if tag == "a" and tree.parent[i] >= 0:
             parent = tree.parent[i]
@@ -442,7 +455,8 @@ def parse_page(source: str, base: str) -> dict:
         families[family].append(
             {
                 "ord": i, "last": tree.last[i], "tag": tag, "up": tree.up[i], "attrs": list(attrs.items()),
-                "abs": resolve(base, href) if href is not None else None,
+                "abs": absolute,
+                "host": bare_host(absolute) if absolute else None,
                 "text": slice_of(i) if wants_text else None,
                 "hid": bool(tree.flags[i] & HID), "excl": bool(tree.flags[i] & EXCL),
                 "crumb": bool(tree.flags[i] & CRUMB), "rel": rel,
