@@ -71,7 +71,7 @@ _FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u"
 _SCOPE = frozenset("html table td th caption template object button".split())
 _KEEP = frozenset(
     "html body main article section aside header footer nav table caption blockquote cite dfn time b strong picture "
-    "source svg desc video track iframe details form label button input select textarea ins sup".split()
+    "source style svg desc video track iframe details form label button input select textarea ins sup".split()
 )
 _KEEP_ATTRS = frozenset(
     "id class style hidden role aria-hidden aria-expanded aria-label data-nosnippet itemscope itemtype itemprop "
