@@ -701,14 +701,10 @@ def answer_sections() -> Column:
 
 def product_service_text() -> Column:
     """Text of elements named after offers, once per selector that hits."""
-    out = []
-    for word in ("service", "product", "treatment", "solution"):
-        for key in ("class", "id"):
-            hits = F.filter(
-                every_element(), lambda e, k=key, w=word: F.contains(attr_or(e, k), F.lit(w))
-            )
-            out.append(joined(hits, ""))
-    return F.concat_ws(" ", *out)
+    el = every_element()
+    named = lambda key, word: F.filter(el, lambda e: F.contains(attr_or(e, key), F.lit(word)))
+    words = ("service", "product", "treatment", "solution")
+    return F.concat_ws(" ", *[joined(named(key, word), "") for word in words for key in ("class", "id")])
 
 
 def navigation_text() -> Column:

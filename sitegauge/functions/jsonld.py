@@ -256,9 +256,8 @@ PRODUCT_FIELDS = ("name", "brand", "offers", "aggregateRating")
 
 def product_coverage(values: Column) -> Column:
     """Whole percent of product fields some record carries, 100 without records."""
-    present = sum(
-        (F.exists(values, lambda r, k=k: truthy(get(r, k))).cast("int") for k in PRODUCT_FIELDS), F.lit(0)
-    )
+    carries = lambda key: F.exists(values, lambda r: truthy(get(r, key))).cast("int")
+    present = sum((carries(key) for key in PRODUCT_FIELDS), F.lit(0))
     return F.when(F.size(values) > 0, F.floor(present * 100 / len(PRODUCT_FIELDS) + 0.5).cast("int")).otherwise(100)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 from .ranking import first_k
 
 # Fixed values: (failed check ids, advice, expected effect, set priority or None), in rule order.
@@ -62,7 +64,7 @@ def rules_table(spark: SparkSession) -> DataFrame:
         for ordinal, (ids, advice, effect, fixed) in enumerate(RULES)
         for check_id in ids
     ]
-    return spark.createDataFrame(
+    return small_table(spark, 
         rows, "check_id int, rule_ord int, recommendation string, expected_impact string, fixed_priority string"
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 from ..functions.numbers import clamp_score
 from . import scoring as S
 from .ranking import first_k
@@ -82,7 +84,7 @@ LEAD_METRICS = (
 
 
 def advice_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CITATION_ADVICE.items()), "check_id int, advice string")
+    return small_table(spark, list(CITATION_ADVICE.items()), "check_id int, advice string")
 
 
 def citation_details(checks: DataFrame, pages: DataFrame, key: str = "site_id", samples: int = 3) -> DataFrame:
@@ -115,7 +117,7 @@ def citation_details(checks: DataFrame, pages: DataFrame, key: str = "site_id",
 def failed_by_metric(checks: DataFrame, key: str = "site_id") -> DataFrame:
     """AG12: failed technical checks per lead metric (a check may count for several)."""
     rows = [(i, label, check_id) for i, (label, _, ids) in enumerate(LEAD_METRICS) for check_id in ids]
-    mapping = checks.sparkSession.createDataFrame(rows, "metric_ord int, metric string, check_id int")
+    mapping = small_table(checks.sparkSession, rows, "metric_ord int, metric string, check_id int")
     return (
         checks.join(F.broadcast(mapping), "check_id")
         .groupBy(key, "metric_ord", "metric")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 from ..functions.numbers import clamp_score, half_up, rate
 
 TECHNICAL, ANSWER, INDEX = "technical", "answer_engine", "indexability"
@@ -240,7 +242,7 @@ def category_weighted_mean(
 
 
 def answer_weights(spark) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(spark, 
         [(c, float(w)) for c, w in ANSWER_CATEGORY_WEIGHTS], "category string, category_weight double"
     )
 
@@ -345,7 +347,7 @@ def checks_weighted_score(categories: DataFrame, keys: Sequence[str] = ("site_id
 
 def with_missing_audits(scores: DataFrame, sites: DataFrame, key: str = "site_id") -> DataFrame:
     """Audits without a result get their fallback score and are marked."""
-    names = scores.sparkSession.createDataFrame([(a,) for a in AUDITS], "audit string")
+    names = small_table(scores.sparkSession, [(a,) for a in AUDITS], "audit string")
     wanted = sites.select(key).distinct().join(F.broadcast(names))
     zero = F.col("audit").isin(TECHNICAL, ANSWER, INDEX)
     return (

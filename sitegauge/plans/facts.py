@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import dom as D
 from ..functions import headers as H
@@ -46,7 +47,7 @@ class Facts:
 
 def complete_columns(df: DataFrame, schema: str, spark: SparkSession) -> DataFrame:
     """Input with every column of the schema; absent ones are NULL."""
-    wanted = spark.createDataFrame([], schema).schema
+    wanted = T_.StructType.fromDDL(schema)
     return df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted
     ])
@@ -118,7 +119,8 @@ def build(spark: SparkSession, inputs: dict[str, DataFrame], staged: bool) -> Fa
     pages = C.page_rows(complete_pages(inputs["pages"]))
     parsed = keep(parse_pages(pages, base="final_url"), "page_features")
     html_rows = log.where(
-        H.is_html_response(F.col("headers"), F.col("body")) & (F.coalesce("method", F.lit("GET")) == "GET")
+        (H.is_html_response(F.col("headers"), F.col("body")) | F.col("user_agent").isNotNull())
+        & (F.coalesce("method", F.lit("GET")) == "GET")
     ).select(
         "site_id", F.col("req_url").alias("url"), F.coalesce("final_url", "req_url").alias("final_url"), "user_agent",
         F.coalesce("redirect_mode", F.lit("follow")).alias("redirect_mode"), "status", "headers",

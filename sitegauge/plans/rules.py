@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 
 @dataclass(frozen=True)
 class CheckDef:
@@ -44,7 +46,7 @@ def definitions(
         (audit, d.check_id, i, d.category, order.index(d.category), d.name, float(d.weight), d.severity, d.scope)
         for i, d in enumerate(defs)
     ]
-    return spark.createDataFrame(rows, DEF_SCHEMA)
+    return small_table(spark, rows, DEF_SCHEMA)
 
 
 def _bool(value: Column | bool) -> Column:

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def build_session(app: str = "sitegauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +53,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sitegauge/{uuid.uuid4().hex}/{name}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed dimension table as a local relation.
+
+    The rows travel inside the plan: no job, no partitions, and an exact size for the broadcast.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    table = pa.table(
+        {f.name: pa.array([row[i] for row in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(fields)}
+    )
+    return spark.createDataFrame(table, schema=T.StructType(fields))

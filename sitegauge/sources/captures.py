@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 from ..functions import headers as H
 from ..functions import urls as U
 
@@ -49,7 +51,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return small_table(spark, [], schema)
 
 
 def request_error(brand: Column, url: Column, email: Column) -> Column:
@@ -79,7 +81,7 @@ def page_rows(captures: DataFrame, headers: str = "headers", body: str = "html")
 
 def well_known(spark: SparkSession) -> DataFrame:
     rows = [(i, role, path) for i, (role, path) in enumerate(WELL_KNOWN)]
-    return spark.createDataFrame(rows, "path_ord int, role string, path string")
+    return small_table(spark, rows, "path_ord int, role string, path string")
 
 
 def site_files(origins: DataFrame, fetch_log: DataFrame) -> DataFrame:
