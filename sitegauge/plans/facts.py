@@ -58,7 +58,8 @@ def complete_pages(pages: DataFrame) -> DataFrame:
     defaults = {
         "final_url": F.col("url"),
         "status": F.lit(200),
-        "headers": F.create_map().cast("map<string,string>"),
+        # a capture without headers holds pages only
+        "headers": F.create_map(F.lit("content-type"), F.lit("text/html")),
         "response_ms": F.lit(None).cast("int"),
         "redirect_hops": F.lit(0),
         "depth": F.lit(None).cast("int"),

@@ -54,7 +54,8 @@ def _inputs(spark, d):
 
 
 def _facts(spark, d):
-    return FACTS.build(spark, _inputs(spark, d), staged=False)
+    """Parsed once and written to the shared folder, as in the public call."""
+    return FACTS.build(spark, _inputs(spark, d), staged=True)
 
 
 @register("audit_on_page")
