@@ -88,9 +88,13 @@ def grams(text: Column, longest: int) -> Column:
     words = F.filter(F.split(plain, " "), lambda w: w != "")
 
     def runs(tokens: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
+        # single elements are read by position: slicing would copy the whole text at every word
         return F.when(
-            F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+            F.size(tokens) >= n,
+            F.transform(
+                F.sequence(F.lit(0), F.size(tokens) - n),
+                lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]),
+            ),
         ).otherwise(F.array().cast("array<string>"))
 
     return T.let(words, lambda tokens: F.concat(*[runs(tokens, n) for n in range(1, longest + 1)]))

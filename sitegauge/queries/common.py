@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import scoring as S
 from ..operators.parse import parse_pages
+from ..session import spread
+
+
+# tables whose rows are costly to read: texts, pages and the parts that records are derived from
+TEXT_TABLES = ("documents", "conversations", "pages", "part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
 
 
 def check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +65,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.facts import complete_pages
 
-    pages = complete_pages(site_pages(spark, sf_dir)).withColumn("response_ms", F.lit(200)).repartition(
-        spark.sparkContext.defaultParallelism, "page_id"
-    )
+    pages = complete_pages(site_pages(spark, sf_dir)).withColumn("response_ms", F.lit(200))
     return parse_pages(pages, base="final_url")
 
 

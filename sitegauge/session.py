@@ -65,3 +65,12 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
         {f.name: pa.array([row[i] for row in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(fields)}
     )
     return spark.createDataFrame(table, schema=T.StructType(fields))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores, so that costly per-row work uses them all.
+
+    A large capture already has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
