@@ -395,3 +395,19 @@ def issue_summary(spark, d):
     scores = table(spark, d, "customer").select(
         c("c_custkey").alias("site_id"), (F.floor(F.abs("c_acctbal")) % 101).cast("int").alias("visibility_score"))
     return REP.issue_summary(found, scores)
+
+
+@register("public_reports")
+def public_reports(spark, d):
+    """P5: nested report per supplier as site (nested rows have no SQL twin)."""
+    c = F.col
+    sites = table(spark, d, "supplier").select(
+        c("s_suppkey").alias("site_id"), c("s_name").alias("brand_name"), F.lit("https://x.example/").alias("website_url"))
+    rows = check_rows(spark, d).withColumn("name", F.concat(F.lit("check "), "check_id")).withColumn("evidence_text", F.lit(""))
+    checks = R.last_wins(rows.withColumn("place", F.struct("line_order", "part")), ["site_id", "audit", "check_id"], "place")
+    categories = S.category_summary(checks).withColumn("category_ord", F.lit(0))
+    scores = S.with_missing_audits(S.audit_scores(checks), sites)
+    classified = sites.select(
+        "site_id", F.lit("Software").alias("industry"), F.lit("SaaS").alias("sub_industry"), F.lit("Subscription Software").alias("business_model"),
+        (c("site_id") % 100).cast("int").alias("confidence"))
+    return REP.public_report(sites, scores, categories, checks, classified, REC.classification_recommendation(classified))
