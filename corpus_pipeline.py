@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontaminate, mixing, quality, sharding
+from sitegauge.llm import decontaminate, mixing, ngram_join, quality, sharding
 from sitegauge.llm.common import read, stage
 from sitegauge.llm.queries import SHARDS, TABLE_SIZE
 
@@ -18,6 +18,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, only_kept=True)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go, and documents that consist of them for more than half."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), length="n_chars")
@@ -35,6 +40,7 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
     ("mixing", mixing_stage),
     ("sharding", sharding_stage),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality, sharding, warc
+from . import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, warc
 from .common import read
 from .sql import ORACLES, shard_sql
 
@@ -30,6 +30,10 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, "doc_id", SHARDS, TABLE_SIZE)
@@ -45,7 +49,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op4_decontaminate, op5_quality_divergence, op7_shard_table, op8_temperature_mix, op9_warc_revisits,
+    op1_line_dedup, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits,
 )}
 
 ORACLES["op7_shard_table"] = shard_sql(SHARDS, TABLE_SIZE)

@@ -91,6 +91,18 @@ WITH {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT strange AS kept
 FROM judged"""
 
+ORACLES["op6_signature_join"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_id, doc_id,
+  regexp_extract_all({lowered("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT row_id, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT row_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT row_id, count(*) AS n FROM sh GROUP BY row_id),
+both_ AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.row_id <> y.row_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN sizes p ON p.row_id = a JOIN sizes q ON q.row_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(row_id, seen) AS (SELECT row_id, row_id FROM d UNION SELECT b, seen FROM reach JOIN links ON a = row_id),
+least_ AS (SELECT r.row_id, min(s.doc_id) AS component_id FROM reach r JOIN d s ON s.row_id = r.seen GROUP BY r.row_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (row_id) LEFT JOIN least_ USING (row_id)"""
+
 
 def shard_sql(shards: list[str], size: int) -> str:
     """The table is filled claim by claim, as the rule says."""
