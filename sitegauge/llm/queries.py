@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, warc
+from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, quality, sharding, warc
 from .common import read
 from .sql import ORACLES, shard_sql
 
@@ -48,8 +48,12 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits,
+    op1_line_dedup, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits, op10_main_text,
 )}
 
 ORACLES["op7_shard_table"] = shard_sql(SHARDS, TABLE_SIZE)
