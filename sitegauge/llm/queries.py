@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, sharding, warc
+from . import chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, sharding, warc
 from .common import read
 from .sql import ORACLES, shard_sql
 
@@ -20,6 +20,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat_format.conversations(read(spark, sf_dir, "conversations"))
+    out = chat_format.formatted(chat_format.next_answers(convs))
+    return out.withColumns({c: chat_format.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
@@ -57,7 +63,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op3_pii_weak_supervision, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits, op10_main_text,
+    op1_line_dedup, op2_preference_pairs, op3_pii_weak_supervision, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits, op10_main_text,
 )}
 
 ORACLES["op7_shard_table"] = shard_sql(SHARDS, TABLE_SIZE)

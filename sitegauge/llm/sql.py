@@ -104,6 +104,33 @@ least_ AS (SELECT r.row_id, min(s.doc_id) AS component_id FROM reach r JOIN d s
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (row_id) LEFT JOIN least_ USING (row_id)"""
 
 
+def _chat(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: t.r), ''), '')"
+
+
+def _mask(turns: str) -> str:
+    return f"""coalesce(array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant'),
+      lambda i: (coalesce(list_sum(list_transform({turns}[1:i - 1], lambda t: length(t.r))), 0) + {turns}[i].h)::BIGINT || ':' ||
+        (coalesce(list_sum(list_transform({turns}[1:i], lambda t: length(t.r))), 0) - 1)::BIGINT), ','), '')"""
+
+
+ORACLES["op2_preference_pairs"] = f"""
+WITH t AS (SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
+last_ AS (SELECT conv_id, max(i) AS place FROM n WHERE role = 'assistant' GROUP BY conv_id),
+answers AS (SELECT n.conv_id, text AS answer FROM n JOIN last_ l ON l.conv_id = n.conv_id AND l.place = n.i),
+sides AS (SELECT n.conv_id, n.i, a.conv_id AS rejected_id, role, text, CASE WHEN n.i = place THEN answer ELSE text END AS other
+  FROM n JOIN last_ USING (conv_id) JOIN answers a ON a.conv_id = n.conv_id + 1),
+marked AS (SELECT *, '<|im_start|>' || replace(role, '<|im_', '<\\|im_') || chr(10) AS head,
+  replace(text, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10) AS b1, replace(other, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10) AS b2 FROM sides),
+listed AS (SELECT conv_id, rejected_id, list({{'role': role, 'h': length(head), 'r': head || b1}} ORDER BY i) AS c,
+  list({{'role': role, 'h': length(head), 'r': head || b2}} ORDER BY i) AS j, coalesce(min(i) FILTER (text <> other) - 1, count(*)) AS k
+  FROM marked GROUP BY conv_id, rejected_id),
+cut AS (SELECT *, c[1:k] AS p, c[k + 1:] AS cc, j[k + 1:] AS jj FROM listed)
+SELECT conv_id AS pair_id, conv_id AS chosen_id, rejected_id, CAST(k AS INT) AS n_common, {_chat('p')} AS prompt, {_chat('cc')} AS chosen,
+  {_chat('jj')} AS rejected, {_mask('cc')} AS chosen_mask, {_mask('jj')} AS rejected_mask FROM cut"""
+
+
 def shard_sql(shards: list[str], size: int) -> str:
     """The table is filled claim by claim, as the rule says."""
     names = ", ".join(f"({i}, '{s}')" for i, s in enumerate(shards))
