@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sitegauge.llm import decontaminate, mixing, ngram_join, quality, sharding
 from sitegauge.llm.common import read, stage
 from sitegauge.llm.queries import SHARDS, TABLE_SIZE
+from sitegauge.llm.sql import pipeline_sql
 
-ORACLE_SQL: str | None = None
+ORACLE_SQL: str | None = pipeline_sql(SHARDS, TABLE_SIZE)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,21 +30,25 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (drops)
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drops), '')) AS kept_sha256
 FROM marked GROUP BY row_id"""
 
-ORACLES["op4_decontaminate"] = f"""
-WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({lowered('text')}, '{PLAIN}'), []) AS w FROM documents),
+HIT_CTES = f"""
+d AS (SELECT row_id, doc_id, coalesce(regexp_extract_all({lowered('text')}, '{PLAIN}'), []) AS w FROM numbered),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce(regexp_extract_all({lowered('text')}, '{PLAIN}'), []) AS w FROM benchmark),
 bs AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
 wins AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS win
   FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bs)),
 sizes AS (SELECT DISTINCT n FROM wins),
-dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+dw AS (SELECT row_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
   FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-found AS (SELECT doc_id, item, dw.n, i FROM dw JOIN wins ON dw.n = wins.n AND dw.win = wins.win),
-hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+found AS (SELECT row_id, item, dw.n, i FROM dw JOIN wins ON dw.n = wins.n AND dw.win = wins.win),
+hits AS (SELECT DISTINCT row_id, p FROM (SELECT row_id, unnest(range(i, i + n)) AS p FROM found)),
+hit AS (SELECT row_id, count(*) AS n_hit FROM hits GROUP BY row_id),
+its AS (SELECT row_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY row_id)"""
+NUMBERED = "numbered AS MATERIALIZED (SELECT row_number() OVER () AS row_id, * FROM {})"
+ORACLES["op4_decontaminate"] = f"""
+WITH {NUMBERED.format('documents')}, {HIT_CTES}
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+FROM d LEFT JOIN hit USING (row_id) LEFT JOIN its USING (row_id)"""
 
 _R = Rules()
 _CLASSES = (
@@ -55,8 +59,8 @@ _COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for
 _COMMON = ", ".join(f"('{lang}', {i}, '{w}')" for lang, words in COMMON_WORDS.items() for i, w in enumerate(words))
 _LANGS = ", ".join(f"'{lang}'" for lang in COMMON_WORDS)
 QUALITY_CTES = f"""
-base AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t,
-  CASE WHEN lang IN ({_LANGS}) THEN lang ELSE '{OTHER}' END AS key FROM documents),
+base AS (SELECT row_id, doc_id, coalesce(text, '') AS t,
+  CASE WHEN lang IN ({_LANGS}) THEN lang ELSE '{OTHER}' END AS key FROM numbered),
 split AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, regexp_extract_all({lowered('t')}, '{PLAIN}') AS plain FROM base),
 wins AS (SELECT row_id, i, array_to_string(w[i:i + 4], ' ') AS win
   FROM (SELECT row_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)),
@@ -87,20 +91,21 @@ measured AS (SELECT s.row_id, doc_id, len(w) AS n_words, length(array_to_string(
   FROM split s LEFT JOIN repeats USING (row_id) LEFT JOIN dups USING (row_id) LEFT JOIN wide USING (row_id)),
 judged AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.repeat_percent} * n_words AS base_failed FROM measured)"""
 ORACLES["op5_quality_divergence"] = f"""
-WITH {QUALITY_CTES}
+WITH {NUMBERED.format('documents')}, {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT strange AS kept
 FROM judged"""
 
-ORACLES["op6_signature_join"] = f"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_id, doc_id,
-  regexp_extract_all({lowered("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+NEAR_CTES = f"""
+d AS (SELECT row_id, doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '{WORD}') AS w FROM numbered),
 sh AS (SELECT DISTINCT row_id, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT row_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
 sizes AS (SELECT row_id, count(*) AS n FROM sh GROUP BY row_id),
 both_ AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.row_id <> y.row_id GROUP BY ALL),
 links AS (SELECT a, b FROM both_ JOIN sizes p ON p.row_id = a JOIN sizes q ON q.row_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
 reach(row_id, seen) AS (SELECT row_id, row_id FROM d UNION SELECT b, seen FROM reach JOIN links ON a = row_id),
-least_ AS (SELECT r.row_id, min(s.doc_id) AS component_id FROM reach r JOIN d s ON s.row_id = r.seen GROUP BY r.row_id)
+least_ AS (SELECT r.row_id, min(s.doc_id) AS component_id FROM reach r JOIN d s ON s.row_id = r.seen GROUP BY r.row_id)"""
+ORACLES["op6_signature_join"] = f"""
+WITH RECURSIVE {NUMBERED.format('documents')}, {NEAR_CTES}
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes USING (row_id) LEFT JOIN least_ USING (row_id)"""
 
 
@@ -131,12 +136,12 @@ SELECT conv_id AS pair_id, conv_id AS chosen_id, rejected_id, CAST(k AS INT) AS
   {_chat('jj')} AS rejected, {_mask('cc')} AS chosen_mask, {_mask('jj')} AS rejected_mask FROM cut"""
 
 
-def shard_sql(shards: list[str], size: int) -> str:
-    """The table is filled claim by claim, as the rule says."""
+def shard_ctes(shards: list[str], size: int) -> str:
+    """``slots``: the table, filled claim by claim as the rule says."""
     names = ", ".join(f"({i}, '{s}')" for i, s in enumerate(shards))
     n = len(shards)
     return f"""
-WITH RECURSIVE names(i, shard) AS (VALUES {names}),
+names(i, shard) AS (VALUES {names}),
 walk AS (SELECT list(('0x' || substr(md5(shard), 1, 8))::BIGINT % {size} ORDER BY i) AS off,
   list(('0x' || substr(md5(shard), 9, 8))::BIGINT % {size - 1} + 1 ORDER BY i) AS skip FROM names),
 fill(turn, slot, owner) AS (
@@ -147,10 +152,43 @@ fill(turn, slot, owner) AS (
       list_transform(range({size}), lambda j: (off[turn % {n} + 1] + j * skip[turn % {n} + 1]) % {size}),
       lambda p: owner[p + 1] < 0)[1] AS s
     FROM fill, walk WHERE turn < {size})
-), slots AS (SELECT slot, shard FROM fill JOIN names ON i = (turn - 1) % {n} WHERE turn > 0)
-SELECT doc_id, source, CAST(d.slot AS INT) AS slot, shard
-FROM (SELECT *, ('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN 'n' ELSE 's' || doc_id END), 1, 15))::BIGINT % {size} AS slot
-  FROM documents) d LEFT JOIN slots USING (slot)"""
+), slots AS (SELECT slot, shard FROM fill JOIN names ON i = (turn - 1) % {n} WHERE turn > 0)"""
+
+
+def slot_rows(size: int, table: str) -> str:
+    return f"""(SELECT *, ('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN 'n' ELSE 's' || doc_id END), 1, 15))::BIGINT % {size} AS slot
+  FROM {table})"""
+
+
+def shard_sql(shards: list[str], size: int) -> str:
+    return f"""
+WITH RECURSIVE {shard_ctes(shards, size)}
+SELECT doc_id, source, CAST(d.slot AS INT) AS slot, shard FROM {slot_rows(size, 'documents')} d LEFT JOIN slots USING (slot)"""
+
+
+def pipeline_sql(shards: list[str], size: int, mix: Mix = Mix(), max_coverage: float = 0.5) -> str:
+    """The stages of the corpus pipeline one after another; a gap between two removed words goes with them."""
+    columns = "doc_id, text, lang, source, n_chars"
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""
+WITH RECURSIVE s1 AS MATERIALIZED (WITH {NUMBERED.format('documents')}, {QUALITY_CTES}
+  SELECT {columns} FROM numbered WHERE row_id IN (SELECT row_id FROM judged WHERE NOT base_failed AND NOT strange)),
+s2 AS MATERIALIZED (WITH RECURSIVE {NUMBERED.format('s1')}, {NEAR_CTES}
+  SELECT {columns} FROM numbered LEFT JOIN least_ USING (row_id) WHERE component_id IS NULL OR coalesce(doc_id = component_id, false)),
+s3 AS MATERIALIZED (WITH {NUMBERED.format('s2')}, {HIT_CTES},
+  pieces AS (SELECT row_id, unnest(range(0, len(w) + 1)) AS p, regexp_split_to_array(text, '{word}') AS gaps,
+    regexp_extract_all(text, '{word}') AS words FROM numbered JOIN hit USING (row_id) JOIN d USING (row_id)),
+  cut AS (SELECT x.row_id, string_agg(
+      CASE WHEN x.p > 0 AND h.p IS NULL THEN words[x.p] ELSE '' END || CASE WHEN h.p IS NOT NULL AND g.p IS NOT NULL THEN '' ELSE gaps[x.p + 1] END,
+      '' ORDER BY x.p) AS cleaned
+    FROM (SELECT * FROM pieces) x LEFT JOIN hits h ON h.row_id = x.row_id AND h.p = x.p LEFT JOIN hits g ON g.row_id = x.row_id AND g.p = x.p + 1
+    GROUP BY x.row_id)
+  SELECT doc_id, coalesce(cleaned, text) AS text, lang, source, CASE WHEN cleaned IS NULL THEN n_chars ELSE length(cleaned) END AS n_chars
+  FROM numbered LEFT JOIN cut USING (row_id) LEFT JOIN hit USING (row_id) JOIN (SELECT row_id, len(w) AS n_w FROM d) USING (row_id)
+  WHERE n_hit IS NULL OR n_hit <= {max_coverage} * n_w),
+s4 AS MATERIALIZED (WITH {mix_ctes(mix, 's3')} SELECT {columns} FROM occ),
+{shard_ctes(shards, size)}
+SELECT {columns}, CAST(d.slot AS INT) AS slot, shard FROM {slot_rows(size, 's4')} d LEFT JOIN slots USING (slot)"""
 
 
 def mix_ctes(mix: Mix, table: str = "documents") -> str:
