@@ -575,7 +575,7 @@ def ad_slots_reserved() -> Column:
     return F.forall(F.filter(el, ad), lambda e: F.lower(attr_or(e, "style")).rlike("height|aspect-ratio"))
 
 
-def api_urls(origin: Column, limit: int = 8) -> Column:
+def api_urls(origin: Column) -> Column:
     """Public API addresses in links, scripts and page text."""
     linked = F.filter(
         F.array_sort(F.concat(hrefs(), F.filter(F.col("scripts"), lambda s: has(s, "src"))), lambda a, b: a["ord"] - b["ord"]),
@@ -583,7 +583,7 @@ def api_urls(origin: Column, limit: int = 8) -> Column:
     )
     written = P.find_all(F.col("html"), r"[\"'(](/(?:api|wp-json|graphql)[^\"'()\s]*)")
     resolved = F.concat(F.transform(linked, lambda e: e["abs"]), F.transform(written, lambda p: F.concat(origin, p)))
-    return F.slice(F.array_distinct(F.filter(resolved, lambda u: u != "")), 1, limit)
+    return F.array_distinct(F.filter(resolved, lambda u: u != ""))
 
 
 def subdomain_hosts(own: Column) -> Column:

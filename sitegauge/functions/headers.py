@@ -100,21 +100,6 @@ def is_html_response(headers: Column, body: Column) -> Column:
     )
 
 
-PAGE_BODY_LIMIT = 2 * 1024 * 1024
-SITEMAP_BODY_LIMIT = 50 * 1024 * 1024
-
-
-def capped_page_body(headers: Column, body: Column) -> Column:
-    """A5: declared oversize bodies are empty, undeclared ones end at the limit."""
-    return F.when(content_length(headers) > PAGE_BODY_LIMIT, "").otherwise(F.substring(body, 1, PAGE_BODY_LIMIT))
-
-
-def capped_sitemap_body(headers: Column, body: Column) -> Column:
-    """A5: oversize sitemaps are empty either way."""
-    too_big = (content_length(headers) > SITEMAP_BODY_LIMIT) | (F.octet_length(body) > SITEMAP_BODY_LIMIT)
-    return F.when(too_big, "").otherwise(body)
-
-
 def is_challenge(status: Column, body: Column) -> Column:
     """Answer-engine agent met a challenge page."""
     return F.when(status.isin(403, 503), True).otherwise(

@@ -98,11 +98,11 @@ def feed_item_words(item: Column) -> Column:
     return word_count(plain)
 
 
-def index_key_candidates(origin: Column, robots: Column, html: Column, limit: int = 4) -> Column:
+def index_key_candidates(origin: Column, robots: Column, html: Column) -> Column:
     """Key-file addresses from robots.txt and the page."""
     declared = trim_blank(P.find(robots, r"^key-location:\s*(.+)$", 1, "im"))
     slash = F.when(declared.startswith("/"), "").otherwise("/")
     absolute = F.when(declared.startswith("http"), declared).otherwise(F.concat(origin, slash, declared))
     first = F.when(declared != "", F.array(absolute)).otherwise(F.array().cast("array<string>"))
     explicit = P.find_all(html, r"https?://[^\"'\s]+/[a-f0-9-]{8,}\.txt")
-    return F.slice(F.array_distinct(F.concat(first, explicit)), 1, limit)
+    return F.array_distinct(F.concat(first, explicit))

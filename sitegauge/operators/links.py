@@ -16,7 +16,7 @@ from ..functions import dom as D
 from ..functions import headers as H
 from ..functions import text as T
 from ..functions import urls as U
-from ..sources.captures import one_per_url
+from ..sources.captures import one_per_url, one_row
 
 
 def assign_order(pages: DataFrame) -> DataFrame:
@@ -83,16 +83,6 @@ def by_role(answered: DataFrame, roles: Sequence[str], columns: Sequence[str], k
     )
 
 
-def response_facts(log: DataFrame) -> DataFrame:
-    """Small facts of each answer, so that the joins carry no bodies."""
-    return log.select(
-        "req_url", "status", "headers",
-        H.header(F.col("headers"), "content-type").alias("content_type"),
-        H.header(F.col("headers"), "location").alias("location"),
-        F.col("final_url").alias("landed"),
-    )
-
-
 def page_facts(parsed: DataFrame, url: str = "url") -> DataFrame:
     """Index-related facts of every parsed page, one row per address."""
     headers = F.col("headers") if "headers" in parsed.columns else F.create_map().cast("map<string,string>")
@@ -109,22 +99,22 @@ def page_facts(parsed: DataFrame, url: str = "url") -> DataFrame:
         D.canonical_combined(H.link_canonical(headers, strict_quotes=True)).alias("canonical"),
         T.word_count(F.col("body_text")).alias("words"),
     )
-    return rows.groupBy("req_url").agg(
-        *[F.first(c).alias(c) for c in rows.columns if c != "req_url"]
-    )
+    return one_row(rows, ("req_url",))
 
 
 def canonical_chain(starts: DataFrame, facts: DataFrame, steps: int = 3, key: str = "site_id") -> DataFrame:
     """Hops along canonicals with loop detection in a bounded number of joins.
 
-    ``starts`` has ``key`` and ``canonical``. The join key is null once a chain has ended, so ended
-    chains add no work.
+    ``starts`` has ``key`` and ``canonical``. A chain that has ended leaves the joins: its rows are set aside and
+    united with the rest at the end, so no join has null keys.
     """
     edges = facts.select(F.col("req_url").alias("at"), F.col("canonical_tag").alias("next"))
     state = starts.select(
         key, F.when(F.col("canonical") != "", F.col("canonical")).alias("at"), F.lit(0).alias("hops"),
         F.array().cast("array<string>").alias("seen"), F.lit(False).alias("loop"),
     )
+    ended = state.where(F.col("at").isNull()).select(key, "hops", "loop")
+    state = state.where(F.col("at").isNotNull())
     for _ in range(steps):
         again = F.coalesce(F.array_contains("seen", F.col("at")), F.lit(False))
         looped = state.select(
@@ -135,11 +125,14 @@ def canonical_chain(starts: DataFrame, facts: DataFrame, steps: int = 3, key: st
         )
         moved = F.coalesce(F.col("next"), F.lit(""))
         on = (moved != "") & (moved != F.col("at"))
-        state = looped.join(edges, "at", "left").select(
+        ended = ended.unionByName(looped.where(F.col("at").isNull()).select(key, "hops", "loop"))
+        state = looped.where(F.col("at").isNotNull()).join(edges, "at", "left").select(
             key, F.when(on, F.col("next")).alias("at"),
             (F.col("hops") + F.when(on, 1).otherwise(0)).alias("hops"), "seen", "loop",
         )
-    return state.select(key, "hops", "loop")
+        ended = ended.unionByName(state.where(F.col("at").isNull()).select(key, "hops", "loop"))
+        state = state.where(F.col("at").isNotNull())
+    return ended.unionByName(state.select(key, "hops", "loop"))
 
 
 def orphan_pages(pages: DataFrame, links: DataFrame, url: str = "final_url") -> DataFrame:

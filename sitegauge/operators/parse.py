@@ -61,6 +61,8 @@ _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript iframe noembed noframes xmp".split())
 _ESCAPABLE_RAW = frozenset(("title", "textarea"))
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW | _ESCAPABLE_RAW}
+SLICE_BYTES = 2 << 20  # source text that one task holds as parsed elements
 _HEAD = frozenset("title meta link base script style noscript template".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
@@ -339,7 +341,7 @@ def _read_attrs(raw: str) -> dict[str, str]:
 
 def _build(source: str) -> _Tree:
     tree = _Tree()
-    position, length, lower = 0, len(source), None
+    position, length = 0, len(source)
     while position < length:
         token = _TOKEN.search(source, position)
         stop = token.start() if token else length
@@ -362,15 +364,13 @@ def _build(source: str) -> _Tree:
         raw = token.group(3)
         index = tree.begin(tag, _read_attrs(raw) if raw.strip(" /") else {}, raw.endswith("/"))
         if index >= 0 and (tag in _RAW or tag in _ESCAPABLE_RAW) and "/svg/" not in tree.up[index]:
-            if lower is None:
-                lower = source.lower()
-            close = lower.find(f"</{tag}", position)
-            content_end = close if close >= 0 else length
+            close = _RAW_END[tag].search(source, position)
+            content_end = close.start() if close else length
             content = source[position:content_end]
             if content:
                 tree.add_text(entities.unescape(content) if tag in _ESCAPABLE_RAW and "&" in content else content)
             tree.pop()
-            end = source.find(">", content_end) if close >= 0 else length
+            end = source.find(">", content_end) if close else length
             position = end + 1 if end >= 0 else length
     tree.ensure_body()
     while tree.stack:
@@ -477,10 +477,23 @@ _EMPTY = {name: None for name in DOM_COLUMNS}
 def _safe_parse(source: str | None, base: str | None) -> dict:
     try:
         return parse_page(source or "", base or "")
-    except Exception as error:  # one broken page must not fail the job
+    except Exception as error:  # one broken page must not fail the job; its checks are skipped with this reason
         return {**_EMPTY, **parse_page("", base or ""), "parse_error": f"{type(error).__name__}: {error}"[:200]}
 
 
+def _slices(batch: pa.RecordBatch, html: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about :data:`SLICE_BYTES` of source each, whatever batch size the session has."""
+    start = held = 0
+    for i, cell in enumerate(batch.column(html)):
+        size = len(cell.as_buffer()) if cell.is_valid else 0
+        if held and held + size > SLICE_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def parse_pages(pages: DataFrame, html: str = "html", base: str = "url", keep_html: bool = True) -> DataFrame:
     """H1: every input row with its document columns added; ``base`` resolves relative links."""
     kept = [c for c in pages.columns if keep_html or c != html]
@@ -492,10 +505,10 @@ def parse_pages(pages: DataFrame, html: str = "html", base: str = "url", keep_ht
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, bases = batch.column(html), batch.column(base)
-            rows = [_safe_parse(s.as_py(), b.as_py()) for s, b in zip(sources, bases)]
-            arrays = [batch.column(name) for name in kept]
-            arrays += [pa.array([r[name] for r in rows], type=arrow_types[name]) for name in DOM_COLUMNS]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *DOM_COLUMNS])
+            for part in _slices(batch, html):
+                rows = [_safe_parse(s.as_py(), b.as_py()) for s, b in zip(part.column(html), part.column(base))]
+                arrays = [part.column(name) for name in kept]
+                arrays += [pa.array([r[name] for r in rows], type=arrow_types[name]) for name in DOM_COLUMNS]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *DOM_COLUMNS])
 
     return pages.mapInArrow(run, schema)

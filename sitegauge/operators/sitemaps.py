@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import headers as H
 from ..functions import robots as R
 from ..functions import urls as U
 from ..functions.dom import resolve_reference
+from ..session import stage
 from .ranking import first_k
 
 # Addresses tried before the declared ones.
@@ -28,7 +28,7 @@ def sitemap_files(log: DataFrame) -> DataFrame:
     """Kind and locations of every captured file that answered."""
     ok = log.where(F.col("status").between(200, 299)).select(
         F.col("req_url").alias("url"),
-        H.capped_sitemap_body(F.col("headers"), F.col("body")).alias("xml"),
+        F.col("body").alias("xml"),
         F.coalesce("final_url", "req_url").alias("base"),
     )
     parsed = ok.select("url", "base", R.sitemap_kind(F.col("xml")).alias("kind"), R.locations(F.col("xml")).alias("locs"))
@@ -38,27 +38,35 @@ def sitemap_files(log: DataFrame) -> DataFrame:
     )
 
 
-def expand(sites: DataFrame, log: DataFrame, max_files: int = 20, max_depth: int = 3) -> DataFrame:
-    """Files visited per site in depth-first order, at most ``max_files``.
+def expand(sites: DataFrame, log: DataFrame, max_files: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """Files visited per site in depth-first order; ``max_files`` and ``max_depth`` set a budget.
 
-    Index recursion is a bounded loop of joins. ``path`` is the visiting position, which also gives
-    the file budget its order.
+    Index recursion is a loop of joins, one per level. Without ``max_depth`` it goes on until a level is empty; each level is
+    written once, and an index that names one of the files above it is not followed again. ``path`` is the visiting
+    position, which also gives the file budget its order.
     """
     files = sitemap_files(log)
-    level = candidates(sites).select("site_id", "cand_ord", F.array("cand_ord").alias("path"), "url")
-    visited = None
-    for depth in range(max_depth + 1):
+    level = candidates(sites).select(
+        "site_id", "cand_ord", F.array("cand_ord").alias("path"), "url", F.array().cast("array<string>").alias("above")
+    )
+    visited, depth = None, 0
+    while True:
         # a site never visits more than the budget, so later ones of one level need no lookup
         level = first_k(level, ["site_id"], [F.col("path")], max_files)
         found = level.join(files, "url", "left")
-        visited = found if visited is None else visited.unionByName(found)
-        if depth < max_depth:
-            level = (
-                found.where(F.col("kind") == "index")
-                .select("site_id", "cand_ord", "path", F.posexplode("locs").alias("pos", "child"))
-                .select("site_id", "cand_ord", F.concat("path", F.array("pos")).alias("path"), F.col("child").alias("url"))
-            )
-    return first_k(visited, ["site_id"], [F.col("path")], max_files)
+        if max_depth is None:
+            found = stage(found, "sitemap_level")
+        rows = found.drop("above")
+        visited = rows if visited is None else visited.unionByName(rows)
+        if depth == max_depth or (max_depth is None and found.where(F.col("kind") == "index").isEmpty()):
+            return first_k(visited, ["site_id"], [F.col("path")], max_files)
+        level = (
+            found.where(F.col("kind") == "index")
+            .select("site_id", "cand_ord", "path", F.array_append("above", F.col("url")).alias("above"), F.posexplode("locs").alias("pos", "child"))
+            .where(~F.array_contains("above", F.col("child")))
+            .select("site_id", "cand_ord", F.concat("path", F.array("pos")).alias("path"), F.col("child").alias("url"), "above")
+        )
+        depth += 1
 
 
 def site_urls(visited: DataFrame, sites: DataFrame) -> DataFrame:
@@ -97,8 +105,9 @@ def summary(visited: DataFrame, urls: DataFrame) -> DataFrame:
     return files.join(totals, "site_id", "left").withColumn("total_urls", F.coalesce("total_urls", F.lit(0)))
 
 
-def feed_average_words(body, limit: int = 8):
-    """Rounded mean words of the first feed items, 0 without items."""
-    words = F.transform(F.slice(R.feed_items(body), 1, limit), R.feed_item_words)
+def feed_average_words(body, limit: int | None = None):
+    """Rounded mean words of the feed items (of the first ``limit``), 0 without items."""
+    items = R.feed_items(body)
+    words = F.transform(items if limit is None else F.slice(items, 1, limit), R.feed_item_words)
     total = F.aggregate(words, F.lit(0), lambda acc, x: acc + x)
     return F.when(F.size(words) > 0, F.floor(total / F.size(words) + 0.5).cast("int")).otherwise(0)

@@ -15,7 +15,7 @@ from ..operators.classify import classify_pages
 from ..operators.links import answer, orphan_pages, link_rows, wanted_rows
 from ..operators.recommend import classification_recommendation, recommend
 from ..session import stage
-from ..sources.captures import validate_sites
+from ..sources.captures import one_per_url, validate_sites
 from . import answer_engine, eeat, facts as facts_module, image, indexability, on_page, structured_data, technical, trust
 from .rules import definitions, describe
 
@@ -35,7 +35,7 @@ def check_definitions(spark: SparkSession) -> DataFrame:
     return union_all(tables)
 
 
-def sitemap_addresses(facts: facts_module.Facts, max_files: int = 20) -> DataFrame:
+def sitemap_addresses(facts: facts_module.Facts, max_files: int | None = None) -> DataFrame:
     """R3-R6 for every site of the capture."""
     origin = U.origin(F.col("url"))
     home = facts.home.select("site_id", "url", origin.alias("origin"))
@@ -46,7 +46,8 @@ def sitemap_addresses(facts: facts_module.Facts, max_files: int = 20) -> DataFra
     plain = facts.log.where(
         F.col("user_agent").isNull() & (F.coalesce("redirect_mode", F.lit("follow")) == "follow")
         & F.col("body").rlike(r"<(?:[\w.-]+:)?(urlset|sitemapindex)")
-    ).select("req_url", "final_url", "status", "headers", "body").dropDuplicates(["req_url"])
+    ).select("req_url", "final_url", "status", "body", "fetched_at")
+    plain = one_per_url(plain)
     return sitemaps.site_urls(sitemaps.expand(sites, plain, max_files), sites)
 
 

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.scoring import EXPERTISE
+from ..sources.captures import one_row
 from .rules import CheckDef, Verdict, check_rows
 
 # Id, category, name, weight, severity.
@@ -82,7 +83,7 @@ def target_facts(parsed: DataFrame, url: str = "url") -> DataFrame:
         D.has_byline().alias("byline"),
         F.coalesce(D.bio_link(F.col("_host"))["abs"], F.lit("")).alias("bio"),
     )
-    return rows.groupBy("req_url").agg(*[F.first(c).alias(c) for c in rows.columns if c != "req_url"])
+    return one_row(rows, ("req_url",))
 
 
 _FACTS = (
@@ -105,7 +106,7 @@ def audit(pages: DataFrame, targets: DataFrame) -> DataFrame:
               & ~(D.attr_or(a, "href").startswith("http") & a["up"].rlike("/(article|main)/")))
     )
     home = pages.select(
-        "site_id", "page_id",
+        "site_id", "page_id", "parse_error",
         D.has_byline().alias("home_byline"),
         (D.tag_count("article") > 0).alias("has_article"),
         P.test(c("html"), "blog|article|news|insight").alias("article_words"),
@@ -123,7 +124,8 @@ def audit(pages: DataFrame, targets: DataFrame) -> DataFrame:
         "bio_url", F.coalesce(F.when(article_bio != "", article_bio), c("bio_home"))
     )
     bio = targets.select(F.col("req_url").alias("bio_url"), F.struct(*_FACTS).alias("bio"))
-    wide = joined.join(bio, "bio_url", "left")
+    known = joined.select("site_id", "bio_url").where(F.coalesce("bio_url", F.lit("")) != "").join(bio, "bio_url").drop("bio_url")
+    wide = joined.join(known, "site_id", "left")
     value = lambda role, fact, default=0: F.coalesce(c(role)[fact], F.lit(default))
     flag = lambda role, fact="found": F.coalesce(c(role)[fact], F.lit(False))
     is_article = flag("article") | c("has_article") | c("article_words")

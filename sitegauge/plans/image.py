@@ -56,7 +56,7 @@ def features(pages: DataFrame) -> DataFrame:
     data_alt = lambda e: P.test(D.attr(e, "alt"), r"[$%]|price|chart|table|data")
     urls = F.filter(F.transform(shown, D.image_source), lambda u: u != "")
     return pages.select(
-        "site_id", "page_id",
+        "site_id", "page_id", "parse_error",
         F.size(shown).alias("n_images"),
         urls.alias("urls"),
         D.n(shown, lambda e: T.trim_blank(D.attr_or(e, "alt")) == "").alias("n_missing_alt"),

@@ -44,9 +44,9 @@ DEFS = [
     CheckDef(25, "Rendering & Content Access", "No Soft-404s", 8, "High"),
     CheckDef(26, "Rendering & Content Access", "No Infinite Scroll Dependency", 8, "High"),
 ]
-# Invented addresses a site must not serve, and the sitemap sample.
+# Invented addresses a site must not serve.
 PROBES = ("/random-url-123456789-test/", "/nonexistent-page-seo-audit-test/")
-SITEMAP_SAMPLE = 20
+SITEMAP_SAMPLE: int | None = None  # addresses looked up per site; None takes them all
 
 
 def features(pages: DataFrame, compat: bool = False) -> DataFrame:
@@ -67,8 +67,12 @@ def features(pages: DataFrame, compat: bool = False) -> DataFrame:
     )
     overlay = lambda e: P.test(D.attr(e, "class"), "cookie|consent|gdpr") | P.test(D.attr(e, "id"), "cookie|consent")
     body = T.collapse(F.col("body_text"))
+    html = F.col("html")
     return pages.select(
-        "site_id", "page_id", "url", "html",
+        "site_id", "page_id", "url", "parse_error",
+        P.test(html, r"history\.(?:pushState|replaceState)|onpopstate").alias("hijack"),
+        P.test(html, r"setInterval\s*\([^)]*history\.|while\s*\([^)]*\)\s*\{[^}]*history\.").alias("looped"),
+        P.test(html, r"infinite[-_\s]?scroll|IntersectionObserver|loadMore|load-more").alias("infinite"),
         F.concat(
             D.meta_robots_joined("robots", "googlebot", "bingbot"), F.lit(","), H.header(headers, "x-robots-tag")
         ).alias("directives"),
@@ -117,9 +121,10 @@ def audit(
     sampled = first_k(sitemap_urls, ["site_id"], [F.col("place")], sample)
     first_hop = sampled.select("site_id", F.col("url").alias("req_url")).join(short, "req_url", "left")
     second = facts.select(F.col("req_url").alias("canonical"), F.col("noindex").alias("canonical_noindex"))
+    onward = F.coalesce("canonical", F.lit("")) != ""
     blocked = (
-        first_hop.withColumn("canonical", F.when(F.col("canonical") != "", F.col("canonical")))
-        .join(second, "canonical", "left")
+        first_hop.where(onward).join(second, "canonical", "left").select("site_id", "noindex", "canonical_noindex")
+        .unionByName(first_hop.where(~onward).select("site_id", "noindex", F.lit(None).cast("boolean").alias("canonical_noindex")))
         .groupBy("site_id")
         .agg(
             F.count_if(F.coalesce("noindex", F.lit(False)) | F.coalesce("canonical_noindex", F.lit(False)))
@@ -127,13 +132,12 @@ def audit(
             F.count(F.lit(1)).cast("int").alias("n_sampled"),
         )
     )
+    targets = home.where(F.col("canonical") != "").select("site_id", "page_id", "canonical").join(target, "canonical").drop("canonical")
     wide = (
-        home.withColumn("canonical", F.when(F.col("canonical") != "", F.col("canonical")))
-        .join(target, "canonical", "left")
+        home.join(targets, ["site_id", "page_id"], "left")
         .join(redirects, "site_id", "left")
         .join(probes, "site_id", "left")
         .join(blocked, "site_id", "left")
-        .withColumn("canonical", F.coalesce("canonical", F.lit("")))
     )
     if index_status is not None:
         wide = wide.join(index_status.select("site_id", "google_indexed", "bing_indexed", "coverage_errors"), "site_id", "left")
@@ -146,9 +150,7 @@ def audit(
     gone = lambda role: F.coalesce(c(role)["status"], F.lit(0)).isin(404, 410)
     snippet = H.max_snippet(c("directives"))
     traps = U.trap_params(url)
-    hijack = P.test(c("html"), r"history\.(?:pushState|replaceState)|onpopstate")
-    looped = P.test(c("html"), r"setInterval\s*\([^)]*history\.|while\s*\([^)]*\)\s*\{[^}]*history\.")
-    infinite = P.test(c("html"), r"infinite[-_\s]?scroll|IntersectionObserver|loadMore|load-more")
+    hijack, looped, infinite = c("hijack"), c("looped"), c("infinite")
     www_back = U.comparable_url(F.coalesce(c("www")["location"], F.lit(""))) == U.comparable_url(url)
     second_canonical = F.coalesce(c("second_canonical"), F.lit(""))
     verdicts = [

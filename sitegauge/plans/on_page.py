@@ -54,7 +54,7 @@ def features(pages: DataFrame) -> DataFrame:
         )
 
     base = pages.withColumn("site_host", U.bare_host(F.col("url"))).select(
-        "site_id", "page_id", F.col("url"), "body_text", "jsonld", "anchors", "images", "nodes", "headings",
+        "site_id", "page_id", "parse_error", F.col("url"), "body_text", "jsonld", "anchors", "images", "nodes", "headings",
         T.collapse(F.col("body_text")).alias("body"),
         F.transform("headings", D.level).alias("levels"),
         F.size(D.level_jumps(F.col("headings"))).alias("n_jumps"),

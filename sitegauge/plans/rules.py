@@ -68,15 +68,20 @@ def check_rows(
     """One row per key and check id.
 
     Each verdict is computed once and published under all its ids; the fan-out happens inside the
-    row, so nothing is shuffled here.
+    row, so nothing is shuffled here. Checks of a page that could not be parsed (``parse_error``) are skipped
+    with that reason.
     """
+    broken = F.col("parse_error").isNotNull() if "parse_error" in wide.columns else None
+    skipped = lambda v: _bool(v.skipped) if broken is None else broken | _bool(v.skipped)
+    reason = lambda v: _evidence(v.evidence) if broken is None else F.when(
+        broken, F.create_map(F.lit("parse_error"), F.col("parse_error"))).otherwise(_evidence(v.evidence))
     outcome = F.array(*[
         F.struct(
             F.array(*[F.lit(i) for i in ids]).alias("ids"),
-            (_bool(v.skipped) | _bool(v.passed)).alias("passed"),
-            _bool(v.skipped).alias("skipped"),
-            (~_bool(v.skipped) & _bool(v.warning)).alias("warning"),
-            _evidence(v.evidence).alias("evidence"),
+            (skipped(v) | _bool(v.passed)).alias("passed"),
+            skipped(v).alias("skipped"),
+            (~skipped(v) & _bool(v.warning)).alias("warning"),
+            reason(v).alias("evidence"),
         )
         for ids, v in verdicts
     ])

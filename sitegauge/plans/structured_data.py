@@ -102,7 +102,7 @@ def features(pages: DataFrame) -> DataFrame:
         lambda e: D.has(e, "itemscope") | D.has(e, "typeof") | D.has(e, "property"),
     )
     step = pages.select(
-        "site_id", "page_id", "url",
+        "site_id", "page_id", "url", "parse_error",
         T.collapse(F.col("body_text")).alias("body"),
         F.col("body_text").alias("raw"),
         J.records(F.col("jsonld")).alias("recs"),

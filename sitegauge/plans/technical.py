@@ -21,9 +21,8 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.numbers import half_up, percent, rate
 from ..operators.links import answer, asset_rows, by_role, canonical_chain, link_rows, wanted_rows
-from ..operators.ranking import first_distinct, first_k
 from ..operators.scoring import TECHNICAL
-from ..sources.captures import certificate_ok, one_per_url
+from ..sources.captures import certificate_ok, one_per_url, one_row
 from .facts import Facts, script_flags
 from .rules import CheckDef, Verdict, check_rows
 
@@ -44,13 +43,12 @@ CATEGORY_ORDER = (
     "International SEO", "Content Basics", "Trust Signals", "Security & Spam", "AI Crawl Readiness",
     "AI Accessibility & Discoverability",
 )
-# Agents whose answers are compared, anchor texts that say nothing, sample sizes, probe.
+# Agents whose answers are compared, anchor texts that say nothing, probe.
 AI_AGENTS = (
     "GPTBot/1.2; +https://openai.com/gptbot", "PerplexityBot/1.0; +https://perplexity.ai/perplexitybot",
     "Google-Extended",
 )
 GENERIC_ANCHORS = ("click here", "read more", "here", "learn more", "link", "this")
-TEXT_ASSETS, HEADER_ASSETS, SCRIPT_ASSETS, EXTERNAL_LINKS, INTERNAL_LINKS, SUBDOMAINS = 24, 28, 12, 20, 10, 6
 SOFT_404_PROBE = "/__audit-soft-404-test"
 
 
@@ -321,23 +319,15 @@ def duplicate_rates(pages: DataFrame) -> DataFrame:
 
 
 def asset_columns(pages: DataFrame, answers: DataFrame, first_urls: DataFrame) -> DataFrame:
-    """Sampled assets with their answers, folded per site."""
+    """All assets with their answers, folded per site."""
     c = F.col
-    assets = asset_rows(pages)
-    place = [c("place"), c("url")]
-    text = first_k(assets.where(c("kind").isin(*U.TEXT_KINDS)), ["site_id"], place, TEXT_ASSETS)
-    header = first_k(assets.where(c("kind") != "other"), ["site_id"], place, HEADER_ASSETS)
-    script = first_k(assets.where(c("kind") == "js"), ["site_id"], place, SCRIPT_ASSETS)
-    sampled = (
-        text.withColumn("sample", F.lit("text")).unionByName(header.withColumn("sample", F.lit("header")))
-        .unionByName(script.withColumn("sample", F.lit("script")))
-    )
-    known = sampled.join(
+    known = asset_rows(pages).where(c("kind").isin(*U.TEXT_KINDS) | (c("kind") != "other")).join(
         answers.select(
             c("req_url").alias("url"), "status", "headers", "history_trap", "exit_trap", "yields", "injects"
         ), "url",
     ).join(first_urls, "site_id", "left")
-    of = lambda sample: c("sample") == sample
+    groups = {"text": c("kind").isin(*U.TEXT_KINDS), "header": c("kind") != "other", "script": c("kind") == "js"}
+    of = groups.__getitem__
     size = H.content_length(c("headers"))
     head_sum = lambda condition: F.coalesce(F.sum(F.when(of("header") & condition, size)), F.lit(0.0))
     own = U.same_site(c("url"), c("landed_url"))
@@ -362,16 +352,9 @@ def asset_columns(pages: DataFrame, answers: DataFrame, first_urls: DataFrame) -
 
 
 def link_columns(pages: DataFrame, answers: DataFrame) -> DataFrame:
-    """G1: first internal and distinct external links with what they answered."""
-    links = link_rows(pages)
-    internal = first_k(links.where(F.col("internal")), ["site_id"], [F.col("place")], INTERNAL_LINKS)
-    external = first_distinct(
-        links.where(~F.col("internal") & F.col("url").startswith("http")).select("site_id", "url", "place"),
-        ["site_id"], "url", "place", EXTERNAL_LINKS,
-    )
-    rows = internal.select("site_id", "url", F.lit("internal").alias("side")).unionByName(
-        external.select("site_id", "url", F.lit("external").alias("side"))
-    )
+    """G1: all distinct internal and external links with what they answered."""
+    links = link_rows(pages).where(F.col("internal") | F.col("url").startswith("http"))
+    rows = links.select("site_id", "url", F.when(F.col("internal"), "internal").otherwise("external").alias("side")).distinct()
     known = rows.join(answers.select(F.col("req_url").alias("url"), "status"), "url", "left")
     inside = F.col("side") == "internal"
     live = F.coalesce("status", F.lit(599)) < 400
@@ -387,11 +370,9 @@ def subdomain_columns(pages: DataFrame, home: DataFrame, certs: DataFrame) -> Da
     own = home.select("site_id", U.bare_host(F.col("url")).alias("own_host"))
     rows = (
         pages.join(own, "site_id")
-        .select("site_id", "ord", F.posexplode(D.subdomain_hosts(F.col("own_host"))).alias("pos", "host"))
-        .select("site_id", "host", F.struct("ord", "pos").alias("place"))
+        .select("site_id", F.explode(D.subdomain_hosts(F.col("own_host"))).alias("host"))
     )
-    sampled = first_distinct(rows, ["site_id"], "host", "place", SUBDOMAINS)
-    return sampled.join(certs, "host", "left").groupBy("site_id").agg(
+    return rows.select("site_id", "host").distinct().join(certs, "host", "left").groupBy("site_id").agg(
         F.bool_and(F.coalesce("certificate_ok", F.lit(False))).alias("subdomains_ok")
     )
 
@@ -473,7 +454,8 @@ def wide_columns(facts: Facts, as_of: Column) -> DataFrame:
         (T.visible_phone(body) & P.test(body, r"\b(street|road|avenue|lane|floor|city|india|usa|uk)\b")).alias("nap"),
         (~F.contains(F.concat(F.lower(H.header(c("headers"), "x-robots-tag")), D.meta_robots_first()), F.lit("noindex"))
          ).alias("allows_index"),
-    ).groupBy("req_url").agg(*[F.first(n).alias(n) for n in ("words", "nap", "allows_index")])
+    )
+    linked_facts = one_row(linked_facts, ("req_url",))
     linked = by_role(
         answer(wanted_rows(home, page_roles), linked_facts), list(page_roles), ["words", "nap", "allows_index"]
     )

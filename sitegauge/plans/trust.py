@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.scoring import TRUST
+from ..sources.captures import one_row
 from .rules import CheckDef, Verdict, check_rows
 from .structured_data import LOCAL_TYPES, ORG_TYPES
 
@@ -41,7 +42,7 @@ def target_texts(parsed: DataFrame, url: str = "url") -> DataFrame:
     rows = parsed.where(status.between(200, 299)).select(
         F.col(url).alias("req_url"), T.collapse(F.col("body_text")).alias("text")
     )
-    return rows.groupBy("req_url").agg(F.first("text").alias("text"))
+    return one_row(rows, ("req_url",))
 
 
 def audit(pages: DataFrame, sites: DataFrame, targets: DataFrame, as_of: Column) -> DataFrame:

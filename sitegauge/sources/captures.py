@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import small_table
 
@@ -74,9 +77,8 @@ def validate_sites(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def page_rows(captures: DataFrame, headers: str = "headers", body: str = "html") -> DataFrame:
-    """A3 + A5: only page responses, with the body cap applied."""
-    kept = captures.where(H.is_html_response(F.col(headers), F.col(body)))
-    return kept.withColumn(body, H.capped_page_body(F.col(headers), F.col(body)))
+    """A3: only page responses. Bodies are read whole; A5's download limits have no place in a capture."""
+    return captures.where(H.is_html_response(F.col(headers), F.col(body)))
 
 
 def well_known(spark: SparkSession) -> DataFrame:
@@ -104,10 +106,25 @@ def default_fetches(fetch_log: DataFrame) -> DataFrame:
 
 
 def one_per_url(rows: DataFrame, keys: tuple[str, ...] = ("req_url",)) -> DataFrame:
-    """Latest answer per address, so that the lookups below stay one-to-one."""
+    """Latest answer per address, so that the lookups below stay one-to-one.
+
+    Unknown times rank first; of equal times the answer with the larger content hash counts, so repeated runs agree.
+    """
+    moment = F.coalesce("fetched_at", F.timestamp_seconds(F.lit(0)))
+    return one_row(rows, keys, moment)
+
+
+def content_hash(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """Hash of some columns; maps count as their sorted entries."""
+    plain = lambda f: F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+    return F.xxhash64(*[plain(f) for f in rows.schema if f.name in columns])
+
+
+def one_row(rows: DataFrame, keys: Sequence[str], moment: Column | None = None) -> DataFrame:
+    """One whole row per key: the latest, then the one with the largest content hash. No mix of several rows, no chance."""
     others = [c for c in rows.columns if c not in keys]
-    packed = F.struct(*[c for c in others if c != "headers"], "headers")
-    return rows.groupBy(*keys).agg(F.max_by(packed, F.col("fetched_at")).alias("_r")).select(*keys, "_r.*")
+    order = F.struct(moment if moment is not None else F.lit(0), content_hash(rows, others))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
 
 
 def vitals(pages: DataFrame, lab: DataFrame, url: str = "final_url") -> DataFrame:

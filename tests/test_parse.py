@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sitegauge.operators.parse import parse_page, resolve
+from sitegauge.operators.parse import parse_page, parse_pages, resolve
 
 
 def tags(page):
@@ -52,3 +52,29 @@ def test_any_input_gives_a_closed_tree(source):
     for family in ("headings", "anchors", "nodes"):
         for e in page[family]:
             assert e["ord"] <= e["last"] < page["dom_nodes"]
+
+
+def test_raw_text_ends_where_the_source_says():
+    """Letters that grow when lower-cased must not shift what follows; an end tag's name must end, too."""
+    for letters in ("a" * 12, "\u0130" * 12):
+        page = parse_page(f"<p>{letters}</p><script>var x = '</scripty>' + 1;</SCRIPT ><h1>Head</h1>", "http://a/")
+        assert [h["text"] for h in page["headings"]] == ["Head"]
+        assert page["scripts"][0]["text"] == "var x = '</scripty>' + 1;"
+
+
+def test_batches_are_cut_by_bytes(spark, monkeypatch):
+    import sitegauge.operators.parse as module
+
+    monkeypatch.setattr(module, "SLICE_BYTES", 50)
+    rows = [(i, "http://a/", f"<title>t{i}</title><p>{'x' * (i % 90)}") for i in range(40)] + [(99, "http://a/", None)]
+    got = {r["page_id"]: r["title"] for r in parse_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: f"t{i}" for i in range(40)} | {99: ""}
+
+
+def test_a_page_that_cannot_be_parsed_is_skipped_with_the_reason(spark):
+    from sitegauge.plans import on_page
+    from pyspark.sql import functions as F
+
+    pages = parse_pages(spark.createDataFrame([("s", 1, "http://a/", "<h1>x</h1>")], "site_id string, page_id bigint, url string, html string"))
+    rows = on_page.audit(pages.withColumn("parse_error", F.lit("ValueError: broken"))).collect()
+    assert rows and all(r["skipped"] and r["evidence"] == {"parse_error": "ValueError: broken"} for r in rows)
