@@ -11,10 +11,57 @@ from pyspark.sql import functions as F
 BLANKS = (
     r"\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 )
+OTHER_BLANKS = BLANKS.replace(" ", "")  # all but the plain one
 BLANK = f"[{BLANKS}]"
 NON_BLANK_RUN = f"[^{BLANKS}]+"
 _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_BEFORE, _AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"  # an edge whose one side is known to be a word character
+
+
+def _word_follows(rest: str) -> bool:
+    """What comes next in the pattern can only match a word character."""
+    if rest.startswith("("):
+        body = rest[3:] if rest.startswith("(?:") else rest[1:]
+        if body.startswith("?") or "\\|" in body:
+            return False
+        depth, start, starts = 0, 0, []
+        for i, char in enumerate(body):
+            if char in "([":
+                depth += 1
+            elif char in ")]" and depth:
+                depth -= 1
+            elif depth == 0 and char in "|)":
+                starts.append(body[start:])
+                start = i + 1
+                if char == ")":
+                    after = body[i + 1 : i + 2]
+                    return after not in ("?", "*", "{") and all(_word_follows(s) for s in starts)
+        return False
+    if rest.startswith(r"\d"):
+        return rest[2:3] not in ("?", "*")
+    if rest.startswith(("[A-Z]", "[a-z]", "[0-9]")):
+        return rest[5:6] not in ("?", "*")
+    return bool(rest) and rest[0].isascii() and rest[0].isalnum() and rest[1:2] not in ("?", "*", "{")
+
+
+def _word_precedes(done: str) -> bool:
+    """The last thing in the pattern so far is a letter, digit, ``[a-z]+``, ``\\d{n}``, or a group of such ends."""
+    if done.endswith(")") and not done.endswith("\\)"):
+        depth, end, ends = 0, len(done) - 1, []
+        for i in range(len(done) - 1, -1, -1):
+            if done[i - 1 : i] == "\\":
+                continue
+            depth += (done[i] in ")]") - (done[i] in "([")
+            if done[i] in "|(" and depth == (done[i] == "|"):
+                ends.append(done[:end])
+                end = i
+                if done[i] == "(":
+                    return all(_word_precedes(e) for e in ends)
+        return False
+    if done.endswith(("[a-z]+", r"\d+", r"\d{4}")):
+        return True
+    return done[-1:].isascii() and done[-1:].isalnum() and done[-2:-1] != "\\"
 
 
 @lru_cache(maxsize=None)
@@ -27,7 +74,7 @@ def rx(pattern: str, flags: str = "") -> str:
             out.append(BLANKS if in_class else BLANK)
             i += 2
         elif pair == r"\b" and not in_class:
-            out.append(_EDGE)
+            out.append(_BEFORE if _word_follows(pattern[i + 2 :]) else _AFTER if _word_precedes(pattern[:i]) else _EDGE)
             i += 2
         elif pair.startswith("\\"):
             out.append(pair)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ def trim_blank(value: Column) -> Column:
 
 
 def collapse(value: Column) -> Column:
-    """Blank runs to one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(text_or_empty(value), f"{P.BLANK}+", " "))
+    """Blank runs to one blank, ends trimmed. Runs that are one blank already are left alone."""
+    return F.trim(F.regexp_replace(text_or_empty(value), f"[{P.OTHER_BLANKS}]{P.BLANK}*+| {P.BLANK}++", " "))
 
 
 def word_count(value: Column) -> Column:
@@ -30,8 +33,7 @@ def word_count(value: Column) -> Column:
 
 def utf16_length(value: Column) -> Column:
     """Length in UTF-16 units: characters beyond the basic plane count twice."""
-    value = text_or_empty(value)
-    return F.length(value) + F.regexp_count(value, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return (F.octet_length(F.encode(text_or_empty(value), "UTF-16BE")) / 2).cast("int")
 
 
 def normalized(value: Column) -> Column:
@@ -205,12 +207,26 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - F.when(clean.endswith("e"), 1).otherwise(0))
 
 
+def syllable_total(text: Column, n_words: Column) -> Column:
+    """Sum of :func:`syllables` over the words of a text, from counts over the whole text.
+
+    A word has as many syllables as vowel groups, less one for a last e, but one at least: so words without a vowel,
+    and words whose only group ends in a last e, count one more than groups less last e's.
+    """
+    letters = F.regexp_replace(F.lower(text_or_empty(text)), f"[^a-z{P.BLANKS}]+", "")
+    count = lambda pattern: F.regexp_count(letters, F.lit(pattern))
+    consonants = "[b-df-hj-np-tv-xz]*+"
+    silent = count("e(?![a-z])")
+    voiced = count(f"{consonants}[aeiouy][a-z]*+")
+    only_silent = count(f"(?<![a-z]){consonants}[aeiouy]++(?<=e)(?![a-z])")
+    return count("[aeiouy]++") - silent + (n_words - voiced) + only_silent
+
+
 def flesch_reading_ease(text: Column) -> Column:
     """N10."""
-    words = P.find_all(text, P.NON_BLANK_RUN, flags="")
-    n = F.size(words)
+    n = word_count(text)
     sentences = F.greatest(P.count(text, "[.!?]+", ""), F.lit(1))
-    syl = F.aggregate(words, F.lit(0), lambda acc, w: acc + syllables(w))
+    syl = syllable_total(text, n)
     return 206.835 - 1.015 * (n / sentences) - 84.6 * (syl / F.greatest(n, F.lit(1)))
 
 
@@ -222,21 +238,29 @@ def fact_count(text: Column) -> Column:
     return P.count(text, r"\b\d+(?:\.\d+)?%|\b\d{4}\b|\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", "")
 
 
-def fact_density(text: Column) -> Column:
-    """Facts per hundred words."""
-    return rate(fact_count(text), word_count(text)) * 100
+def listed_word_count(text: Column, words: tuple[str, ...]) -> Column:
+    """Occurrences of whole words, any case; most texts hold none of them and are not searched."""
+    lower = F.lower(text_or_empty(text))
+    some = reduce(operator.or_, [F.contains(lower, F.lit(w)) for w in words])
+    return F.when(some, P.count(text, rf"\b({'|'.join(words)})\b")).otherwise(0)
+
+
+# Words that are counted.
+EVIDENCE_WORDS = ("source", "reference", "according to", "study", "report", "research")
+REVIEW_WORDS = ("review", "reviews", "rating", "ratings", "testimonial", "testimonials")
+FRESH_WORDS = ("2024", "2025", "2026", "recent", "latest", "verified")
 
 
 def evidence_word_count(text: Column) -> Column:
-    return P.count(text, r"\b(source|reference|according to|study|report|research)\b")
+    return listed_word_count(text, EVIDENCE_WORDS)
 
 
 def review_word_count(text: Column) -> Column:
-    return P.count(text, r"\b(review|reviews|rating|ratings|testimonial|testimonials)\b")
+    return listed_word_count(text, REVIEW_WORDS)
 
 
 def fresh_review_count(text: Column) -> Column:
-    return P.count(text, r"\b(2024|2025|2026|recent|latest|verified)\b")
+    return listed_word_count(text, FRESH_WORDS)
 
 
 # Names and patterns counted by the text signals below.
@@ -251,8 +275,11 @@ def review_source_count(text: Column) -> Column:
 
 
 def pattern_coverage(text: Column, patterns_: tuple[str, ...]) -> Column:
-    """How many of the patterns occur (H2 progression, follow-up sections)."""
-    return sum((P.test(text, p).cast("int") for p in patterns_), F.lit(0))
+    """How many of the patterns occur (H2 progression, follow-up sections). Patterns are plain words joined by ``|``."""
+    lower = F.lower(text_or_empty(text))
+    plain = lambda word: word[:-2] if word.endswith("?") else word  # an optional last letter does not matter for a find
+    some = lambda pattern: reduce(operator.or_, [F.contains(lower, F.lit(plain(w))) for w in pattern.split("|")])
+    return sum((some(p).cast("int") for p in patterns_), F.lit(0))
 
 
 def entity_set(text: Column) -> Column:
@@ -281,10 +308,6 @@ def llms_sections(text: Column) -> Column:
     return P.count(text, r"^#{1,3}\s+\S.+$", "m") + P.count(text, r"https?://\S+", "")
 
 
-def llms_strong_signals(text: Column) -> Column:
-    return P.count(text, r"\b(brand|services?|pages?|contact|about|pricing|products?)\b")
-
-
 def rolling_hash(text: Column) -> Column:
     """32-bit polynomial hash (multiplier 31) over the characters."""
     chars = F.filter(F.split(text_or_empty(text), ""), lambda c: c != "")

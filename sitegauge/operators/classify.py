@@ -1,6 +1,6 @@
 """Business classification against a keyword taxonomy.
 
-Texts become word n-grams which meet the keywords in an equi-join with a small broadcast table;
+Keyword runs are found inside each text and meet the keywords in an equi-join with a small broadcast table;
 there is no page x keyword product. Counts fold per page, signal and keyword before the shuffle.
 """
 
@@ -27,6 +27,11 @@ KINDS = ("industry", "sub", "model")
 _DECIMAL = "decimal(18,6)"
 
 
+def _gram(keyword: str) -> str:
+    """A keyword as normalised text holds it."""
+    return " ".join("".join(ch if ch.isalnum() else " " for ch in keyword.lower()).split())
+
+
 def keyword_table(spark: SparkSession) -> DataFrame:
     """The taxonomy as rows: kind, item, keyword and number of words (a few hundred rows, fixed)."""
     rows = []
@@ -34,18 +39,12 @@ def keyword_table(spark: SparkSession) -> DataFrame:
         for item_ord, (label, _, keywords) in enumerate(items):
             for keyword_ord, keyword in enumerate(keywords):
                 if len(keyword) >= SHORTEST_KEYWORD:
-                    gram = " ".join("".join(ch if ch.isalnum() else " " for ch in keyword.lower()).split())
-                    rows.append((kind, item_ord, label, keyword_ord, keyword, gram, " " in keyword))
+                    rows.append((kind, item_ord, label, keyword_ord, keyword, _gram(keyword), " " in keyword))
     return small_table(spark, 
         rows, "kind string, item_ord int, label string, keyword_ord int, keyword string, gram string, phrase boolean"
     )
 
 
-def _longest() -> int:
-    words = [k for items in (INDUSTRIES, SUB_INDUSTRIES, BUSINESS_MODELS) for _, _, ks in items for k in ks]
-    return max(len(k.replace("-", " ").split()) for k in words)
-
-
 def page_signals(pages: DataFrame, url: str = "url", body_limit: int | None = None) -> DataFrame:
     """One row per page and signal. ``body_limit`` restores a cut of the body text; None reads it whole."""
     c = F.col
@@ -79,8 +78,17 @@ def signal_rows(rows: DataFrame, texts: dict[str, Column], key: str = "page_id")
     return rows.select(key, F.explode(packed).alias("s")).select(key, "s.*").where(F.col("text") != "")
 
 
-def grams(text: Column, longest: int) -> Column:
-    """All runs of one to ``longest`` neighbouring words.
+def keyword_grams() -> dict[int, list[str]]:
+    """The keywords' word runs by their number of words (fixed, about 380)."""
+    out: dict[int, set[str]] = {}
+    for items in (INDUSTRIES, SUB_INDUSTRIES, BUSINESS_MODELS):
+        for gram in (_gram(k) for _, _, keywords in items for k in keywords):
+            out.setdefault(len(gram.split()), set()).add(gram)
+    return {n: sorted(found) for n, found in sorted(out.items())}
+
+
+def grams(text: Column) -> Column:
+    """The runs of neighbouring words that are keywords, found inside the row: only hits leave it.
 
     Letters beyond ASCII end a word for the keywords, and keep their neighbours apart.
     """
@@ -88,23 +96,26 @@ def grams(text: Column, longest: int) -> Column:
     words = F.filter(F.split(plain, " "), lambda w: w != "")
 
     def runs(tokens: Column, n: int) -> Column:
+        wanted = keyword_grams()[n]
+        if n == 1:
+            return F.filter(tokens, lambda w: w.isin(wanted))
         # single elements are read by position: slicing would copy the whole text at every word
-        return F.when(
-            F.size(tokens) >= n,
-            F.transform(
-                F.sequence(F.lit(0), F.size(tokens) - n),
-                lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
+        first, last = ({g.split()[at] for g in wanted} for at in (0, -1))
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(tokens) - n),
+            lambda i: F.get(tokens, i).isin(sorted(first)) & F.get(tokens, i + n - 1).isin(sorted(last)),
+        )
+        found = F.transform(places, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+        return F.when(F.size(tokens) >= n, F.filter(found, lambda g: g.isin(wanted))).otherwise(F.array().cast("array<string>"))
 
-    return T.let(words, lambda tokens: F.concat(*[runs(tokens, n) for n in range(1, longest + 1)]))
+    return T.let(words, lambda tokens: F.concat(*[runs(tokens, n) for n in keyword_grams()]))
 
 
 def keyword_hits(signals: DataFrame, key: str = "page_id") -> DataFrame:
     """C2, first half: occurrences per page, signal and keyword."""
     spark = signals.sparkSession
     keywords = keyword_table(spark)
-    exploded = signals.select(key, "signal_ord", "signal", "weight", F.explode(grams(F.col("text"), _longest())).alias("gram"))
+    exploded = signals.select(key, "signal_ord", "signal", "weight", F.explode(grams(F.col("text"))).alias("gram"))
     return (
         exploded.join(F.broadcast(keywords), "gram")
         .groupBy(key, "kind", "item_ord", "label", "signal_ord", "signal", "weight", "keyword_ord", "keyword", "phrase")

@@ -16,6 +16,7 @@ from ..operators.classify import classify_pages
 from ..plans import answer_engine, eeat, facts as FACTS, image, indexability, on_page, structured_data, technical, trust
 from ..plans.audit import sitemap_addresses
 from ..plans.rules import definitions, describe
+from ..session import stage
 from ..sources import captures as C
 from .common import HOST_SQL, parsed_pages, site_pages
 
@@ -82,13 +83,13 @@ def audit_indexability(spark, d):
 
 @register("audit_eeat")
 def audit_eeat(spark, d):
-    pages = parsed_pages(spark, d)
+    pages = stage(parsed_pages(spark, d), "page_features")
     return _described(spark, eeat.audit(pages.where("is_primary"), eeat.target_facts(pages)), S.EXPERTISE, eeat)
 
 
 @register("audit_trust")
 def audit_trust(spark, d):
-    pages = parsed_pages(spark, d)
+    pages = stage(parsed_pages(spark, d), "page_features")
     sites = _inputs(spark, d)["sites"]
     rows = trust.audit(pages.where("is_primary"), sites, trust.target_texts(pages), F.lit(AS_OF).cast("timestamp"))
     return _described(spark, rows, S.TRUST, trust)

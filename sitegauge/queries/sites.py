@@ -14,6 +14,7 @@ from ..operators import ranking as R
 from ..operators import scoring as S
 from ..operators import sitemaps as SM
 from ..plans.technical import duplicate_rates
+from ..session import small_table, stage
 from .common import HOST_SQL, parsed_pages, site_pages, table
 
 QUERIES: dict = {}
@@ -73,10 +74,9 @@ SELECT site_id, CAST(n_pages AS INT) AS n_pages, page_score, domain_score, CAST(
 def site_health(spark, d):
     """Flagship: scan, parse, aggregate, join, long check rows, score and grade per host."""
     from ..plans.rules import Verdict, check_rows
-    from ..session import small_table
 
     c = F.col
-    facts = _health_facts(spark, d)
+    facts = stage(_health_facts(spark, d), "health_facts")  # parsed once, read by two aggregates
     share = lambda condition: F.count_if(condition) / F.count(F.lit(1))
     sites = facts.groupBy("site_id").agg(
         F.count(F.lit(1)).cast("int").alias("n_pages"), share(c("title") != "").alias("titled"),
@@ -91,9 +91,8 @@ def site_health(spark, d):
     rows = check_rows(sites, ["site_id", "n_pages"], S.TECHNICAL, [([i], Verdict(v)) for i, v in verdicts.items()])
     defs = small_table(spark, [(i, float(w), s, sc) for i, w, s, sc in _HEALTH], "check_id int, weight double, severity string, scope string")
     checks = rows.join(F.broadcast(defs), "check_id")
-    scores = S.technical_scores(checks)
-    pages = checks.groupBy("site_id").agg(F.first("n_pages").alias("n_pages"))
-    return scores.join(pages, "site_id").select("site_id", "n_pages", "page_score", "domain_score", "score", "grade")
+    pages = facts.groupBy("site_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
+    return S.technical_scores(checks).join(pages, "site_id").select("site_id", "n_pages", "page_score", "domain_score", "score", "grade")
 
 
 @register("duplicate_titles", f"""WITH {_FACTS}, g AS (SELECT site_id, title, count(*) AS n FROM facts GROUP BY ALL)
@@ -116,17 +115,16 @@ def site_links(spark, d):
 
 
 @register("broken_links", f"""WITH {_LINKS}, log AS (SELECT DISTINCT url, CASE WHEN length(url) % 7 = 0 THEN 404 ELSE 200 END AS status FROM links WHERE length(url) % 5 <> 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY page_id, pos, url) AS rn FROM links)
-SELECT site_id, CAST(count(*) AS BIGINT) AS sampled, CAST(count(*) FILTER (coalesce(status, 599) >= 400) AS BIGINT) AS broken, coalesce(bool_and(coalesce(status, 599) < 400), true) AS all_live FROM f LEFT JOIN log USING (url) WHERE rn <= 10 GROUP BY ALL""")
+f AS (SELECT DISTINCT site_id, url FROM links)
+SELECT site_id, CAST(count(*) AS BIGINT) AS n_links, CAST(count(*) FILTER (coalesce(status, 599) >= 400) AS BIGINT) AS broken, coalesce(bool_and(coalesce(status, 599) < 400), true) AS all_live FROM f LEFT JOIN log USING (url) GROUP BY ALL""")
 def broken_links(spark, d):
-    """G1 + W1: first ten internal links per site against a fetch log derived from the link targets."""
-    links = L.link_rows(parsed_pages(spark, d)).where("internal").select("site_id", "page_id", "place", "url")
+    """G1: all internal links per site against a fetch log derived from the link targets."""
+    links = stage(L.link_rows(parsed_pages(spark, d)).where("internal").select("site_id", "url").distinct(), "internal_links")
     log = links.select(F.col("url").alias("req_url")).distinct().where(F.length("req_url") % 5 != 0).withColumn(
         "status", F.when(F.length("req_url") % 7 == 0, 404).otherwise(200))
-    first = R.first_k(links, ["site_id"], [F.col("place"), F.col("url")], 10)
     live = F.coalesce("status", F.lit(599)) < 400
-    return L.answer(first.withColumnRenamed("url", "req_url"), log).groupBy("site_id").agg(
-        F.count(F.lit(1)).alias("sampled"), F.count_if(~live).alias("broken"), F.bool_and(live).alias("all_live"))
+    return L.answer(links.withColumnRenamed("url", "req_url"), log).groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("n_links"), F.count_if(~live).alias("broken"), F.bool_and(live).alias("all_live"))
 
 
 @register("orphan_pages", f"""WITH p AS (SELECT page_id, {HOST_SQL} AS site_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), h AS (SELECT site_id, min(page_id) AS home FROM p GROUP BY ALL),
