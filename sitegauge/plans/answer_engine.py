@@ -389,10 +389,12 @@ def audit(facts: Facts, sitemap_urls: DataFrame, limit: int | None = PAGE_LIMIT)
                    F.lit(False)).alias("alternative_url"),
         F.coalesce(F.bool_or(is_use_case(c("url"), words)), F.lit(False)).alias("use_case_url"),
     )
-    wide = home_columns(home).join(content_columns(site_columns(site_pages(facts, limit))), "site_id")
-    for side in (files, kinds, trust_columns(facts, addresses), agent_columns(home, facts.parsed_log),
-                 rendered_columns(home, facts.rendered)):
-        wide = wide.join(side, "site_id", "left")
+    rows = facts.keep(site_pages(facts, limit), "answer_pages")
+    sites = facts.keep(content_columns(facts.keep(site_columns(rows), "answer_texts")), "answer_sites")
+    wide = facts.keep(home_columns(home), "answer_home").join(sites, "site_id")
+    for at, side in enumerate((files, kinds, trust_columns(facts, addresses), agent_columns(home, facts.parsed_log),
+                               rendered_columns(home, facts.rendered))):
+        wide = wide.join(facts.keep(side, f"answer_side_{at}"), "site_id", "left")
     return check_rows(wide, ["site_id"], ANSWER, _verdicts()).withColumn("page_id", F.lit(None).cast("bigint"))
 
 

@@ -39,6 +39,11 @@ class Facts:
     certs: DataFrame
     vitals: DataFrame
     rendered: DataFrame | None
+    staged: bool = False
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A narrow intermediate table, written once where stages are asked for; the plans behind it stay small."""
+        return stage(df, name) if self.staged else df
 
     @property
     def home(self) -> DataFrame:
@@ -143,5 +148,5 @@ def build(spark: SparkSession, inputs: dict[str, DataFrame], staged: bool) -> Fa
         manual=manual.select("req_url", "status", "location"), index=keep(index, "index"), log=log,
         certs=inputs.get("tls_certs", C.empty(spark, C.TLS_CERTS)),
         vitals=complete_columns(inputs.get("lab_vitals", C.empty(spark, C.LAB_VITALS)), C.LAB_VITALS, spark),
-        rendered=inputs.get("rendered_pages"),
+        rendered=inputs.get("rendered_pages"), staged=staged,
     )

@@ -422,7 +422,7 @@ _ANSWER = (
 def wide_columns(facts: Facts, as_of: Column) -> DataFrame:
     """Everything the rules look at, one row per site."""
     c = F.col
-    pages = page_columns(facts.pages)
+    pages = facts.keep(page_columns(facts.pages), "technical_pages")
     home = home_columns(facts.home)
     certs = certificate_ok(facts.certs, as_of)
     origin = U.origin(c("home_url"))
@@ -434,6 +434,7 @@ def wide_columns(facts: Facts, as_of: Column) -> DataFrame:
     home = home.withColumn(
         "key_candidates", R.index_key_candidates(origin, c("robots"), F.array_join("key_files", "\n"))
     )
+    home = facts.keep(home, "technical_home")
     roles = {
         "sitemap": F.coalesce(declared, F.concat(origin, F.lit("/sitemap.xml"))),
         "ai_sitemap": F.concat(origin, F.lit("/ai-sitemap.xml")), "ai_txt": F.concat(origin, F.lit("/ai.txt")),
@@ -465,15 +466,15 @@ def wide_columns(facts: Facts, as_of: Column) -> DataFrame:
     )
     chains = canonical_chain(home.select("site_id", "canonical"), facts.index)
     vitals = _vitals(home, facts.vitals)
-    out = home.join(site_columns(pages), "site_id")
-    for side in (
+    out = home.join(facts.keep(site_columns(pages), "technical_sites"), "site_id")
+    for at, side in enumerate((
         duplicate_rates(pages),
         asset_columns(facts.pages, facts.answers, home.select("site_id", "first_url", "landed_url")),
         link_columns(facts.pages, facts.answers), looked_up, manual, linked,
         subdomain_columns(facts.pages, facts.home, certs), agent_columns(home, facts.parsed_log),
         list_columns(home, facts.answers), chains, vitals,
-    ):
-        out = out.join(side, "site_id", "left")
+    )):
+        out = out.join(facts.keep(side, f"technical_side_{at}"), "site_id", "left")
     host_certs = certs.select(c("host").alias("cert_host"), "certificate_ok")
     return out.join(preloaded, ["site_id", "first_url"], "left").withColumn("cert_host", U.host(c("home_url"))).join(
         host_certs, "cert_host", "left"

@@ -85,3 +85,19 @@ def test_page_checks(spark, module, html, expected):
                    "site_id string, page_id bigint, url string, html string")
     got = states(module.audit(parse_pages(rows)))["s"]
     assert {i: got[i] for i in expected} == expected
+
+
+def test_the_public_call_ends_with_all_outputs(spark):
+    """Every published output over the whole capture; page audits, advice and reports included."""
+    from sitegauge import audit
+
+    out = audit(spark, X.inputs(spark), X.AS_OF)
+    scores = {(r["site_id"], r["audit"]): r["score"] for r in out["audit_scores"].collect()}
+    assert {s for s, _ in scores} == {"acme", "poor", "gone"} and len(scores) == 24
+    assert scores["acme", "technical"] > scores["poor", "technical"] and scores["acme", "eeat"] > scores["poor", "eeat"]
+    counts = {r["audit"]: r["count"] for r in out["check_results"].groupBy("audit").count().collect()}
+    assert counts["technical"] == 3 * 237 and counts["answer_engine"] == 2 * 61 and counts["on_page"] == 2 * 13
+    assert [r["site_id"] for r in out["rejected_sites"].collect()] == ["bad"]
+    assert out["reports"].count() == 3 and out["csv_rows"].count() > 0 and out["citation_details"].count() > 0
+    assert [r["page_id"] for r in out["orphans"].collect()] == [21]
+    assert out["recommendations"].where("site_id = 'poor'").count() > 0
