@@ -7,17 +7,20 @@ Texts become sets of hashed n-grams (five words by default); two texts link when
    token of their prefixes (the first ``n - ceil(percent * n / 100) + 1`` tokens in an order common to all sets), so only sets that
    meet in a prefix token are compared. Tokens that are frequent in a bounded sample come last in the order; the sample
    changes the work, never the result. Equal sets have one hash and take part once.
-2. *Meeting.* (token, set, size) rows are grouped by token and sorted by size; sets without a neighbour of a fitting size drop out.
-3. *Neighbours.* The pairs of sets next to each other in a token's list, and of each with the first, go through the bitmap bound and the exact
-   count. Their links already join most of each group of near copies.
-4. *Signature trees.* Lists that still hold several groups are compared in full: a tree over the list, sorted by group and
-   size, keeps in each node the OR and the AND of the bitmaps below it and their range of sizes. A dual traversal drops pairs of
-   nodes whose sizes do not fit, whose groups are already one, or whose highest possible overlap, at most the
-   larger size less the bits that all sets of one node have and no set of the other, is too small. What is left is counted exactly.
-   Lists longer than ``BLOCK`` are cut into blocks and compared block by block, so a task holds two blocks.
-
-Scale: no pairs of copies are made, near copies make pairs in proportion to their number, and texts move only if their set is in a
-pair that passed the bitmap bound. Between stages, narrow tables are written to the shared folder.
+2. *Meeting.* (token, set, size) rows are grouped by token and sorted by size; sets without a neighbour of a fitting size drop
+   out. What is left is named after the first set of its list, and lists of one name are taken together, since
+   copies and shared passages meet in many tokens.
+3. *Signature trees.* A tree over a list keeps in each node the OR and the AND of the bitmaps below it and their range of sizes. A
+   dual traversal drops pairs of nodes whose sizes do not fit or whose highest possible overlap (the larger size less the
+   bits that all sets of one node have and no set of the other) is too small. Sets that keep a partner go on.
+4. *Links.* Only the texts of those sets are read again. A second traversal over their full sets counts overlaps
+   exactly. It skips nodes whose sets already are in one group, so a group of near copies makes links in proportion to
+   its size.
+
+Lists with many tokens are cut into blocks and compared block by block: a task holds two blocks of about ``BLOCK_TOKENS``.
+
+Scale: no pairs are shuffled, only sets with the names of their lists. Between stages, narrow tables are written to the shared
+folder.
 
 Defined cases: null or blank texts have an empty set and are groups of their own; texts of fewer words than an n-gram
 have one n-gram, the whole; rows with equal ids are told apart by their text; a null id ranks last and is named only if its whole
@@ -46,7 +49,8 @@ PERCENT = 75
 SAMPLE_ROWS = 20_000
 SAMPLE_COUNT = 5
 MAX_FREQUENT = 200_000
-BLOCK = 512
+BLOCK_TOKENS = 500_000
+BROADCAST_ROWS = 1_000_000  # narrow id rows; beyond it the join is a shuffle
 LEAF = 8
 SEEN = 1_000_000
 CACHE = 2_000_000
@@ -77,8 +81,8 @@ def ngram_set(text: str | None, hashes: WordHashes, ngram: int = NGRAM) -> np.nd
 
 
 def resolution(n: int) -> int:
-    """Bits of a bitmap for a set of ``n`` tokens: two to four per token, a power of two."""
-    return max(64, 1 << (n.bit_length() + 1))
+    """Bits of a bitmap for a set of ``n`` tokens: four to eight per token, a power of two."""
+    return max(64, 1 << (n.bit_length() + 2))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -129,7 +133,7 @@ def frequent_tokens(docs: DataFrame, ngram: int) -> np.ndarray:
     return np.sort(top.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-SETS = "doc_id bigint, mark bigint, n int, sid bigint, prefix array<bigint>, bits binary"
+SETS = "doc_id bigint, mark bigint, n int, sid bigint, low bigint, prefix array<bigint>, bits binary"
 
 
 def document_sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -140,13 +144,14 @@ def document_sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             for part in text_slices(batch, "text"):
-                sizes, sids, prefixes, maps = [], [], [], []
+                sizes, sids, lows, prefixes, maps = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     tokens = ngram_set(text, hashes, ngram)
                     n = len(tokens)
-                    sid = xxhash.xxh3_64_intdigest(tokens.tobytes(), n) - (1 << 63) if n else None
+                    sid = set_hash(tokens) if n else None
                     sizes.append(n)
                     sids.append(sid)
+                    lows.append(int(tokens[:1].view(np.int64)[0]) if n else None)
                     if not n or sid in seen:
                         prefixes.append(None)
                         maps.append(None)
@@ -162,8 +167,8 @@ def document_sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
                     maps.append(bitmap(tokens).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(sids, pa.int64()),
-                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                    names=["doc_id", "mark", "n", "sid", "prefix", "bits"],
+                     pa.array(lows, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                    names=["doc_id", "mark", "n", "sid", "low", "prefix", "bits"],
                 )
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, SETS)
@@ -174,78 +179,48 @@ def fits(small: str, large: str, percent: int) -> str:
 
 
 def meetings(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, sid, n, before, first) of sets that meet another set of fitting size in a prefix token."""
+    """Distinct rows (name, sid, n): sets that meet another set of fitting size in a prefix token, under the first set of that list."""
     rows = sets.where("prefix is not null").select("sid", "n", F.explode("prefix").alias("token"))
     by_size = Window.partitionBy("token").orderBy("n", "sid")
     rows = rows.withColumn("same", F.lag("sid").over(by_size)).where("same is null or same != sid").drop("same")
-    rows = rows.withColumns({
-        "before": F.lag("sid").over(by_size), "before_n": F.lag("n").over(by_size), "after_n": F.lead("n").over(by_size),
-        "first": F.first("sid").over(by_size), "first_n": F.first("n").over(by_size),
-    })
+    rows = rows.withColumns({"before_n": F.lag("n").over(by_size), "after_n": F.lead("n").over(by_size)})
     lower, upper = F.expr(fits("before_n", "n", percent)), F.expr(fits("n", "after_n", percent))
+    # a list is cut where sizes leap, so that its name is a set of its own part
+    rows = rows.withColumn("part", F.sum((~F.coalesce(lower, F.lit(False))).cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where(lower | upper)
-    return rows.select(
-        "token", "sid", "n", F.when(lower, F.col("before")).alias("before"),
-        F.when(F.expr(fits("first_n", "n", percent)) & (F.col("first") != F.col("sid")), F.col("first")).alias("first"),
-    )
-
-
-def pair(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    part = Window.partitionBy("token", "part").orderBy("n", "sid")
+    return rows.withColumn("name", F.first("sid").over(part)).select("name", "sid", "n").distinct()
 
 
-def within_bound(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their bitmaps do not rule out."""
-    left = maps.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = maps.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, bits_a, n_b, bits_b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b"))
-            keep = [
-                enough(bound(np.frombuffer(x, np.uint64), i, np.frombuffer(y, np.uint64), j), i, j, percent)
-                for i, x, j, y in zip(n_a, bits_a, n_b, bits_b)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a bigint, b bigint")
+def set_hash(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens)) - (1 << 63)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """The pairs whose exact similarity is high enough; only texts of these pairs are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    chosen = sets.where("sid is not null").join(ids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("d"))
-    chosen = stage(chosen.select("d.doc_id", "d.mark"), "ngram_texts")
-    wanted = docs.select("doc_id", "mark", "text").join(chosen, ["doc_id", "mark"], "left_semi")
+def full_sets(sids: DataFrame, docs: DataFrame, sets: DataFrame, ngram: int) -> DataFrame:
+    """(sid, tokens) of the wanted sets; one text of each is read again."""
+    chosen = sets.where("sid is not null").join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("d"))
+    chosen = stage(chosen.select(F.col("d.doc_id").alias("i"), F.col("d.mark").alias("m")), "ngram_texts")
+    few = chosen.count() <= BROADCAST_ROWS
+    wanted = docs.select("doc_id", "mark", "text").join(
+        F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi"
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = [ngram_set(t, hashes, ngram) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                sids = [xxhash.xxh3_64_intdigest(t.tobytes(), len(t)) - (1 << 63) for t in found]
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], names=["sid", "tokens"])
-
-    tokens = stage(wanted.mapInArrow(read, "sid bigint, tokens binary").dropDuplicates(["sid"]), "ngram_tokens")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([set_hash(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], names=["sid", "tokens"]
+                )
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("tokens_a", "tokens_b"))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                keep.append(bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    full = pairs.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b")), "b").join(
-        tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a")), "a"
-    )
-    return full.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a bigint, b bigint")
+    return stage(wanted.mapInArrow(read, "sid bigint, tokens binary").dropDuplicates(["sid"]), "ngram_tokens")
 
 
 class Node:
-    """A range of a list sorted by group and size."""
+    """A range of a sorted list."""
 
-    __slots__ = ("all_of", "any_of", "group", "hi", "left", "lo", "max_n", "min_n", "right")
+    __slots__ = ("all_of", "any_of", "hi", "left", "lo", "max_n", "min_n", "right")
 
     def __init__(self, tree: Tree, lo: int, hi: int):
         self.lo, self.hi = lo, hi
@@ -260,68 +235,90 @@ class Node:
             self.any_of = self.left.any_of | self.right.any_of
             self.all_of = self.left.all_of & self.right.all_of
             self.min_n, self.max_n = min(self.left.min_n, self.right.min_n), max(self.left.max_n, self.right.max_n)
-        self.group = int(tree.group[lo]) if tree.group[lo] == tree.group[hi - 1] else None
 
 
 class Tree:
-    """Signature tree of sets with bitmaps of one resolution."""
+    """Signature tree of sets with bitmaps of one resolution; sets with the same lowest token, as copies have, lie together."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, low: np.ndarray, bits: np.ndarray):
+        order = np.lexsort((n, low))
+        self.at, self.n, self.bits = at[order], n[order], bits[order]
+        self.root = Node(self, 0, len(at))
+
 
-    def __init__(self, sid: np.ndarray, n: np.ndarray, group: np.ndarray, bits: np.ndarray):
-        order = np.lexsort((n, group))
-        self.sid, self.n, self.group, self.bits = sid[order], n[order], group[order], bits[order]
-        self.root = Node(self, 0, len(sid))
+class Roots:
+    """Groups of the places of a list."""
 
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-def _apart(x: Node, y: Node, percent: int) -> bool:
-    """No set of ``x`` can link with one of ``y``."""
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def one(self, places: np.ndarray) -> int | None:
+        """The group of all the places, None if there are several."""
+        first = self.find(int(places[0]))
+        return first if all(self.find(int(p)) == first for p in places[1:]) else None
+
+
+def _apart(one: Tree, x: Node, other: Tree, y: Node, percent: int, roots: Roots | None) -> bool:
+    """No set of ``x`` needs to be compared with one of ``y``."""
     if 100 * x.max_n < percent * y.min_n or 100 * y.max_n < percent * x.min_n:
         return True
-    if x.group is not None and x.group == y.group:
-        return True
     most = min(
         x.max_n - int(np.bitwise_count(x.all_of & ~y.any_of).sum()), y.max_n - int(np.bitwise_count(y.all_of & ~x.any_of).sum())
     )
-    return not enough(most, x.min_n, y.min_n, percent)
+    if not enough(most, x.min_n, y.min_n, percent):
+        return True
+    if roots is None:
+        return False
+    group = roots.one(one.at[x.lo : x.hi])
+    return group is not None and group == roots.one(other.at[y.lo : y.hi])
 
 
-def dual(one: Tree, other: Tree, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of sets, one of each tree (each pair once if it is one tree), that the bounds do not rule out."""
+def dual(one: Tree, other: Tree, percent: int, roots: Roots | None = None) -> Iterator[tuple[int, int]]:
+    """Places of sets, one of each tree (each pair once if it is one tree), that the bounds do not rule out.
+
+    With ``roots``, which the caller may join while the pairs come, pairs within one group are passed over.
+    """
     todo = [(one.root, other.root)]
     while todo:
         x, y = todo.pop()
-        if _apart(x, y, percent):
+        if _apart(one, x, other, y, percent, roots):
             continue
         if x.left is None and y.left is None:
             a, b = slice(x.lo, x.hi), slice(y.lo, y.hi)
             bits_a, bits_b = one.bits[a][:, None], other.bits[b][None]
             n_a, n_b = one.n[a][:, None], other.n[b][None]
             most = np.minimum(n_a - np.bitwise_count(bits_a & ~bits_b).sum(-1, dtype=np.int64), n_b - np.bitwise_count(bits_b & ~bits_a).sum(-1, dtype=np.int64))
-            keep = enough(most, n_a, n_b, percent) & (one.group[a][:, None] != other.group[b][None])
+            keep = enough(most, n_a, n_b, percent)
             if x is y:
                 keep &= np.tri(x.hi - x.lo, k=-1, dtype=bool)
             for i, j in zip(*np.nonzero(keep)):
-                yield int(one.sid[x.lo + i]), int(other.sid[y.lo + j])
+                i, j = int(one.at[x.lo + i]), int(other.at[y.lo + j])
+                if roots is None or roots.find(i) != roots.find(j):
+                    yield i, j
         elif x is y:
-            todo += [(x.left, x.left), (x.left, x.right), (x.right, x.right)]
+            todo += [(x.left, x.right), (x.right, x.right), (x.left, x.left)]  # near sets first
         elif y.left is None or (x.left is not None and x.hi - x.lo >= y.hi - y.lo):
             todo += [(x.left, y), (x.right, y)]
         else:
             todo += [(x, y.left), (x, y.right)]
 
 
-def list_pairs(sid: list, n: list, group: list, block: list, bits: list, percent: int) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of one list (or of two blocks of it, when ``block`` has two values)."""
-    words = np.array([len(b) // 8 for b in bits])
-    sid, n, group, block = (np.array(x, dtype=np.int64) for x in (sid, n, group, block))
+def list_pairs(n: list, low: list, block: list, bits: list, percent: int, roots: Roots | None = None) -> Iterator[tuple[int, int]]:
+    """Places of candidate pairs of one list, or of two blocks of it when ``block`` has two values."""
+    words = np.array([len(b) for b in bits])
+    n, low, block = (np.array(x, dtype=np.int64) for x in (n, low, block))
     blocks = np.unique(block).tolist()
     x, y = blocks[0], blocks[-1]
 
     def tree(chosen: np.ndarray, size: int) -> Tree | None:
         at = np.flatnonzero(chosen)
-        if not len(at):
-            return None
-        rows = np.stack([fold(np.frombuffer(bits[i], np.uint64), size) for i in at])
-        return Tree(sid[at], n[at], group[at], rows)
+        return Tree(at, n[at], low[at], np.stack([fold(bits[i], size) for i in at])) if len(at) else None
 
     for size in np.unique(words).tolist():
         own, next_up = words == size, words == 2 * size  # fitting sizes are in one resolution or in neighbouring ones
@@ -331,64 +328,79 @@ def list_pairs(sid: list, n: list, group: list, block: list, bits: list, percent
             combinations.append((second, tree(next_up & (block == x), size)))
         for one, other in combinations:
             if one is not None and other is not None:
-                yield from dual(one, other, percent)
+                yield from dual(one, other, percent, roots)
+
+
+KEY = ("name", "x", "y")
+
 
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each list, from batches sorted by :data:`KEY` (the first three columns)."""
+    held: list = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups that meet in a token and pass the bounds of the signature trees."""
-    counts = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-    counts = counts.where("c > 2 and lo != hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+
+def partnered(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Rows (name, x, y, block, sid) of sets that keep a partner in the signature tree of their list."""
+    sums = met.groupBy("name").agg(F.sum("n").alias("tokens"), F.count("*").alias("c")).where("c > 1")
+    sums = sums.select("name", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    rows = met.join(sums, "name").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("token", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "sid", "n", "group", "bits")
-    rows = rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    rows = rows.select("name", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "sid", "n")
+    rows = rows.join(maps.select("sid", "low", "bits"), "sid").select(*KEY, "block", "sid", "n", "low", "bits")
+    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        key = None
-        sent: set = set()
-
-        def flush() -> pa.RecordBatch:
-            pairs = set()
-            if len(held) > 1 and (key[1] == key[2] or len({r[3] for r in held}) == 2):
-                _, _, _, block, sid, n, group, bits = zip(*held)
-                pairs = {(min(p), max(p)) for p in list_pairs(sid, n, group, block, bits, percent)} - sent
-            if len(sent) > SEEN:
-                sent.clear()
-            sent.update(pairs)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        for rows in lists_of(batches):
+            name, x, y, block, sid, n, low, bits = zip(*rows)
+            if len(rows) == 1 or (x[0] != y[0] and len(set(block)) == 1):
+                continue
+            kept = sorted({i for p in list_pairs(n, low, block, [np.frombuffer(b, np.uint64) for b in bits], percent) for i in p})
+            if kept:
+                columns = [[c[i] for i in kept] for c in (name, x, y, block, sid)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+                    names=[*KEY, "block", "sid"],
+                )
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if held:
-                        out = flush()
-                        if out.num_rows:
-                            yield out
-                    held, key = [], row[:3]
-                held.append(row)
-        if held:
-            yield flush()
+    return rows.mapInArrow(run, "name bigint, x int, y int, block int, sid bigint")
+
+
+def links_of(kept: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the groups of each list; overlaps are counted exactly."""
+    rows = kept.join(tokens, "sid").select(*KEY, "block", "sid", "tokens").repartition(*KEY).sortWithinPartitions(*KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in lists_of(batches):
+            _, _, _, block, sid, cells = zip(*rows)
+            sets = [np.frombuffer(c, np.uint64) for c in cells]
+            roots, links = Roots(len(sets)), []
+            sizes, lows = [len(t) for t in sets], [int(t[:1].view(np.int64)[0]) for t in sets]
+            for i, j in list_pairs(sizes, lows, block, [bitmap(t) for t in sets], percent, roots):
+                if enough(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), percent):
+                    roots.up[roots.find(i)] = roots.find(j)
+                    links.append((sid[i], sid[j]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, mark (hash of the text), n_shingles, component_id."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", text_mark(F.col("text")))
     sets = stage(document_sets(rows, ngram, percent), "ngram_sets")
-    maps = sets.where("bits is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    met = stage(meetings(sets, percent), "ngram_meetings")
-    near = met.where("before is not null").select(*pair("sid", "before")).union(met.where("first is not null").select(*pair("sid", "first"))).distinct()
-    near = stage(within_bound(near, maps, percent), "ngram_near")
-    links = stage(linked(near, rows, sets, ngram, percent), "ngram_links")
-    roots = components(links)
-
-    grouped = met.select("token", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    grouped = grouped.select("token", "sid", "n", F.coalesce("root", "sid").alias("group")).join(maps.select("sid", "bits"), "sid")
-    rest = tree_pairs(grouped, percent).join(near, ["a", "b"], "left_anti")
-    more = linked(stage(rest, "ngram_rest"), rows, sets, ngram, percent)
-    roots = components(stage(links.unionByName(more), "ngram_all_links"))
+    maps = sets.where("bits is not null").groupBy("sid").agg(F.first("low").alias("low"), F.first("bits").alias("bits"))
+    kept = stage(partnered(stage(meetings(sets, percent), "ngram_meetings"), maps, percent), "ngram_partners")
+    tokens = full_sets(kept.select("sid").distinct(), rows, sets, ngram)
+    roots = components(stage(links_of(kept, tokens, percent), "ngram_links"))
 
     firsts = sets.where("sid is not null").groupBy("sid").agg(F.min(document_rank(F.col("doc_id"))).alias("first"))
     firsts = firsts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -71,16 +71,20 @@ def test_trees_lose_no_link():
         wanted = brute_links([set(s.tolist()) for s in sets])
         for blocks in (1, 3):
             block = [i % blocks for i in range(len(sets))]
-            found = set()
+            found, roots = set(), J.Roots(len(sets))
             for x in range(blocks):
                 for y in range(x, blocks):
                     at = [i for i in range(len(sets)) if block[i] in (x, y)]
-                    found |= {
-                        (min(p), max(p)) for p in J.list_pairs(
-                            at, [len(sets[i]) for i in at], at, [block[i] for i in at], [J.bitmap(sets[i]).tobytes() for i in at], 75)
-                    }
+                    given = [len(sets[i]) for i in at], [int(sets[i][:1].view(np.int64)[0]) for i in at], [block[i] for i in at], [J.bitmap(sets[i]) for i in at]
+                    found |= {(min(at[i], at[j]), max(at[i], at[j])) for i, j in J.list_pairs(*given, 75)}
             assert wanted <= found
             assert len(found) < len(sets) ** 2 / 4
+        checked = 0
+        for i, j in J.list_pairs([len(s) for s in sets], [int(s[:1].view(np.int64)[0]) for s in sets], [0] * len(sets), [J.bitmap(s) for s in sets], 75, roots):
+            checked += 1
+            if (min(i, j), max(i, j)) in wanted:
+                roots.up[roots.find(i)] = roots.find(j)
+        assert all(roots.find(i) == roots.find(j) for i, j in wanted) and checked < len(found)
 
 
 def test_bound_and_prefix_are_safe():
@@ -105,7 +109,8 @@ def test_components_of_stars_chains_and_rings(spark):
 
 
 def test_groups_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 8)  # lists are cut into several blocks
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 2000)  # lists are cut into several blocks
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 3)
     texts = corpus(11)
     random.Random(2).shuffle(texts)
     ids = [3 * i + 1 for i in range(len(texts))]
