@@ -311,19 +311,19 @@ def site_ranking(spark, d):
     return REP.rank_sites(S.skip_aware_scores(check_rows(spark, d), ("site_id", "audit"))).withColumn("percent_rank", F.round("percent_rank", 9))
 
 
-@register("missing_audits", f"""WITH {CHECKS_SQL}, few AS (SELECT * FROM checks WHERE part % 8 <> line_order % 8 AND line_order % 16 >= 8 AND part % 200 < 3),
-sc AS (SELECT site_id, audit, {CLAMP.format("sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) * 100")} AS score FROM few GROUP BY ALL),
+@register("missing_audits", f"""WITH {CHECKS_SQL},
+sc AS (SELECT part AS site_id, audit, {CLAMP.format("sum(CASE WHEN passed THEN weight ELSE 0 END) / sum(weight) * 100")} AS score FROM checks GROUP BY ALL),
 names(audit) AS (VALUES {", ".join(f"('{a}')" for a in S.AUDITS)})
-SELECT s_suppkey AS site_id, audit, score IS NOT NULL AS available,
+SELECT p_partkey AS site_id, audit, score IS NOT NULL AS available,
   coalesce(score, CASE WHEN audit IN ('technical','answer_engine','indexability') THEN 0 ELSE 100 END) AS score
-FROM supplier CROSS JOIN names LEFT JOIN sc ON sc.site_id = s_suppkey AND sc.audit = names.audit""".replace("SELECT s_suppkey AS site_id, audit, score", "SELECT s_suppkey AS site_id, names.audit AS audit, score").replace("WHEN audit IN ('technical','answer_engine','indexability') THEN 0 ELSE 100 END) AS score\nFROM supplier", "WHEN names.audit IN ('technical','answer_engine','indexability') THEN 0 ELSE 100 END) AS score\nFROM supplier"))
+FROM part CROSS JOIN names LEFT JOIN sc ON sc.site_id = p_partkey AND sc.audit = names.audit""".replace("SELECT p_partkey AS site_id, audit, score", "SELECT p_partkey AS site_id, names.audit AS audit, score").replace("WHEN audit IN ('technical','answer_engine','indexability') THEN 0 ELSE 100 END) AS score\nFROM part", "WHEN names.audit IN ('technical','answer_engine','indexability') THEN 0 ELSE 100 END) AS score\nFROM part"))
 def missing_audits(spark, d):
+    """Every part as a site; the few lines of a part leave some of its audits without a result."""
     c = F.col
-    few = check_rows(spark, d).where((c("part") % 8 != c("line_order") % 8) & (c("line_order") % 16 >= 8) & (c("part") % 200 < 3))
-    scores = few.groupBy("site_id", "audit").agg(
+    scores = check_rows(spark, d).groupBy(c("part").alias("site_id"), "audit").agg(
         S.clamp_score(S.sum_if(c("passed"), c("weight")) / F.sum("weight") * 100).alias("score")
     ).withColumn("grade", S.grade(c("score"))).withColumn("blocker_failed", F.lit(False))
-    sites = table(spark, d, "supplier").select(c("s_suppkey").alias("site_id"))
+    sites = table(spark, d, "part").select(c("p_partkey").alias("site_id"))
     return S.with_missing_audits(scores, sites).select("site_id", "audit", "available", "score")
 
 
@@ -340,7 +340,7 @@ def first_failing_samples(spark, d):
 
 
 _FAILED_SQL = """f AS (SELECT l_suppkey AS site_id, CAST(l_partkey % 120 + 1 AS INT) AS check_id, count(*) AS n FROM lineitem
-  WHERE l_discount > 0.08 AND l_tax < 0.02 AND l_partkey % 120 % 7 = l_suppkey % 7 GROUP BY ALL),
+  GROUP BY ALL HAVING 2 * sum(CAST(round(l_discount * 100) AS BIGINT)) > 11 * count(*)),
 failed AS (SELECT site_id, check_id, 'Check no. ' || check_id AS name, 'Group ' || (check_id % 5) AS category,
   list_extract(['BLOCKER','MAJOR','MINOR','ADVISORY'], check_id % 4 + 1) AS severity, CAST(check_id % 11 AS DOUBLE) AS weight, 'n=' || n AS evidence_text FROM f)"""
 
@@ -369,9 +369,10 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_id ORDER BY pr, o
 SELECT site_id, rank, list_extract(['High Priority','Medium Priority','Low Priority'], CAST(pr + 1 AS INT)) AS priority, recommendation, reason, expected_impact FROM ranked WHERE rank <= 12""")
 def recommendations(spark, d):
     c = F.col
-    counts = table(spark, d, "lineitem").where(
-        (c("l_discount") > 0.08) & (c("l_tax") < 0.02) & (c("l_partkey") % 120 % 7 == c("l_suppkey") % 7)
-    ).groupBy(c("l_suppkey").alias("site_id"), (c("l_partkey") % 120 + 1).cast("int").alias("check_id")).agg(F.count(F.lit(1)).alias("n"))
+    # a check of a site fails when its lines have a mean discount above 5.5 %
+    counts = table(spark, d, "lineitem").groupBy(
+        c("l_suppkey").alias("site_id"), (c("l_partkey") % 120 + 1).cast("int").alias("check_id")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(c("l_discount") * 100).cast("bigint")).alias("discount")).where("2 * discount > 11 * n")
     hard = F.array(*[F.lit(s) for s in ("BLOCKER", "MAJOR", "MINOR", "ADVISORY")])
     failed = counts.select(
         "site_id", "check_id", F.concat(F.lit("Check no. "), "check_id").alias("name"),

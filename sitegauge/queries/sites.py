@@ -128,12 +128,13 @@ def broken_links(spark, d):
 
 
 @register("orphan_pages", f"""WITH p AS (SELECT page_id, {HOST_SQL} AS site_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), h AS (SELECT site_id, min(page_id) AS home FROM p GROUP BY ALL),
-l AS (SELECT DISTINCT site_id, u FROM p WHERE page_id % 3 = 0)
+l AS (SELECT DISTINCT a.site_id, b.u FROM p a JOIN p b ON b.page_id = a.page_id + 3 AND b.site_id = a.site_id)
 SELECT p.page_id, p.site_id FROM p JOIN h USING (site_id) WHERE page_id <> home AND NOT EXISTS (SELECT 1 FROM l WHERE l.site_id = p.site_id AND l.u = p.u)""")
 def orphan_pages(spark, d):
-    """Links derived from every third page's own address."""
+    """Every page links to the page three ids on, where that is on its site."""
     pages = L.assign_order(site_pages(spark, d).withColumn("final_url", F.regexp_replace("url", r"[?#].*$", "")))
-    links = pages.where(F.col("page_id") % 3 == 0).select("site_id", F.col("final_url").alias("url"), F.lit(True).alias("internal"))
+    linking = pages.select("site_id", (F.col("page_id") + 3).alias("page_id"))
+    links = pages.join(linking, ["site_id", "page_id"]).select("site_id", F.col("final_url").alias("url"), F.lit(True).alias("internal"))
     return L.orphan_pages(pages, links).select("page_id", "site_id")
 
 

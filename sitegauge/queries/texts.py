@@ -298,12 +298,10 @@ def url_sources(spark, d):
     return R.union_distinct(urls, bare).withColumn("tag", F.lit("x"))
 
 
-@register("uncovered_parts", "SELECT s_suppkey, count(*) AS missing FROM (SELECT DISTINCT s_suppkey, p_brand FROM supplier, part EXCEPT SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45) GROUP BY ALL")
+@register("uncovered_parts", "SELECT s_suppkey, count(*) AS missing FROM (SELECT DISTINCT l_suppkey AS s_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey EXCEPT SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45) GROUP BY ALL")
 def uncovered_parts(spark, d):
-    """Brands a supplier has no large line of (brands: at most 25 fixed values)."""
+    """Brands a supplier sells, less those it has a large line of; both sets come from one pass of partial sums."""
     part = table(spark, d, "part").select("p_partkey", "p_brand")
-    brands = part.select("p_brand").distinct()
-    wanted = table(spark, d, "supplier").select("s_suppkey").join(F.broadcast(brands))
-    seen = table(spark, d, "lineitem").where(F.col("l_quantity") > 45).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_suppkey").alias("s_suppkey"), "p_brand")
-    return wanted.join(seen, ["s_suppkey", "p_brand"], "left_anti").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("missing"))
+    sold = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_suppkey").alias("s_suppkey"), "p_brand").agg(F.bool_or(F.col("l_quantity") > 45).alias("large"))
+    return sold.where(~F.col("large")).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("missing"))
