@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.links import page_facts
 from ..operators.parse import parse_pages
-from ..plans import image, on_page, structured_data
+from ..plans import eeat, image, indexability, on_page, structured_data
 from .common import table
 
 QUERIES: dict = {}
@@ -184,3 +185,111 @@ add("checks_structured_data", structured_data, [
     50: when("k % 2 = 0", _not(f"{_PROD} and k % 5 > 0")), 60: when("k % 2 = 0", _not(_PERSON)),
     **{i: when("k % 2 = 0", f"k % {n} > 0") for i, (n, _, _) in _SPECIAL.items()},
 }, _HEAD, "CASE WHEN k % 23 = 0 THEN 'https://shop.example/' ELSE 'https://shop.example/p/' || k END")
+
+
+# --- indexability: every part is a site with a home page, perhaps a canonical target, and answers ------------------------
+
+_HOME = "'https://s' || k || '.example/'"
+_TARGET = "'https://s' || k || '.example/t'"
+_KNOWN = "(k % 5 > 0)"  # the canonical target was captured
+_INDEX_HEAD = [
+    ("k % 4 = 0", '<link rel="canonical" href="https://s§.example/">', ""), ("k % 4 = 1", '<link rel="canonical" href="https://s§.example/t">', ""),
+    ("k % 4 = 2", '<link rel="canonical" href="http://s§.example/other">', ""),
+    ("k % 11 = 0", '<meta name="robots" content="noindex">', ""), ("k % 19 = 0", '<meta name="robots" content="nosnippet">', ""),
+    ("k % 23 = 0", '<meta name="googlebot" content="max-snippet:10">', ""), ("k % 23 = 1", '<meta name="googlebot" content="max-snippet:-1">', ""),
+    ("k % 31 = 0", '<meta name="bingbot" content="max-image-preview:none">', ""),
+    ("k % 47 = 0", '<link rel="alternate" hreflang="en" href="https://s§.example/en">', ""), ("k % 47 = 1", '<link rel="alternate" hreflang="english" href="https://s§.example/en">', ""),
+]
+_LONG = " ".join(f"more{i}" for i in range(120))
+_INDEX_BODY = [
+    ("true", WORDS, ""), ("k % 29 = 0", f"<div data-nosnippet>{_LONG}</div>", ""), ("k % 43 = 0", '<a href="/l?page=2">next</a>', ""),
+    ("k % 53 = 0", '<form action="/login"></form>', ""), ("k % 59 = 0", '<div class="cookie-bar">ok</div>', ""),
+    ("k % 61 = 0", "<script>setInterval(\"history.pushState()\", 9)</script>", ""),
+    ("k % 67 = 0", f'<div style="display:none">{_LONG}</div>', ""), ("k % 73 = 0", "<script>loadMore()</script>", ""),
+]
+_INDEX_VERDICTS = {
+    1: when("k % 11 > 0"), 2: when("true", "true"), 3: when("true", "true"), 4: when("true", "true"),
+    5: when(_not(f"(k % 4 = 0 and k % 11 = 0) or (k % 4 = 1 and {_KNOWN} and k % 3 = 0)")),
+    6: when(_not(f"k % 2 = 0 and (k % 11 = 0 or ({_KNOWN} and k % 3 = 0))")), 7: when("k % 4 = 0"), 8: when("k % 4 < 2"),
+    9: when(f"k % 4 = 0 or (k % 4 = 1 and {_KNOWN} and k % 13 > 0)"), 10: when(_not(f"k % 4 = 1 and {_KNOWN} and k % 7 = 0")), 11: when("true"),
+    12: when("k % 19 > 0"), 13: when("k % 23 > 0"), 14: when("k % 29 > 0"), 15: when("k % 31 > 0"), 16: when("k % 37 < 30"), 17: when("k % 41 > 0"),
+    18: when("true"), 19: when("k % 4 < 3", "k % 43 > 0"), 20: when("k % 47 = 0", "k % 47 > 1"), 21: when("k % 53 > 0"),
+    22: when("k % 59 > 0 or k % 67 = 0 or k % 29 = 0"), 23: when("k % 61 > 0"), 24: when("k % 67 > 0"), 25: when("k % 71 < 60"),
+    26: when("k % 73 > 0 or k % 43 = 0"),
+}
+
+
+def _site_pages(spark, d, head: list[Piece], pieces: list[Piece], url: str):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    joined = lambda given: [F.when(F.expr(c), F.lit(yes)).otherwise(F.lit(no)) for c, yes, no in given]
+    html = F.concat(F.lit("<!doctype html><html><head>"), *joined(head), F.lit("</head><body>"), *joined(pieces), F.lit("</body></html>"))
+    return rows.select(
+        "k", F.col("k").cast("string").alias("site_id"), F.col("k").cast("bigint").alias("page_id"), F.expr(url).alias("url"),
+        F.replace(html, F.lit("§"), F.col("k").cast("string")).alias("html"),
+    )
+
+
+def checks_indexability(spark, d):
+    """All checks of the indexability audit with canonical targets, redirects, probes and sitemap rows."""
+    home = _site_pages(spark, d, _INDEX_HEAD, _INDEX_BODY, _HOME).withColumn("status", F.lit(200))
+    target = _site_pages(spark, d, [
+        ("k % 3 = 0", '<meta name="robots" content="noindex">', ""),
+        ("k % 7 = 0", '<link rel="canonical" href="https://s§.example/u">', '<link rel="canonical" href="https://s§.example/t">'),
+    ], [], _TARGET).where(_KNOWN).withColumn("status", F.expr("CASE WHEN k % 13 = 0 THEN 404 ELSE 200 END"))
+    parsed = parse_pages(home.drop("k"))
+    facts = page_facts(parsed.unionByName(parse_pages(target.drop("k"))))
+    keys = home.select("k", "url")
+    answers = lambda condition, url, status, location: keys.where(condition).select(
+        F.expr(url).alias("req_url"), F.lit(status).alias("status"), F.expr(location).alias("location"))
+    probes = [answers("k % 71 < 60", f"{_HOME} || '{p[1:]}'", 404, "''") for p in indexability.PROBES]
+    manual = answers("k % 37 < 30", "'http://s' || k || '.example/'", 301, "url").unionByName(
+        answers("k % 41 = 0", "'https://www.s' || k || '.example/'", 200, "''"))
+    addresses = keys.where("k % 2 = 0").select(
+        F.col("k").cast("string").alias("site_id"), F.explode(F.array("url", F.expr(_TARGET))).alias("url"), F.lit(0).alias("place"))
+    rows = indexability.audit(parsed, facts, probes[0].unionByName(probes[1]).drop("location"), manual, addresses)
+    return verdict_rows(rows)
+
+
+QUERIES["checks_indexability"], ORACLES["checks_indexability"] = checks_indexability, verdict_sql(_INDEX_VERDICTS)
+
+
+# --- expertise: a home page, and linked pages of each role ------------------------------------------------------------
+
+_ROLE_PAGES = {  # role: (path, pieces of its page)
+    "about": ("about", [("k % 2 = 0", "<p>" + " ".join(f"a{i}" for i in range(300)) + "</p>", "<p>few words</p>")]),
+    "contact": ("contact", [("k % 3 = 0", "<p> 12 Main Street, Springfield </p>", ""), ("k % 5 = 0", "<p> +1 555 123 4567 </p>", ""), ("k % 7 = 0", "<p> info@acme.com </p>", "")]),
+    "privacy": ("privacy", [("k % 11 = 0", "<p>" + " ".join(f"p{i}" for i in range(300)) + "</p>", "<p>few words</p>")]),
+    "terms": ("terms", [("k % 13 = 0", "<p>" + " ".join(f"t{i}" for i in range(100)) + "</p>", "<p>few words</p>")]),
+    "team": ("team", [("k % 17 = 0", '<img src="/a.webp"><img src="/b.webp">', "<p>us</p>")]),
+    "editorial": ("editorial", [("k % 19 = 0", "<p>" + " ".join(f"e{i}" for i in range(100)) + "</p>", "<p>few words</p>")]),
+    "case_study": ("case-studies", [("k % 23 = 0", "<p>it saved 40% of it</p>", "<p>few words</p>")]),
+}
+
+
+def _linked(role: str) -> str:
+    """Sites that link the page of a role."""
+    return f"(k % 29 <> {list(_ROLE_PAGES).index(role) + 1})"
+
+
+def checks_eeat(spark, d):
+    """The checks of the expertise audit that look at linked pages."""
+    links = [(_linked(r), f'<a href="/{path}">{r.replace("_", " ")}</a> ', "") for r, (path, _) in _ROLE_PAGES.items()]
+    home = _site_pages(spark, d, [], [
+        ("true", "<p>plain words</p>", ""), *links, ("k % 31 = 0", '<a href="https://mit.edu/x">research</a>', ""),
+        ("k % 37 = 0", '<p>Trusted by these</p><img src="/l1.webp" alt="one"><img src="/l2.webp" alt="two">', ""),
+    ], _HOME)
+    pages = [_site_pages(spark, d, [], pieces, f"'https://s' || k || '.example/{path}'") for path, pieces in _ROLE_PAGES.values()]
+    linked = pages[0]
+    for page in pages[1:]:
+        linked = linked.unionByName(page)
+    return verdict_rows(eeat.audit(parse_pages(home.drop("k")), eeat.target_facts(parse_pages(linked.drop("k"))))).where(
+        F.col("check_id").isin(*_EEAT_VERDICTS))
+
+
+_EEAT_VERDICTS = {
+    7: when(f"{_linked('editorial')} and k % 19 = 0"), 8: when(f"{_linked('contact')} and k % 3 = 0"), 9: when(f"{_linked('contact')} and k % 5 = 0"),
+    10: when(f"{_linked('contact')} and k % 7 = 0"), 11: when("true", "true"), 12: when(f"{_linked('privacy')} and k % 11 = 0"),
+    13: when(f"{_linked('terms')} and k % 13 = 0"), 14: when("k % 37 = 0"), 15: when(f"{_linked('about')} and k % 2 = 0"), 16: when("k % 31 = 0"),
+    18: when("true", "true"), 19: when(f"{_linked('case_study')} and k % 23 = 0"), 20: when(f"{_linked('team')} and k % 17 = 0"),
+}
+QUERIES["checks_eeat"], ORACLES["checks_eeat"] = checks_eeat, verdict_sql(_EEAT_VERDICTS)
