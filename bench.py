@@ -11,7 +11,7 @@ HEADLINE = (
     "site_health", "page_features", "site_links", "broken_links", "duplicate_titles", "category_summary", "technical_scores",
     "answer_engine_scores", "audit_tabs", "recommendations", "site_ranking", "document_metrics", "reading_ease",
     "keyword_scores", "classification_full", "record_parsing", "record_values", "issue_trend", "latest_reports",
-    "audit_on_page", "audit_image",
+    "audit_on_page", "audit_image", "checks_on_page", "checks_image", "checks_structured_data",
 )
 
 

@@ -256,5 +256,5 @@ def with_http(url: Column) -> Column:
 
 def srcset_urls(srcset: Column) -> Column:
     """Addresses of a ``srcset`` value, unresolved."""
-    parts = F.transform(F.split(text_or_empty(srcset), ","), F.trim)
+    parts = F.transform(F.split(text_or_empty(srcset), ","), lambda p: F.trim(p))
     return F.filter(F.transform(parts, lambda p: F.split(p, f"{P.BLANK}+")[0]), lambda p: p != "")

@@ -1,10 +1,10 @@
 """Registered queries; every one reads the given tables."""
 
-from . import audits, checks, records, scores, sites, texts
+from . import audits, checks, readers, records, scores, sites, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (scores, texts, sites, records, audits, checks):
+for _module in (scores, texts, sites, records, audits, checks, readers):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 
