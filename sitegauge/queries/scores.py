@@ -412,3 +412,48 @@ def public_reports(spark, d):
         "site_id", F.lit("Software").alias("industry"), F.lit("SaaS").alias("sub_industry"), F.lit("Subscription Software").alias("business_model"),
         (c("site_id") % 100).cast("int").alias("confidence"))
     return REP.public_report(sites, scores, categories, checks, classified, REC.classification_recommendation(classified))
+
+
+_SUBS = ("Cleaning Services", "Dermatology", "IT  SERVICES", "Services")
+
+
+@register("audit_prompts", f"""WITH s AS (SELECT s_suppkey AS site_id, s_name AS b, lower(list_extract([{", ".join(f"'{x}'" for x in _SUBS)}], CAST(s_suppkey % 4 + 1 AS INT))) AS c FROM supplier),
+t AS (SELECT *, regexp_replace(c, '\\s+services$', '') AS sh FROM s)
+SELECT site_id, CAST(unnest(range(0, 5)) AS INT) AS prompt_ord, unnest([b || ' ' || sh || ' services', b || ' ' || c || ' reviews', 'Is ' || b || ' a good ' || sh || ' provider',
+  b || ' subscription software', b || ' health care credibility']) AS prompt FROM t""")
+def audit_prompts(spark, d):
+    """P9."""
+    c = F.col
+    subs = F.array(*[F.lit(x) for x in _SUBS])
+    sites = table(spark, d, "supplier").select(
+        c("s_suppkey").alias("site_id"), c("s_name").alias("brand_name"), F.element_at(subs, (c("s_suppkey") % 4 + 1).cast("int")).alias("sub_industry"),
+        F.lit("Subscription Software").alias("business_model"), F.lit("Health Care").alias("industry"))
+    return REP.prompts(sites)
+
+
+_CITED = [*REP.CHAT_CITATION, *REP.GEMINI_CITATION, "Something Else"]
+_ADVICE_SQL = ", ".join(f"({i}, {_quote(text)})" for i, text in REP.CITATION_ADVICE.items())
+
+
+@register("citation_reports", f"""WITH a(check_id, advice) AS (VALUES {_ADVICE_SQL}),
+checks AS (SELECT p_partkey AS site_id, CAST((p_partkey + 7 * j) % 80 AS INT) AS check_id, list_extract([{", ".join(_quote(x) for x in _CITED)}], CAST((p_partkey + j) % {len(_CITED)} + 1 AS INT)) AS category,
+  (p_partkey + j) % 5 = 0 AS skipped, (p_partkey + j) % 3 = 0 AS passed FROM part, (SELECT unnest(range(0, 6)) AS j)),
+pages AS (SELECT l_partkey AS site_id, 'u' || l_orderkey || '-' || l_linenumber AS url, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+n AS (SELECT site_id, CAST(count(*) AS INT) AS n_pages, array_to_string(list(url ORDER BY ord, url)[1:3], ' ') AS urls FROM pages GROUP BY ALL)
+SELECT c.site_id, c.check_id, category, skipped, CASE WHEN NOT skipped THEN coalesce(advice, {_quote(REP.DEFAULT_ADVICE)}) END AS advice,
+  CASE WHEN NOT skipped THEN coalesce(n_pages, 0) END AS affected_pages, CASE WHEN NOT skipped THEN urls END AS sample_urls
+FROM checks c LEFT JOIN a USING (check_id) LEFT JOIN n USING (site_id) WHERE category <> 'Something Else' AND (skipped OR NOT passed)""")
+def citation_reports(spark, d):
+    """Six checks per part as site, its lines as pages."""
+    c = F.col
+    rows = table(spark, d, "part").select(c("p_partkey").alias("site_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    at = c("site_id") + c("j")
+    checks = rows.select(
+        "site_id", ((c("site_id") + 7 * c("j")) % 80).cast("int").alias("check_id"), F.lit("n").alias("name"), F.lit("High").alias("severity"),
+        F.element_at(F.array(*[F.lit(x) for x in _CITED]), (at % len(_CITED) + 1).cast("int")).alias("category"),
+        (at % 5 == 0).alias("skipped"), (at % 3 == 0).alias("passed"))
+    pages = table(spark, d, "lineitem").select(
+        c("l_partkey").alias("site_id"), F.concat(F.lit("u"), c("l_orderkey"), F.lit("-"), c("l_linenumber")).alias("url"),
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("ord"))
+    out = REP.citation_details(checks, pages)
+    return out.select("site_id", "check_id", "category", "skipped", "advice", "affected_pages", F.array_join("sample_urls", " ").alias("sample_urls"))
