@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.links import page_facts
 from ..operators.parse import parse_pages
-from ..plans import eeat, image, indexability, on_page, structured_data
+from ..plans import eeat, image, indexability, on_page, structured_data, trust
 from .common import table
 
 QUERIES: dict = {}
@@ -293,3 +293,50 @@ _EEAT_VERDICTS = {
     18: when("true", "true"), 19: when(f"{_linked('case_study')} and k % 23 = 0"), 20: when(f"{_linked('team')} and k % 17 = 0"),
 }
 QUERIES["checks_eeat"], ORACLES["checks_eeat"] = checks_eeat, verdict_sql(_EEAT_VERDICTS)
+
+
+# --- trust: a home page with structured data and footer, a contact page and a privacy page -------------------------------
+
+_AS_OF = "2026-01-15"
+_PLACE, _PHONE_TEXT = "12 Main Street, Springfield", "+1 555 123 4567"
+_FOOT, _FOOT_PHONE, _CONTACT, _CONTACT_PHONE = "k % 17 < 10", "k % 19 < 12", "k % 29 < 20", "k % 31 < 20"
+_PHONED, _DATED = f"({_FOOT_PHONE} or {_CONTACT_PHONE})", "(k % 22 = 0)"
+_TRUST_VERDICTS = {
+    1: when(f"k % 3 > 0 and k % 5 > 0 and {_FOOT} and {_CONTACT} and {_FOOT_PHONE} and {_CONTACT_PHONE}"),
+    2: when(f"k % 3 > 0 and {_FOOT} and {_CONTACT}"), 3: when("k % 13 > 0 and k % 37 > 3"), 4: when("k % 41 > 4"),
+    5: when(f"k % 3 > 0 and ({_FOOT} or {_CONTACT})"),
+    # a date in figures is a run of eight digits, which counts as a number of its own
+    6: when(f"({_PHONED} and not {_DATED}) or (not {_PHONED} and {_DATED})"),
+    7: when("k % 14 = 0"), 8: when("k % 2 = 0 and k % 13 > 0"), 9: when(f"k % 5 > 0 and {_PHONED}"), 10: when(_DATED), 11: when("true", "true"),
+    12: when("k % 23 > 5"), 13: when("k % 47 > 9"), 14: when("k % 53 = 0"), 15: when("k % 43 > 10"),
+}
+
+
+def checks_trust(spark, d):
+    """All checks of the trust audit."""
+    origin = "'https://s' || k || '.com/"
+    home = _site_pages(spark, d, [
+        *record("true", "Store", {
+            '"name":"Acme Tools"': "k % 2 = 0", '"telephone":"' + _PHONE_TEXT + '"': "k % 5 > 0",
+            '"address":{"streetAddress":"12 Main Street","addressLocality":"Springfield"}': "k % 3 > 0",
+        }),
+        *record("k % 7 = 0", "Product", {'"offers":{"price":"19.5"}': "true"}), *record("k % 11 = 0", "Event", {'"startDate":"2024-01-05"': "true"}),
+    ], [
+        ("true", "<p>plain words </p>", ""), ("k % 13 > 0", "<p> from Acme Tools here </p>", ""), ("k % 14 = 0", "<p> price 19.5 each </p>", ""),
+        (_DATED, "<p> on 2024-01-05 noted </p>", ""), ("k % 53 = 0", "<p> GSTIN 27AAPFU0939F1ZV here </p>", ""),
+        ("true", '<a href="/contact">contact</a> <a href="/privacy">privacy</a><footer> all of it ', ""), (_FOOT, _PLACE + " and ", ""),
+        (_FOOT_PHONE, _PHONE_TEXT + " or ", ""), ("k % 23 > 5", "&copy; 2026 us", "&copy; 2020 us"), ("true", "</footer>", ""),
+    ], f"{origin}'")
+    contact = _site_pages(spark, d, [], [
+        ("true", "<p> contact us </p>", ""), (_CONTACT, f"<p> {_PLACE} </p>", ""), (_CONTACT_PHONE, f"<p> {_PHONE_TEXT} </p>", ""),
+        ("k % 37 > 3", "<p> Acme Tools </p>", ""), ("k % 41 > 4", "<p> info@s§.com </p>", "<p> someone@gmail.com </p>"),
+    ], f"{origin}contact'")
+    privacy = _site_pages(spark, d, [], [("k % 43 > 10", "<p>Last updated: January 5, 2025</p>", "<p>Last updated: January 5, 2020</p>")], f"{origin}privacy'")
+    headers = F.when(F.expr("k % 47 > 9"), F.create_map(F.lit("strict-transport-security"), F.lit("max-age=1"), F.lit("x-content-type-options"), F.lit("nosniff")))
+    pages = parse_pages(home.withColumn("headers", F.coalesce(headers, F.create_map(F.lit("server"), F.lit("x")))).drop("k"))
+    sites = home.select("site_id", F.lit("Acme Tools").alias("brand_name"), F.concat(F.lit("info@s"), "site_id", F.lit(".com")).alias("business_email"))
+    targets = trust.target_texts(parse_pages(contact.unionByName(privacy).drop("k")))
+    return verdict_rows(trust.audit(pages, sites, targets, F.lit(_AS_OF).cast("timestamp")))
+
+
+QUERIES["checks_trust"], ORACLES["checks_trust"] = checks_trust, verdict_sql(_TRUST_VERDICTS)
