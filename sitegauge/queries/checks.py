@@ -271,22 +271,36 @@ def _linked(role: str) -> str:
     return f"(k % 29 <> {list(_ROLE_PAGES).index(role) + 1})"
 
 
+_ARTICLE, _AUTHOR, _BIO = "k % 41 > 5", "k % 47 > 9", "k % 53 > 9"  # article linked, author linked from it, author page captured
+_OWN_BIO = f"({_ARTICLE} and {_AUTHOR})"
+_ARTICLE_PAGE = [("k % 43 > 9", "<p> by Ann Smith </p>", "<p> some words </p>"), (_AUTHOR, '<a href="/authors/ann">Ann</a>', "")]
+_AUTHOR_PAGE = [
+    ("k % 59 > 9", "<p>" + " ".join(f"b{i}" for i in range(160)) + "</p>", "<p>few words</p>"), ("k % 61 > 9", '<a href="https://linkedin.com/in/ann">me</a>', ""),
+    ("k % 67 > 9", '<a href="/blog/1">a</a><a href="/blog/2">b</a><a href="/blog/3">c</a>', ""), ("k % 71 > 9", "<p> for 12 years now </p>", ""),
+]
+
+
 def checks_eeat(spark, d):
-    """The checks of the expertise audit that look at linked pages."""
+    """All checks of the expertise audit; most look at linked pages."""
     links = [(_linked(r), f'<a href="/{path}">{r.replace("_", " ")}</a> ', "") for r, (path, _) in _ROLE_PAGES.items()]
     home = _site_pages(spark, d, [], [
-        ("true", "<p>plain words</p>", ""), *links, ("k % 31 = 0", '<a href="https://mit.edu/x">research</a>', ""),
+        ("true", "<p>plain words</p>", ""), *links, (_ARTICLE, '<a href="/blog">our blog</a> ', ""), ("k % 73 = 0", "<cite>x</cite>", ""), ("k % 31 = 0", '<a href="https://mit.edu/x">research</a>', ""),
         ("k % 37 = 0", '<p>Trusted by these</p><img src="/l1.webp" alt="one"><img src="/l2.webp" alt="two">', ""),
     ], _HOME)
     pages = [_site_pages(spark, d, [], pieces, f"'https://s' || k || '.example/{path}'") for path, pieces in _ROLE_PAGES.values()]
+    pages.append(_site_pages(spark, d, [], _ARTICLE_PAGE, "'https://s' || k || '.example/blog'"))
+    pages.append(_site_pages(spark, d, [], _AUTHOR_PAGE, "'https://s' || k || '.example/authors/ann'").where(_BIO))
     linked = pages[0]
     for page in pages[1:]:
         linked = linked.unionByName(page)
-    return verdict_rows(eeat.audit(parse_pages(home.drop("k")), eeat.target_facts(parse_pages(linked.drop("k"))))).where(
-        F.col("check_id").isin(*_EEAT_VERDICTS))
+    return verdict_rows(eeat.audit(parse_pages(home.drop("k")), eeat.target_facts(parse_pages(linked.drop("k")))))
 
 
+# without an author link the first link of the home page that tells of people counts: about, else team
 _EEAT_VERDICTS = {
+    1: when(f"{_ARTICLE} and k % 43 > 9"), 2: when(_ARTICLE), 3: when(f"not {_OWN_BIO} or {_BIO}"),
+    4: when(f"({_OWN_BIO} and {_BIO} and k % 59 > 9) or (not {_OWN_BIO} and k % 29 <> 1 and k % 2 = 0)"), 5: when(f"{_OWN_BIO} and {_BIO} and k % 61 > 9"),
+    6: when(f"{_OWN_BIO} and {_BIO} and k % 67 > 9"), 21: when(f"{_OWN_BIO} and {_BIO} and k % 71 > 9"), 17: when(f"{_ARTICLE} and k % 73 = 0"),
     7: when(f"{_linked('editorial')} and k % 19 = 0"), 8: when(f"{_linked('contact')} and k % 3 = 0"), 9: when(f"{_linked('contact')} and k % 5 = 0"),
     10: when(f"{_linked('contact')} and k % 7 = 0"), 11: when("true", "true"), 12: when(f"{_linked('privacy')} and k % 11 = 0"),
     13: when(f"{_linked('terms')} and k % 13 = 0"), 14: when("k % 37 = 0"), 15: when(f"{_linked('about')} and k % 2 = 0"), 16: when("k % 31 = 0"),
