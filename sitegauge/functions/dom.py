@@ -140,12 +140,6 @@ def canonical_combined(header_value: Column) -> Column:
     return F.when(text_or_empty(attr(hit, "href")) != "", hit["abs"]).otherwise(header_value)
 
 
-def canonical_token(header_value: Column) -> Column:
-    """H3, token form: ``rel`` may hold several words."""
-    hit = first(F.col("link_tags"), lambda e: P.test(attr_or(e, "rel"), r"(^|\s)canonical(\s|$)"))
-    return F.when(trim_blank(text_or_empty(attr(hit, "href"))) != "", hit["abs"]).otherwise(header_value)
-
-
 # --- headings -----------------------------------------------------------------------------------
 
 

@@ -360,8 +360,3 @@ def with_missing_audits(scores: DataFrame, sites: DataFrame, key: str = "site_id
             F.coalesce(F.col("blocker_failed"), F.col("audit").isin(TECHNICAL, ANSWER)),
         )
     )
-
-
-def mean_score_when_unset(stored: Column, scores: Column) -> Column:
-    """AG18: stored overall score, or the rounded mean where it is missing or zero."""
-    return F.coalesce(F.when(stored != 0, stored), clamp_score(F.avg(scores)))

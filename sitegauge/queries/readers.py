@@ -9,8 +9,10 @@ from ..functions import headers as H
 from ..functions import robots as R
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import scoring as S
 from ..operators.parse import parse_pages
 from ..operators.sitemaps import feed_average_words
+from ..plans import answer_engine as A
 from ..sources.captures import certificate_ok
 from .checks import _site_pages
 from .common import table
@@ -126,3 +128,37 @@ def certificates(spark, d):
         F.concat(F.lit("s"), c("k") % 50).alias("host"), F.when(c("k") % 3 > 0, "CN=x").alias("subject"),
         F.when(c("k") % 7 < 4, F.lit("2027-01-01")).otherwise("2025-01-01").cast("timestamp").alias("valid_to"))
     return certificate_ok(rows, F.lit("2026-01-15").cast("timestamp"))
+
+
+@register("page_types", """SELECT k, CAST(CASE k % 5 WHEN 2 THEN 5 WHEN 3 THEN 0 ELSE 10 END AS INT) AS alternatives, k % 3 < 2 AS use_case, CAST(CASE k % 7 WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 0 END AS INT) AS trust,
+ k % 11 > 1 AS crawlable, CASE k % 13 WHEN 0 THEN 'html' WHEN 1 THEN 'js' WHEN 2 THEN 'image' WHEN 3 THEN 'xml' ELSE 'other' END AS kind,
+ CASE WHEN k % 101 >= 85 THEN 'High AI citation probability' WHEN k % 101 >= 70 THEN 'Good AI visibility' WHEN k % 101 >= 55 THEN 'Needs improvement' WHEN k % 101 >= 40 THEN 'Poor AI visibility'
+   ELSE 'Critical GEO issues' END AS grade_text, k % 17 = 0 OR k % 17 = 1 AS speakable FROM (SELECT p_partkey AS k FROM part)""")
+def page_types(spark, d):
+    """C7, C8, U10, U11, X4 and the real form of check 74."""
+    c = F.col
+    pick = lambda by, *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), F.least(c("k") % by + 1, F.lit(len(texts))).cast("int"))
+    first = F.concat(F.lit("https://a.example"), pick(5, "/compare/x", "/acme-vs-other", "/blog/comparetools", "/about", "/about"))
+    second = F.concat(F.lit("https://a.example"), pick(3, "/use-cases/retail", "/loans-for-travel", "/x"))
+    page_text = pick(5, "plain", "plain", "plain", "plain", "switch from us")
+    policy = pick(7, "privacy policy, refund policy, shipping and contact us", "terms and refund", "privacy", "nothing")
+    link = pick(11, "https://a.example/a.PDF", "https://a.example/b.webp?x", "https://a.example/c")
+    content = pick(13, "text/html; charset=utf-8", "application/javascript", "image/png", "application/xml", "application/octet-stream")
+    blocks = F.array(pick(17, '{"@type":"SpeakableSpecification"}', '{"@type":"Article","speakable":{"x":1}}', '{"@type":"Article"}'))
+    rows = _keys(spark, d)
+    return rows.select(
+        "k", A.alternatives_score(F.array(first), F.array(page_text)).alias("alternatives"), A.is_use_case(second, U.path_words(second)).alias("use_case"),
+        A.trust_score(A.trust_types(policy)).alias("trust"), U.is_crawlable(link).alias("crawlable"), U.content_kind(content).alias("kind"),
+        S.grade_description((c("k") % 101).cast("int")).alias("grade_text"), A.speakable_found(blocks).alias("speakable"))
+
+
+@register("answer_sections", """SELECT k, CAST(n AS INT) AS section, CASE n WHEN 0 THEN 'First ' || k ELSE 'Second' END AS title, CAST(CASE n WHEN 0 THEN 2 + CASE WHEN k % 2 = 0 THEN 45 ELSE 0 END ELSE 3 END AS INT) AS words,
+ n = 0 AND k % 2 = 0 AND k % 3 = 0 AS answer_like FROM (SELECT p_partkey AS k, unnest([0, 1]) AS n FROM part)""")
+def answer_sections(spark, d):
+    """Sections below second-level headings."""
+    words = " ".join(f"w{i}" for i in range(45))
+    pages = _site_pages(spark, d, [], [
+        ("true", "<h1>Top</h1><p>before</p><h2>First §</h2>", ""), ("k % 3 = 0", "<p>it helps</p>", "<p>it did</p>"), ("k % 2 = 0", f"<p>{words}</p>", ""),
+        ("true", "<h2>Second</h2><p>three more words</p>", ""),
+    ], "'https://s' || k || '.example/'")
+    return parse_pages(pages).select("k", F.posexplode(D.answer_sections()).alias("section", "s")).select("k", "section", "s.title", "s.words", "s.answer_like")

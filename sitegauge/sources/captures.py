@@ -81,30 +81,6 @@ def page_rows(captures: DataFrame, headers: str = "headers", body: str = "html")
     return captures.where(H.is_html_response(F.col(headers), F.col(body)))
 
 
-def well_known(spark: SparkSession) -> DataFrame:
-    rows = [(i, role, path) for i, (role, path) in enumerate(WELL_KNOWN)]
-    return small_table(spark, rows, "path_ord int, role string, path string")
-
-
-def site_files(origins: DataFrame, fetch_log: DataFrame) -> DataFrame:
-    """A4: each site's answers for the well-known addresses; one row per site and address."""
-    wanted = origins.select("site_id", "origin").join(F.broadcast(well_known(origins.sparkSession))).withColumn(
-        "req_url", F.concat("origin", "path")
-    )
-    answers = default_fetches(fetch_log).drop("site_id")
-    return wanted.join(answers, "req_url", "left")
-
-
-def default_fetches(fetch_log: DataFrame) -> DataFrame:
-    """Plain GET answers that followed redirects, one per address."""
-    plain = fetch_log.where(
-        (F.coalesce("method", F.lit("GET")) == "GET")
-        & F.col("user_agent").isNull()
-        & (F.coalesce("redirect_mode", F.lit("follow")) == "follow")
-    )
-    return one_per_url(plain)
-
-
 def one_per_url(rows: DataFrame, keys: tuple[str, ...] = ("req_url",)) -> DataFrame:
     """Latest answer per address, so that the lookups below stay one-to-one.
 
@@ -127,18 +103,6 @@ def one_row(rows: DataFrame, keys: Sequence[str], moment: Column | None = None)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*keys, "_r.*")
 
 
-def vitals(pages: DataFrame, lab: DataFrame, url: str = "final_url") -> DataFrame:
-    """Field, mobile and desktop measurements next to each page (three left joins)."""
-    out = pages
-    for strategy in ("field", "mobile", "desktop"):
-        side = lab.where(F.col("strategy") == strategy).drop("strategy")
-        packed = side.groupBy(F.col("url").alias(url)).agg(
-            F.first(F.struct(*[c for c in side.columns if c != "url"])).alias(strategy)
-        )
-        out = out.join(packed, url, "left")
-    return out
-
-
 def certificate_ok(certs: DataFrame, as_of: Column) -> DataFrame:
     """A10: one row per host with a verdict."""
     good = F.col("subject").isNotNull() & (F.col("valid_to") > as_of)
