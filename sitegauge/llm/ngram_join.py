@@ -418,4 +418,5 @@ def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, doc
     later = found.where("component_id is not null and (doc_id is null or doc_id != component_id)")
     later = stage(later.select(document_rank(F.col("doc_id")).alias("__rank"), F.col("mark").alias("__mark")).distinct(), "ngram_later")
     marked = docs.withColumns({"__rank": document_rank(F.col(doc_id).cast("bigint")), "__mark": text_mark(F.col(text))})
+    later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later  # texts stay where they are if the ids are few
     return marked.join(later, ["__rank", "__mark"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
