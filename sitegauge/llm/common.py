@@ -13,7 +13,7 @@ from ..session import stage
 
 __all__ = ["arrow_rows", "key_text", "read", "stage", "text_slices", "with_column"]
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         held += size or 0
     if start < len(sizes):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages
 
 
 def arrow_rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,39 +188,43 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
-def find_hits(
-    docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", block_words: int = BLOCK_WORDS,
+Finish = Callable[[dict, list, list, list], pa.RecordBatch]
+
+
+def scan(
+    docs: DataFrame, keep: list[str], benchmark: DataFrame, limits: Limits, finish: Finish, schema: T.StructType, text: str,
+    item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``docs`` with ``hit_spans`` (array of word ranges, end exclusive, not merged) and ``hit_items`` (ids, with repeats)."""
-    out = docs.drop("hit_spans", "hit_items")
-    names = out.columns
-    out = out.select(
-        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], F.col(f"`{text}`").alias("text"),
+    """One pass per block of items. The last one hands columns ``k0``, ``k1``, ... of ``keep``, texts, merged hit ranges and item ids to ``finish``."""
+    out = docs.select(
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"),
         F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
     )
-    schema = T.StructType([f for f in out.schema])
-    window = limits.window
-    for block in item_blocks(benchmark, item_id, item_text, block_words):
-        packed = docs.sparkSession.sparkContext.broadcast([(r["item"] if r["item"] is not None else "", r["text"]) for r in block.collect()])  # at most block_words words
+    between, window = out.schema, limits.window
+    blocks = item_blocks(benchmark, item_id, item_text, block_words)
+    for number, block in enumerate(blocks, 1):
+        rows = [(r["item"] if r["item"] is not None else "", r["text"]) for r in block.collect()]  # at most block_words words
+        packed, last = docs.sparkSession.sparkContext.broadcast(rows), number == len(blocks)
 
-        def run(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], packed=packed, last=last) -> Iterator[pa.RecordBatch]:
             automaton = Automaton([(item, words_of(body)) for item, body in packed.value], window)
             for batch in batches:
                 for part in text_slices(batch, "text"):
                     cells = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                    before_spans, before_items = cells["spans"].to_pylist(), cells["items"].to_pylist()
-                    spans, items = [], []
-                    for body, s, i in zip(cells["text"].to_pylist(), before_spans, before_items):
+                    texts, spans, items = (cells[n].to_pylist() for n in ("text", "spans", "items"))
+                    for i, body in enumerate(texts):
                         new_spans, new_items = automaton.hits(words_of(body))
-                        spans.append(s + [{"start": a, "end": b} for a, b in merged(new_spans)])
-                        items.append(i + sorted(new_items))
-                    cells["spans"] = pa.array(spans, type=cells["spans"].type)
+                        ranges = merged([(s["start"], s["end"]) for s in spans[i]] + new_spans)
+                        spans[i], items[i] = ranges, sorted({*items[i], *new_items})
+                    if last:
+                        yield finish(cells, texts, spans, items)
+                        continue
+                    cells["spans"] = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], type=cells["spans"].type)
                     cells["items"] = pa.array(items, type=cells["items"].type)
                     yield pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
 
-        out = out.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items"))
+        out = out.mapInArrow(run, schema if last else between)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -246,53 +250,41 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def report(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Per row: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, the cleaned text's length and ``dropped``."""
-    hits = find_hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, limits, **kw)
-    schema = "doc_id " + docs.schema[doc_id].dataType.simpleString() + (
-        ", n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, kept_chars bigint, dropped boolean"
-    )
+    names = ["k0", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept_chars", "dropped"]
+    kinds = [T.LongType()] * 3 + [T.StringType(), T.BooleanType(), T.LongType(), T.BooleanType()]
+    schema = T.StructType([T.StructField("k0", docs.schema[doc_id].dataType), *map(T.StructField, names[1:], kinds)])
+    types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.int64(), pa.bool_()]
     most = limits.max_coverage
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                rows = []
-                for body, spans, items in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    n = len(words_of(body))
-                    ranges = merged([(s["start"], s["end"]) for s in spans])
-                    hit = sum(b - a for a, b in ranges)
-                    names = sorted(set(items))
-                    cleaned = without_words(body, ranges) if ranges else body or ""
-                    rows.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, len(cleaned), hit > most * n))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_())
-                cells = [pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate(types)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cells], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "kept_chars", "dropped"])
+    def finish(cells: dict, texts: list, spans: list, items: list) -> pa.RecordBatch:
+        rows = []
+        for body, ranges, found in zip(texts, spans, items):
+            n, hit = len(words_of(body)), sum(b - a for a, b in ranges)
+            cleaned = without_words(body, ranges) if ranges else body or ""
+            rows.append((n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0, len(cleaned), hit > most * n))
+        return pa.RecordBatch.from_arrays([cells["k0"], *[pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate(types)]], names=names)
 
-    return hits.mapInArrow(run, schema)
+    return scan(docs, [doc_id], benchmark, limits, finish, schema, text, **kw).withColumnRenamed("k0", "doc_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text", length: str | None = None, **kw) -> DataFrame:
     """``docs`` without hit words and without documents over the coverage limit; ``length`` names a column that follows the text."""
-    hits = find_hits(docs, benchmark, limits, text=text, **kw)
     names, kinds = docs.columns, [f.dataType for f in docs.schema]
-    place, sized = names.index(text), names.index(length) if length else None
     schema = T.StructType([T.StructField(f"k{i}", k) for i, k in enumerate(kinds)])
-    coded = hits.select(*[F.col(f"`{c}`").alias("text" if i == place else f"k{i}") for i, c in enumerate(names)], "hit_spans")
+    fields, place = schema.fieldNames(), f"k{names.index(text)}"
+    sized = f"k{names.index(length)}" if length else None
     most = limits.max_coverage
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                texts, keep, sizes = [], [], []
-                for body, spans in zip(part.column(place).to_pylist(), part.column(len(names)).to_pylist()):
-                    ranges = merged([(s["start"], s["end"]) for s in spans])
-                    keep.append(not ranges or sum(b - a for a, b in ranges) <= most * len(words_of(body)))
-                    texts.append(without_words(body, ranges) if ranges and keep[-1] else body)
-                    sizes.append(len(texts[-1]) if ranges else None)
-                cells = list(part.columns[: len(names)])
-                cells[place] = pa.array(texts, type=pa.string())
-                if sized is not None:
-                    old = cells[sized]
-                    cells[sized] = pa.array([o if s is None else s for o, s in zip(old.to_pylist(), sizes)], type=old.type)
-                yield pa.RecordBatch.from_arrays(cells, names=schema.fieldNames()).filter(pa.array(keep, type=pa.bool_()))
-
-    return coded.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])
+    def finish(cells: dict, texts: list, spans: list, items: list) -> pa.RecordBatch:
+        keep = [not r or sum(b - a for a, b in r) <= most * len(words_of(t)) for t, r in zip(texts, spans)]
+        hit = [bool(r) and k for r, k in zip(spans, keep)]
+        if any(hit):
+            cleaned = [without_words(t, r) if h else t for t, r, h in zip(texts, spans, hit)]
+            cells[place] = pa.array(cleaned, type=pa.string())
+            if sized:
+                old = cells[sized]
+                cells[sized] = pa.array([len(t) if h else o for t, h, o in zip(cleaned, hit, old.to_pylist())], type=old.type)
+        return pa.RecordBatch.from_arrays([cells[f] for f in fields], names=fields).filter(pa.array(keep, type=pa.bool_()))
+
+    out = scan(docs, names, benchmark, limits, finish, schema, text, **kw)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])

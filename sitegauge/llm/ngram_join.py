@@ -53,7 +53,7 @@ BLOCK_TOKENS = 500_000
 BROADCAST_ROWS = 1_000_000  # narrow id rows; beyond it the join is a shuffle
 LEAF = 8
 SEEN = 1_000_000
-CACHE = 2_000_000
+CACHE = 200_000
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
