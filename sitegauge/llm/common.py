@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-__all__ = ["arrow_rows", "key_text", "read", "stage", "text_slices", "with_column"]
+__all__ = ["arrow_rows", "bounded_batches", "key_text", "read", "stage", "text_slices", "with_column"]
 
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_ROWS`` rows at most: batches of texts are held on both sides of a Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into zero-copy slices of about ``limit`` bytes of ``column``; one long text is a slice of its own."""
     sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()

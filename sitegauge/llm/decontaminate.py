@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 BLOCK_WORDS = 500_000  # words of benchmark text in one automaton (about 250 MB of Python objects at most)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -196,7 +196,7 @@ def scan(
     item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One pass per block of items. The last one hands columns ``k0``, ``k1``, ... of ``keep``, texts, merged hit ranges and item ids to ``finish``."""
-    out = docs.select(
+    out = bounded_batches(docs).select(
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"),
         F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
     )

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
-from .common import text_slices
+from .common import bounded_batches, text_slices
 from .graph import components
 from .line_dedup import LAST, document_rank, text_mark
 
@@ -395,7 +395,7 @@ def links_of(kept: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, mark (hash of the text), n_shingles, component_id."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", text_mark(F.col("text")))
+    rows = bounded_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", text_mark(F.col("text")))
     sets = stage(document_sets(rows, ngram, percent), "ngram_sets")
     maps = sets.where("bits is not null").groupBy("sid").agg(F.first("low").alias("low"), F.first("bits").alias("bits"))
     kept = stage(partnered(stage(meetings(sets, percent), "ngram_meetings"), maps, percent), "ngram_partners")

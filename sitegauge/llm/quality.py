@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, text_slices
+from .common import arrow_rows, bounded_batches, text_slices
 
 # The most common words of each language that has a word reference.
 COMMON_WORDS = {
@@ -109,6 +109,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 def reference_histograms(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple]:
     """Language -> (character reference, word reference), from all rows of ``docs``; at most one row per fixed language comes back."""
+    bounded_batches(docs)
     schema = pa.schema([("key", pa.string()), ("kind", pa.string()), ("total", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
