@@ -1,4 +1,4 @@
-"""Answer-engine audit: 61 checks on the first pages of a site, its files and its bot answers."""
+"""Answer-engine audit: 61 checks on the pages of a site, its files and its bot answers."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from ..functions import urls as U
 from ..functions.numbers import half_up, rate
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.parse import parse_pages
-from ..operators.ranking import first_k, last_wins
+from ..operators.ranking import last_wins
 from ..operators.scoring import ANSWER, ANSWER_CATEGORY_WEIGHTS
 from ..sources.captures import WELL_KNOWN, one_per_url
 from .facts import Facts
@@ -86,7 +86,7 @@ DEFS = [
     CheckDef(78, "Media & Visuals", "Transcript-HTML alignment", 1, "MAJOR", "page"),
 ]
 CATEGORY_ORDER = tuple(name for name, _ in ANSWER_CATEGORY_WEIGHTS)
-# Robots.txt bots per check, agents of the log, crawl size of this audit.
+# Robots.txt bots per check, agents of the log.
 BOTS = (
     (1, "GPTBot"), (2, "ClaudeBot"), (3, "PerplexityBot"), (4, "Google-Extended"), (5, "OAI-SearchBot"), (6, "Grok"),
     (7, "DeepSeek"), (38, "OAI-SearchBot"), (39, "ChatGPT-User"), (67, "Google-Extended"), (73, "GoogleOther"),
@@ -95,7 +95,6 @@ OAI_AGENT, GOOGLE_AGENT = "OAI-SearchBot/1.0", "Google-Extended"
 BROWSER_AGENT = (
     "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/125.0 Safari/537.36"
 )
-PAGE_LIMIT, NAP_PAGES, TITLE_LOOKUPS = 4, 10, 20
 # Trust-page types and the words that mark a candidate.
 TRUST_TYPES = (
     ("Privacy/Terms", r"\b(policies privacy policy|policies terms of service|policies legal|privacy|privacy policy|terms|"
@@ -241,8 +240,8 @@ def page_columns(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_pages(facts: Facts, limit: int | None) -> DataFrame:
-    """The first pages of each site and the likely local pages that answered."""
+def site_pages(facts: Facts) -> DataFrame:
+    """All pages of each site and the likely local pages that answered."""
     need = [
         "final_url", "html", "title", "body_text", "jsonld", "first_p", "headings", "anchors", "images", "metas", "nodes",
         "link_tags", "scripts", "tag_counts", "class_text", "id_text",
@@ -250,7 +249,6 @@ def site_pages(facts: Facts, limit: int | None) -> DataFrame:
     crawled = facts.pages.select(
         "site_id", "ord", F.lit(True).alias("is_site"), _source_name(F.col("source"), F.col("is_primary")).alias("source"), *need
     )
-    crawled = first_k(crawled, ["site_id"], [F.col("ord")], limit)
     origin = U.origin(F.col("url"))
     local = [(role, path) for role, path in WELL_KNOWN if role in ("homepage", "contact page", "about page", "location page")]
     wanted = facts.home.select("site_id", F.explode(F.array(*[
@@ -264,39 +262,111 @@ def site_pages(facts: Facts, limit: int | None) -> DataFrame:
     return page_columns(crawled.unionByName(extra))
 
 
-def _ordered_text(column: str, where: Column | None = None) -> Column:
-    """AG15: texts in page order as one text (at most ten pages by the crawl rule)."""
-    value = F.struct("ord", column)
-    rows = F.collect_list(F.when(where, value) if where is not None else value)
-    return F.array_join(F.transform(F.array_sort(rows), lambda s: s[column]), " ")
+_CLAIMS = "array<struct<phone:string,name:string>>"
 
 
-def site_columns(rows: DataFrame) -> DataFrame:
-    """One row per site: texts and scripts of its few pages, sums of everything else."""
+def site_columns(rows: DataFrame, content: DataFrame, facts: Facts) -> DataFrame:
+    """One row per site: flags, sums and first values of its pages; no text is gathered."""
     c = F.col
     site = c("is_site")
     total = lambda name: F.coalesce(F.sum(F.when(site, c(name))), F.lit(0)).alias(name)
+    some = lambda condition, name: F.coalesce(F.bool_or(condition), F.lit(False)).alias(name)
     has_nap = (c("nap_name") != "") | (c("nap_address") != "") | (c("nap_phone") != "")
-    first_source = lambda condition, name: F.min_by(F.when(condition, c("source")), F.when(condition, c("ord"))).alias(name)
-    blocks = lambda where: F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.when(where, F.struct("ord", "jsonld")))), lambda s: s["jsonld"]))
-    return rows.groupBy("site_id").agg(
-        _ordered_text("body", site).alias("body"), _ordered_text("body").alias("local_body"),
-        blocks(site).alias("site_jsonld"), blocks(F.lit(True)).alias("local_jsonld"),
-        F.array_sort(F.collect_list(F.when(site, F.struct("ord", "url", "search_text")))).alias("page_texts"),
-        *[total(n) for n in ("n_faq", "n_question_heads", "n_outbound", "hidden_words", "n_images", "n_alt", "n_stock", "n_videos")],
-        F.min_by(F.when(site, c("first_p")), F.when(site & c("first_p").isNotNull(), c("ord"))).alias("first_p"),
-        F.coalesce(F.bool_or(site & c("bio_link")), F.lit(False)).alias("bio_link"),
-        F.coalesce(F.bool_or(site & c("data_nosnippet")), F.lit(False)).alias("data_nosnippet"),
-        _ordered_text("transcript", site).alias("transcript"),
-        *[F.bool_or(n).alias(n) for n in (
-            "md_entity", "md_latitude", "md_longitude", "md_area", "map_embed", "map_latitude", "map_longitude")],
-        _ordered_text("md_phone").alias("md_phone"), _ordered_text("md_name").alias("md_name"),
-        F.array_sort(F.collect_list(F.when(has_nap, F.struct("ord", "nap_name", "nap_address", "nap_phone")))).alias("naps"),
-        first_source(c("map_embed"), "map_source"), first_source(c("md_entity") | c("map_embed"), "entity_source"),
+    keys = ("nap_name", "nap_address", "nap_phone")
+    first_where = lambda condition, value: F.min_by(F.when(condition, value), F.when(condition, c("ord")))
+    # a site's pages agree with its first one where that has no value or all values are one
+    one_value = [F.min(F.when(c(k) != "", c(k))).eqNullSafe(F.max(F.when(c(k) != "", c(k)))).alias(f"one_{k}") for k in keys]
+    folded = facts.keep(content.groupBy("site_id").agg(
+        *[total(n) for n in (
+            "n_faq", "n_question_heads", "n_outbound", "hidden_words", "n_images", "n_alt", "n_stock", "n_videos", "n_marks",
+            "n_errors", "n_video_records", "n_same_as", "words", "data_points")],
+        *[some(site & c(n), n) for n in (
+            "bio_link", "data_nosnippet", "faq_typed", "linkedin", "authority", "has_faqs", "faq_sized", "has_products",
+            "product_shown", "answer_words", "credentials", "first_hand", "alternative_text", "use_case_text", "has_transcript")],
+        *[some(c(n), n) for n in (
+            "md_entity", "md_latitude", "md_longitude", "md_area", "map_embed", "map_latitude", "map_longitude", "has_local",
+            "has_orgs", "located", "ld_latitude", "ld_longitude", "ld_area", "area_words", "phone_words", "address_words",
+            "claim_shown")],
+        *[some(site & c(f"product_{key}"), f"product_{key}") for key in J.PRODUCT_FIELDS],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(site, c("types")))))).alias("types"),
+        first_where(site & c("first_p").isNotNull(), c("first_p")).alias("first_p"),
+        first_where(site & c("rating").isNotNull(), c("rating")).alias("rating"),
+        first_where(has_nap, F.struct(*keys)).alias("first_nap"), *one_value, F.count_if(has_nap).cast("int").alias("n_naps"),
+        first_where(c("map_embed"), c("source")).alias("map_source"),
+        first_where(c("md_entity") | c("map_embed"), c("source")).alias("entity_source"),
+    ).select(
+        "*", (c("phone_words") & c("address_words")).alias("nap"),
+        (~c("has_local") & ~c("has_orgs") & ~c("md_entity")).alias("no_entity"),
+    ), "answer_folded")
+    elsewhere = facts.keep(shown_elsewhere(folded, content, rows), "answer_elsewhere")
+    overlaps = facts.keep(overlap_columns(rows), "answer_overlaps")
+    number = lambda key: F.coalesce(c("rating")[key], F.lit(0.0))
+    agrees = [(c("first_nap")[k] == "") | c(f"one_{k}") for k in keys]
+    fields = sum((c(f"product_{key}").cast("int") for key in J.PRODUCT_FIELDS), F.lit(0))
+    return folded.join(elsewhere, "site_id", "left").join(overlaps, "site_id", "left").select(
+        "site_id", "n_faq", "n_outbound", "hidden_words", "n_images", "n_alt", "n_stock", "n_videos", "bio_link",
+        "data_nosnippet", "md_latitude", "md_longitude", "md_area", "md_entity", "map_embed", "map_latitude", "map_longitude",
+        "map_source", "entity_source", "n_errors", "nap", "n_video_records", "faq_typed", "n_same_as", "linkedin", "authority",
+        "has_local", "located", "ld_latitude", "ld_longitude", "ld_area", "area_words", "faq_sized", "credentials",
+        "first_hand", "words", "data_points", "alternative_text", "use_case_text", "n_naps", "has_transcript",
+        (c("n_marks") + c("n_question_heads")).alias("questions"),
+        F.array_join("types", ", ").alias("type_list"), (F.size("types") > 0).alias("has_types"),
+        (c("no_entity") | c("nap") | c("claim_shown") | F.coalesce("claim_elsewhere", F.lit(False))).alias("nap_matches"),
+        (~c("has_faqs")).alias("no_faqs"),
+        (~c("has_products") | c("product_shown") | F.coalesce("product_elsewhere", F.lit(False))).alias("products_shown"),
+        F.when(c("has_products"), F.floor(fields * 100 / len(J.PRODUCT_FIELDS) + 0.5).cast("int")).otherwise(100).alias("product_percent"),
+        ((number("ratingValue") == 5) & (number("reviewCount") >= 20)).alias("suspicious_rating"),
+        (c("answer_words") | (T.utf16_length(c("first_p")) >= 80)).alias("answer_first"),
+        ((c("n_naps") > 0) & agrees[0] & agrees[1] & agrees[2]).alias("nap_agrees"),
+        F.coalesce("overlap", F.lit(0)).alias("overlap"),
     )
 
 
+def shown_elsewhere(folded: DataFrame, content: DataFrame, rows: DataFrame) -> DataFrame:
+    """Phones, names and products that their own pages do not show, looked up on all pages of the site.
+
+    Only sites without a match on one page get here; their terms meet the page texts inside the row.
+    """
+    c = F.col
+    open_sites = folded.select(
+        "site_id", (~c("nap") & ~c("no_entity") & ~c("claim_shown")).alias("open_claim"),
+        (c("has_products") & ~c("product_shown")).alias("open_product"),
+    ).where("open_claim or open_product")
+    none = lambda kind: F.array().cast(kind)
+    wanted = content.select("site_id", "is_site", "claims", "product_names").join(open_sites, "site_id").groupBy("site_id").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.when(c("open_claim"), c("claims")).otherwise(none(_CLAIMS))))).alias("claims"),
+        F.array_distinct(F.flatten(F.collect_set(
+            F.when(c("open_product") & c("is_site"), c("product_names")).otherwise(none("array<string>"))))).alias("product_names"),
+    )
+    lower, digits = c("lower_body"), c("body_digits")
+    term = lambda mark, value: F.concat(F.lit(mark), value)
+    listed = lambda values, text, mark: F.transform(F.filter(values, lambda v: F.contains(text, v)), lambda v: term(mark, v))
+    found = rows.join(wanted, "site_id").select(
+        "site_id", "is_site", "claims", "product_names", F.lower("body").alias("lower_body"), T.digits(c("body")).alias("body_digits"),
+    ).select("site_id", F.explode(F.concat(
+        listed(F.array_distinct(c("claims.phone")), digits, "p"), listed(F.array_distinct(c("claims.name")), lower, "n"),
+        F.when(c("is_site"), listed(c("product_names"), lower, "s")).otherwise(none("array<string>")),
+    )).alias("term")).distinct().groupBy("site_id").agg(F.collect_list("term").alias("terms"))
+    shown = lambda mark, value: F.array_contains("terms", term(mark, value))
+    return wanted.join(found, "site_id").select(
+        "site_id",
+        F.exists("claims", lambda k: ((k["phone"] == "") | shown("p", k["phone"])) & ((k["name"] == "") | shown("n", k["name"]))
+                 ).alias("claim_elsewhere"),
+        F.exists("product_names", lambda n: shown("s", n)).alias("product_elsewhere"),
+    )
+
+
+def overlap_columns(rows: DataFrame) -> DataFrame:
+    """Share of the entities of a site's transcripts that its texts have too, in whole percent."""
+    c = F.col
+    pages = rows.where("is_site")
+    ours = pages.where(F.trim("transcript") != "").select("site_id", F.explode(T.entity_set(c("transcript"))).alias("entity")).distinct()
+    theirs = pages.join(ours.select("site_id").distinct(), "site_id", "left_semi").select(
+        "site_id", F.explode(T.entity_set(c("body"))).alias("entity")).distinct().withColumn("shared", F.lit(1))
+    return ours.join(theirs, ["site_id", "entity"], "left").groupBy("site_id").agg(
+        half_up(rate(F.count("shared"), F.count(F.lit(1))) * 100).alias("overlap"))
+
+
 def trust_candidates(facts: Facts, addresses: DataFrame) -> DataFrame:
     """S2 + H21: addresses, links of the last fifth of the home page, and policy pages; last wins per address."""
     html = F.col("html")
@@ -321,7 +391,7 @@ def trust_candidates(facts: Facts, addresses: DataFrame) -> DataFrame:
 
 
 def trust_columns(facts: Facts, addresses: DataFrame) -> DataFrame:
-    """Distinct trust-page types per site, from candidate texts and from the titles of some of them."""
+    """Distinct trust-page types per site, from candidate texts and from the titles of likely ones."""
     candidates = trust_candidates(facts, addresses)
     text = trust_text(F.col("url"), F.col("anchor"))
     titles = facts.parsed_log.where(F.col("user_agent").isNull() & F.col("status").between(200, 299)).select(
@@ -329,9 +399,7 @@ def trust_columns(facts: Facts, addresses: DataFrame) -> DataFrame:
     ).unionByName(facts.pages.select("url", F.concat_ws(" ", "title", D.first_h1()).alias("head"))).groupBy("url").agg(
         F.first("head").alias("head")
     )
-    broad = first_k(
-        candidates.where(P.test(text, TRUST_WORDS)), ["site_id"], [F.col("place"), F.col("url")], TITLE_LOOKUPS
-    ).join(titles, "url")
+    broad = candidates.where(P.test(text, TRUST_WORDS)).join(titles, "url")
     found = candidates.select("site_id", F.explode(trust_types(text)).alias("type")).unionByName(
         broad.select("site_id", F.explode(trust_types(trust_text(F.col("url"), F.col("anchor"), F.col("head")))).alias("type"))
     )
@@ -368,7 +436,7 @@ def rendered_columns(home: DataFrame, rendered: DataFrame | None) -> DataFrame:
     return home.select("site_id", "url").join(facts, "url").drop("url")
 
 
-def audit(facts: Facts, sitemap_urls: DataFrame, limit: int | None = PAGE_LIMIT) -> DataFrame:
+def audit(facts: Facts, sitemap_urls: DataFrame) -> DataFrame:
     c = F.col
     home = facts.home.select(
         "site_id", "url", "html", T.word_count(c("body_text")).alias("home_words"), F.size("jsonld").alias("home_blocks")
@@ -381,16 +449,16 @@ def audit(facts: Facts, sitemap_urls: DataFrame, limit: int | None = PAGE_LIMIT)
         ["robots", "llms", "server"],
         ["status", "robots_text", "llms_words", "llms_markdown", "llms_topics", "markup"],
     )
-    pages = first_k(facts.pages.select("site_id", "ord", F.col("final_url").alias("url")), ["site_id"], [c("ord")], limit)
-    addresses = sitemap_urls.select("site_id", "url").unionByName(pages.select("site_id", "url")).distinct()
+    pages = facts.pages.select("site_id", F.col("final_url").alias("url"))
+    addresses = sitemap_urls.select("site_id", "url").unionByName(pages).distinct()
     words = U.path_words(c("url"))
     kinds = addresses.groupBy("site_id").agg(
         F.coalesce(F.bool_or(P.test(c("url"), f"(?:{ALTERNATIVE_URL})|(?:{ALTERNATIVE_BLOG})") | P.test(words, ALTERNATIVE_TEXT)),
                    F.lit(False)).alias("alternative_url"),
         F.coalesce(F.bool_or(is_use_case(c("url"), words)), F.lit(False)).alias("use_case_url"),
     )
-    rows = facts.keep(site_pages(facts, limit), "answer_pages")
-    sites = facts.keep(content_columns(facts.keep(site_columns(rows), "answer_texts")), "answer_sites")
+    rows = facts.keep(site_pages(facts), "answer_pages")
+    sites = facts.keep(site_columns(rows, facts.keep(content_columns(rows), "answer_content"), facts), "answer_sites")
     wide = facts.keep(home_columns(home), "answer_home").join(sites, "site_id")
     for at, side in enumerate((files, kinds, trust_columns(facts, addresses), agent_columns(home, facts.parsed_log),
                                rendered_columns(home, facts.rendered))):
@@ -410,37 +478,32 @@ def home_columns(home: DataFrame) -> DataFrame:
     )
 
 
-def content_columns(site: DataFrame) -> DataFrame:
-    """Everything that follows from a site's own texts and structured data, as small columns.
+def content_columns(rows: DataFrame) -> DataFrame:
+    """Everything that follows from one page's text and structured data, as small columns.
 
-    The heavy readers run here, before any lookup is joined, so the joins carry flags and counts.
+    The heavy readers run here, before anything is shuffled, so the roll-up and the joins carry flags and counts.
     """
     c = F.col
     typed = lambda objects, pattern: F.filter(objects, lambda r: J.any_type(J.graph_types(r), pattern, "i"))
-    first = site.select(
-        "*", J.objects(c("site_jsonld")).alias("objects"), J.objects(c("local_jsonld")).alias("local_objects"),
-        T.digits(c("local_body")).alias("body_digits"), F.lower("local_body").alias("lower_body"),
-        P.count(c("body"), r"\?", "").alias("n_marks"),
+    first = rows.select(
+        "*", J.objects(c("jsonld")).alias("objects"), T.digits(c("body")).alias("body_digits"), F.lower("body").alias("lower_body"),
+        T.collapse(c("search_text")).alias("search"),
     )
     second = first.select(
-        "*", typed(c("local_objects"), LOCAL_TYPE).alias("local"), typed(c("local_objects"), "Organization").alias("orgs"),
+        "*", typed(c("objects"), LOCAL_TYPE).alias("local"), typed(c("objects"), "Organization").alias("orgs"),
         typed(c("objects"), "Product").alias("products"), typed(c("objects"), "FAQPage").alias("faqs"),
-        F.size(typed(c("objects"), "VideoObject")).alias("n_video_records"),
         J.same_as_urls(typed(c("objects"), f"Organization|{LOCAL_TYPE}")).alias("same_as"),
-        F.flatten(F.transform(J.top_blocks(c("site_jsonld")), lambda b: J.graph_types(b))).alias("types"),
-        J.error_count(c("site_jsonld")).alias("n_errors"),
-        (c("n_marks") + c("n_question_heads")).alias("questions"),
-        T.visible_nap(c("local_body")).alias("nap"),
+        F.flatten(F.transform(J.top_blocks(c("jsonld")), lambda b: J.graph_types(b))).alias("types"),
     )
+    text = lambda record, key: F.coalesce(J.string_of(J.get(record, key)), F.lit(""))
+    claim = lambda phone, name: F.struct(F.substring(T.digits(phone), -7, 7).alias("phone"), F.lower(name).alias("name"))
+    own = F.when(c("md_entity"), F.array(claim(c("md_phone"), F.trim(c("md_name"))))).otherwise(F.array().cast(_CLAIMS))
     third = second.select(
-        "*", J.objects_of(c("local"), 6).alias("local_nested"), J.review_aggregate(c("products")).alias("rating"),
-        F.get(c("naps"), 0).alias("first_nap"),
+        "*", J.objects_of(c("local"), 6).alias("local_nested"), J.review_aggregate(c("products")).alias("rated"),
+        F.array_distinct(F.concat(
+            F.transform(F.concat("local", "orgs"), lambda r: claim(text(r, "telephone"), text(r, "name"))), own)).alias("claims"),
+        F.array_distinct(F.transform("products", lambda r: F.lower(text(r, "name")))).alias("product_names"),
     )
-    body, local_body = c("body"), c("local_body")
-    text = lambda record, key: F.coalesce(J.string_of(J.get(record, key)), F.lit(""))
-    phone_shown = lambda digits: (digits == "") | F.contains(c("body_digits"), F.substring(digits, -7, 7))
-    name_shown = lambda name: (name == "") | F.contains(c("lower_body"), F.lower(name))
-    matches = lambda r: phone_shown(T.digits(text(r, "telephone"))) & name_shown(text(r, "name"))
     phone_like = lambda r: (
         J.string_of(J.get(r, "telephone")).isNotNull() | J.string_of(J.get(r, "phone")).isNotNull()
         | J.is_object(J.get(r, "contactPoint"))
@@ -450,43 +513,38 @@ def content_columns(site: DataFrame) -> DataFrame:
         F.array(*[J.get(r, k) for k in ("address", "addressLocality", "addressRegion", "areaServed", "serviceArea")]), J.truthy
     )
     property_of = lambda *names: F.exists("local_nested", lambda r: _own_or_nested(r, names))
-    none_local = (F.size("local") == 0) & (F.size("orgs") == 0) & ~c("md_entity") & ~c("nap")
-    md_match = c("md_entity") & phone_shown(T.digits(c("md_phone"))) & name_shown(F.trim(c("md_name")))
-    same = lambda n, key: (c("first_nap")[key] == "") | (n[key] == "") | (c("first_nap")[key] == n[key])
-    agrees = F.forall(
-        F.slice(c("naps"), 1, NAP_PAGES), lambda n: same(n, "nap_name") & same(n, "nap_address") & same(n, "nap_phone")
-    )
-    page_text = lambda check: F.exists("page_texts", lambda p: check(p["url"], T.collapse(p["search_text"])))
-    number = lambda key: F.coalesce(F.try_variant_get(c("rating"), f"$.{key}", "double"), F.lit(0.0))
     sized = lambda r: F.coalesce(F.size(F.try_variant_get(r, "$.mainEntity", "array<variant>")) >= 2, F.lit(False))
+    carries = lambda key: lambda r: J.truthy(J.get(r, key))
+    body = c("body")
     test = lambda pattern: P.test(body, pattern)
+    number = lambda key: F.try_variant_get(c("rated"), f"$.{key}", "double").alias(key)
     return third.select(
-        "site_id", "n_faq", "n_outbound", "hidden_words", "n_images", "n_alt", "n_stock", "n_videos", "bio_link",
-        "data_nosnippet", "md_latitude", "md_longitude", "md_area", "md_entity", "map_embed", "map_latitude", "map_longitude",
-        "map_source", "entity_source", "questions", "n_errors", "nap", "n_video_records",
-        F.array_join("types", ", ").alias("type_list"), (F.size("types") > 0).alias("has_types"),
+        "site_id", "ord", "is_site", "source", "n_faq", "n_question_heads", "n_outbound", "hidden_words", "n_images", "n_alt",
+        "n_stock", "n_videos", "first_p", "bio_link", "data_nosnippet", "md_entity", "md_latitude", "md_longitude", "md_area",
+        "map_embed", "map_latitude", "map_longitude", "nap_name", "nap_address", "nap_phone", "types", "claims", "product_names",
+        P.count(body, r"\?", "").alias("n_marks"), J.error_count(c("jsonld")).alias("n_errors"),
+        F.size(typed(c("objects"), "VideoObject")).alias("n_video_records"),
         J.any_type(c("types"), "FAQPage").alias("faq_typed"),
         F.size("same_as").alias("n_same_as"),
         F.exists("same_as", lambda u: P.test(u, r"linkedin\.com")).alias("linkedin"),
         F.exists("same_as", lambda u: P.test(u, r"crunchbase\.com|wikidata\.org")).alias("authority"),
-        (none_local | F.exists("local", matches) | F.exists("orgs", matches) | md_match | c("nap")).alias("nap_matches"),
-        (F.size("local") > 0).alias("has_local"), F.exists("orgs", located).alias("located"),
+        F.exists("claims", lambda k: F.contains(c("body_digits"), k["phone"]) & F.contains(c("lower_body"), k["name"])).alias("claim_shown"),
+        (F.size("local") > 0).alias("has_local"), (F.size("orgs") > 0).alias("has_orgs"), F.exists("orgs", located).alias("located"),
         property_of("latitude").alias("ld_latitude"), property_of("longitude").alias("ld_longitude"),
         (property_of("areaServed", "serviceArea", "addressLocality", "addressRegion") | F.exists("orgs", placed)).alias("ld_area"),
-        (T.visible_area_served(local_body) | T.visible_address(local_body)).alias("area_words"),
-        (F.size("faqs") == 0).alias("no_faqs"), F.exists("faqs", sized).alias("faq_sized"),
-        ((F.size("products") == 0) | F.exists("products", lambda r: F.contains(F.lower(body), F.lower(text(r, "name"))))
-         ).alias("products_shown"),
-        J.product_coverage(c("products")).alias("product_percent"),
-        ((number("ratingValue") == 5) & (number("reviewCount") >= 20)).alias("suspicious_rating"),
-        (test(r"\b(in short|bottom line|summary|answer:|tl;dr)\b") | (T.utf16_length(c("first_p")) >= 80)).alias("answer_first"),
+        (T.visible_area_served(body) | T.visible_address(body)).alias("area_words"),
+        T.visible_phone(body).alias("phone_words"), T.visible_address(body).alias("address_words"),
+        (F.size("faqs") > 0).alias("has_faqs"), F.exists("faqs", sized).alias("faq_sized"),
+        (F.size("products") > 0).alias("has_products"),
+        F.exists("product_names", lambda n: F.contains(c("lower_body"), n)).alias("product_shown"),
+        *[F.exists("products", carries(key)).alias(f"product_{key}") for key in J.PRODUCT_FIELDS],
+        F.when(c("rated").isNotNull(), F.struct(number("ratingValue"), number("reviewCount"))).alias("rating"),
+        test(r"\b(in short|bottom line|summary|answer:|tl;dr)\b").alias("answer_words"),
         test(r"\b(certified|credential|licensed|award|degree|accredited|partner)\b").alias("credentials"),
         test(r"\b(we tested|our experience|case study|results|client|customer|first-hand|hands-on)\b").alias("first_hand"),
         T.word_count(body).alias("words"), T.data_point_count(body).alias("data_points"),
-        page_text(lambda u, t: P.test(t, ALTERNATIVE_TEXT)).alias("alternative_text"),
-        page_text(is_use_case).alias("use_case_text"),
-        ((F.size("naps") > 0) & agrees).alias("nap_agrees"), F.size("naps").alias("n_naps"),
-        T.entity_overlap_percent(c("transcript"), body).alias("overlap"), (F.trim("transcript") != "").alias("has_transcript"),
+        P.test(c("search"), ALTERNATIVE_TEXT).alias("alternative_text"), is_use_case(c("url"), c("search")).alias("use_case_text"),
+        (F.trim("transcript") != "").alias("has_transcript"),
     )
 
 
