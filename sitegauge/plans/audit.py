@@ -19,6 +19,9 @@ from ..sources.captures import one_per_url, validate_sites
 from . import answer_engine, eeat, facts as facts_module, image, indexability, on_page, structured_data, technical, trust
 from .rules import definitions, describe
 
+# The audits that judge every captured page.
+PAGE_AUDITS = (S.STRUCTURED, S.ON_PAGE, S.IMAGE)
+
 
 def check_definitions(spark: SparkSession) -> DataFrame:
     """All 448 published checks."""
@@ -64,14 +67,27 @@ def check_results(facts: facts_module.Facts, as_of: Column, compat: bool = False
         S.INDEX: indexability.audit(
             home, facts.index, facts.answers.select("req_url", "status"), facts.manual, addresses, compat=compat
         ),
-        S.STRUCTURED: structured_data.audit(home),
-        S.ON_PAGE: on_page.audit(home),
-        S.IMAGE: image.audit(home),
+        S.STRUCTURED: structured_data.audit(facts.pages),
+        S.ON_PAGE: on_page.audit(facts.pages),
+        S.IMAGE: image.audit(facts.pages),
         S.EXPERTISE: eeat.audit(home, eeat.target_facts(captured)),
         S.TRUST: trust.audit(home, facts.sites, trust.target_texts(captured), as_of),
     }
 
 
+def one_row_per_check(rows: DataFrame, home: DataFrame) -> DataFrame:
+    """Page checks of a site as one row per check: the worst state of its pages, shown by the home page or the least page id.
+
+    A failed page comes before a warned, a passed and a skipped one.
+    """
+    state = F.when(F.col("skipped"), 3).when(F.col("passed") & ~F.col("warning"), 2).when(F.col("warning"), 1).otherwise(0)
+    first = home.select("site_id", F.col("page_id").alias("home_id")).dropDuplicates(["site_id"])
+    place = F.struct(state, F.coalesce(F.col("page_id") != F.col("home_id"), F.lit(True)), "page_id")
+    kept = [c for c in rows.columns if c not in ("site_id", "audit", "check_id")]
+    return rows.join(first, "site_id", "left").groupBy("site_id", "audit", "check_id").agg(
+        F.min_by(F.struct(*kept), place).alias("row")).select("site_id", "audit", "check_id", "row.*").select(rows.columns)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
@@ -88,18 +104,25 @@ def audit(
     ``rendered_pages`` are optional. ``as_of`` stands for "now", so a run can be repeated. With
     ``staged`` the parsed pages and the check rows are written once to the shared folder and read
     back, which keeps later reads narrow and survives lost executors.
+
+    The page audits run on all captured pages: ``page_check_results`` has their rows, scores and categories count
+    them all, and ``check_results`` and the reports show one row per site and check, of the worst page.
     """
     keep = (lambda df, name: stage(df, name)) if staged else (lambda df, name: df)
     moment = F.lit(as_of).cast("timestamp")
     sites, rejected = validate_sites(inputs["sites"])
     facts = facts_module.build(spark, {**inputs, "sites": sites}, staged)
     defs = check_definitions(spark)
-    checks = union_all([
-        keep(describe(rows, defs), f"check_results_{name}") for name, rows in check_results(facts, moment, compat).items()
-    ])
+    described = {
+        name: keep(describe(rows, defs), f"check_results_{name}") for name, rows in check_results(facts, moment, compat).items()
+    }
+    page_checks = union_all([described[name] for name in PAGE_AUDITS])
+    site_checks = [rows for name, rows in described.items() if name not in PAGE_AUDITS]
+    every = union_all([*site_checks, page_checks])
+    checks = union_all([*site_checks, keep(one_row_per_check(page_checks, facts.home), "page_checks_folded")])
     order = defs.select("audit", "category", "category_ord").distinct()
-    categories = keep(S.category_summary(checks).join(F.broadcast(order), ["audit", "category"]), "category_scores")
-    scores = keep(S.with_missing_audits(S.audit_scores(checks), sites), "audit_scores")
+    categories = keep(S.category_summary(every).join(F.broadcast(order), ["audit", "category"]), "category_scores")
+    scores = keep(S.with_missing_audits(S.audit_scores(every), sites), "audit_scores")
     home = facts.home
     classified = keep(
         classify_pages(home).join(home.select("page_id", "site_id"), "page_id").drop("page_id"), "classifications"
@@ -113,6 +136,7 @@ def audit(
         "rejected_sites": rejected,
         "page_features": facts.pages,
         "check_results": checks,
+        "page_check_results": page_checks,
         "category_scores": categories,
         "audit_scores": scores,
         "classifications": classified,
