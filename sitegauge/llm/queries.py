@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, sharding, warc
+from . import chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, warc
 from .common import read
 from .sql import ORACLES, shard_sql
 
@@ -62,8 +62,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_preference_pairs, op3_pii_weak_supervision, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits, op10_main_text,
+    op11_substring_dedup,
 )}
 
 ORACLES["op7_shard_table"] = shard_sql(SHARDS, TABLE_SIZE)

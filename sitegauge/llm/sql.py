@@ -5,6 +5,7 @@ from __future__ import annotations
 from .line_dedup import MIN_LENGTH
 from .mixing import GRID, Mix
 from .quality import COMMON_WORDS, OTHER, Rules
+from .substring_dedup import WINDOW
 
 ORACLES: dict[str, str] = {}
 
@@ -50,6 +51,17 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (row_id) LEFT JOIN its USING (row_id)"""
 
+ORACLES["op11_substring_dedup"] = f"""
+WITH {NUMBERED.format('documents')}, d AS (SELECT row_id, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM numbered),
+wins AS (SELECT row_id, doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+late AS (SELECT row_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM wins) WHERE nth > 1),
+gone AS (SELECT DISTINCT row_id, unnest(range(i, i + {WINDOW})) AS p FROM late),
+words AS (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+rest AS (SELECT row_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (row_id, p) GROUP BY row_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN rest USING (row_id)"""
+
 _R = Rules()
 _CLASSES = (
     "[a-z]", "[A-Z]", r"[^\x00-\x7F]", "[0-9]", r"[\x20\x09-\x0D]", r"""[.,;:!?\x27"()-]""",
