@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, period_runs, pii, quality, sharding, substring_dedup, warc
+from . import chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, period_runs, pii, prefix_trie, quality, sharding, substring_dedup, warc
 from .common import read
 from .sql import ORACLES, shard_sql
 
@@ -67,13 +67,18 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_marks(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.digest(period_runs.find(period_runs.with_turns(read(spark, sf_dir, "documents"))))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_preference_pairs, op3_pii_weak_supervision, op4_decontaminate, op5_quality_divergence, op6_signature_join, op7_shard_table, op8_temperature_mix, op9_warc_revisits, op10_main_text,
-    op11_substring_dedup, op13_period_runs,
+    op11_substring_dedup, op12_prefix_trie, op13_period_runs,
 )}
 
 ORACLES["op7_shard_table"] = shard_sql(SHARDS, TABLE_SIZE)

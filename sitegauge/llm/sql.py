@@ -62,6 +62,32 @@ rest AS (SELECT row_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN rest USING (row_id)"""
 
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT)),
+  lambda crc, byte: list_reduce(list_transform(range(0, 8), lambda x: CAST(x AS UBIGINT)),
+    lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte)), CAST(4294967295 AS UBIGINT)))"""
+ORACLES["op12_prefix_trie"] = f"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+steps AS (
+  SELECT ids.conv_id, 1 AS kind, pos, role, text FROM ids JOIN own ON own.conv_id = ids.base AND pos <= h
+  UNION ALL SELECT own.conv_id, 2, pos, role, text FROM own JOIN ids USING (conv_id) WHERE pos > h),
+turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, pos) AS depth FROM steps),
+paths AS (
+  SELECT conv_id, 0 AS depth, 0 AS size, '' AS prefix FROM ids
+  UNION ALL SELECT conv_id, depth, length(text),
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth) FROM turns),
+members AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS node, max(depth) OVER (PARTITION BY conv_id) AS last FROM paths),
+nodes AS (SELECT node AS conv_id, depth, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM members GROUP BY node, depth),
+up AS (SELECT n.*, m.node AS parent_conv_id FROM nodes n LEFT JOIN members m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+tree AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, depth)),
+sums AS (SELECT m.node AS conv_id, m.depth, count(*) FILTER (t.n_children = 0) AS n_leaves, CAST(sum(t.saved) AS BIGINT) AS saved_tokens
+  FROM tree t JOIN members m ON m.conv_id = t.conv_id AND m.depth <= t.depth GROUP BY m.node, m.depth)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM tree JOIN sums USING (conv_id, depth)"""
+
 _R = Rules()
 _CLASSES = (
     "[a-z]", "[A-Z]", r"[^\x00-\x7F]", "[0-9]", r"[\x20\x09-\x0D]", r"""[.,;:!?\x27"()-]""",
