@@ -81,7 +81,7 @@ def file_readers(spark, d):
     feed = _text(
         ("k % 7 = 0", "<rss></rss>", "<rss><item><description>one two <b>three</b></description></item><item><description>one two three"),
         ("k % 7 > 0 and k % 4 > 0", " four", ""), ("k % 7 > 0 and k % 4 > 1", " five", ""), ("k % 7 > 0 and k % 4 > 2", " six", ""), ("k % 7 > 0", "</description></item></rss>", ""))
-    page = _text(("k % 2 = 0", "<html>", ""), ("k % 13 = 0", "solve the captcha", ""), ("k % 17 = 0", "x" * 6000, ""))
+    page = _text(("k % 2 = 0", "<html>", ""), ("k % 13 = 0", "solve the captcha", ""), ("k % 17 = 0", " " + "x" * 6000, ""))
     page = F.when(F.expr("k % 13 = 0 and k % 17 = 0"), F.substring(page, 1, 900)).otherwise(page)
     status = F.expr("CASE WHEN k % 11 = 0 THEN 503 ELSE 200 END")
     rows = _keys(spark, d).select("k", llms.alias("llms"), sitemap.alias("sitemap"), feed.alias("feed"), page.alias("page"), status.alias("status"))
