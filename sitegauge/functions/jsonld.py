@@ -1,7 +1,7 @@
-"""Structured-data readers (J1-J13) over VARIANT values.
+"""Structured-data readers (J1-J13) over the node table of a page (``ld``, made by :mod:`operators.structured`).
 
-Everything works on the array of raw script texts of one page, inside the row: no explode and no
-shuffle is needed to answer page-level questions. ``DEPTH`` bounds the nesting that is followed.
+A value is a node; what lies inside it, at any depth, is an interval of node numbers, and a property is one lookup. Everything
+works inside the row: no explode and no shuffle is needed to answer page-level questions.
 """
 
 from __future__ import annotations
@@ -11,143 +11,129 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.structured import NODE
 from . import patterns as P
 from .text import trim_blank
 
-DEPTH = 12
-_VARIANTS = "array<variant>"
+_NODES = f"array<{NODE}>"
 
 
-def _none() -> Column:
-    return F.array().cast(_VARIANTS)
+def nodes() -> Column:
+    return F.coalesce(F.col("ld")["nodes"], F.array().cast(_NODES))
 
 
-def parsed(blocks: Column) -> Column:
-    """One VARIANT per script text, NULL where the text is not JSON."""
-    return F.transform(F.coalesce(blocks, F.array().cast("array<string>")), F.try_parse_json)
+def _none() -> Column:
+    return F.array().cast(_NODES)
 
 
-def error_count(blocks: Column, blank_is_error: bool = True) -> Column:
-    """Unparsable blocks; one audit ignores blank ones, the others count them."""
-    texts = F.coalesce(blocks, F.array().cast("array<string>"))
-    if not blank_is_error:
-        texts = F.filter(texts, lambda b: trim_blank(b) != "")
-    return F.size(F.filter(texts, lambda b: F.try_parse_json(b).isNull()))
+def _at(number: Column) -> Column:
+    return F.get(F.col("ld")["nodes"], number)
 
 
-def items(value: Column) -> Column:
-    """A JSON array as array, anything else as one-element array."""
-    return F.coalesce(F.try_variant_get(value, "$", _VARIANTS), F.array(value))
+def error_count(blank_is_error: bool = True) -> Column:
+    """Unparsable blocks; one audit ignores blank ones, the others count them."""
+    bad = F.coalesce(F.col("ld")["bad"], F.lit(0))
+    return bad if blank_is_error else bad - F.coalesce(F.col("ld")["blank"], F.lit(0))
 
 
 def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return F.coalesce(value["kind"] == "o", F.lit(False))
 
 
 def get(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, f'$["{key}"]', "variant")
+    return _at(F.try_element_at(value["kids"], F.lit(key)))
 
 
 def get_array(value: Column, key: str) -> Column:
-    """The property as array: scalars are wrapped, absent gives an empty array."""
+    """The property as array: single values are wrapped, absent gives an empty array."""
     prop = get(value, key)
-    return F.when(prop.isNull(), _none()).otherwise(items(prop))
+    return F.when(prop.isNull(), _none()).when(prop["kind"] == "a", F.transform(prop["items"], _at)).otherwise(F.array(prop))
 
 
 def truthy(value: Column) -> Column:
     """Present and not null, false, zero or the empty string."""
-    return ~F.coalesce(F.to_json(value), F.lit("null")).isin("null", "false", "0", '""')
+    empty = value["kind"].isin("z", "f") | (value["kind"].isin("s", "n") & value["text"].isin("", "0"))
+    zero_text = (value["kind"] == "s") & (value["text"] == "0")
+    return F.coalesce(~empty | zero_text, F.lit(False))
 
 
 def has_key(value: Column, key: str) -> Column:
     """Own property test: JSON null counts as present."""
-    return F.coalesce(
-        F.map_contains_key(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key)), F.lit(False)
-    )
+    return F.coalesce(F.map_contains_key(value["kids"], F.lit(key)), F.lit(False))
 
 
 def string_of(value: Column) -> Column:
     """Text of a JSON string, NULL for every other kind."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(value["kind"] == "s", value["text"])
+
+
+def scalar(value: Column, key: str) -> Column:
+    """Text of a string, number or truth value, NULL for others."""
+    prop = get(value, key)
+    return F.when(prop["kind"] != "z", prop["text"])
+
+
+def number(value: Column, key: str) -> Column:
+    return scalar(value, key).try_cast("double")
+
+
+def shown(value: Column) -> Column:
+    """A property of a record as JSON, for evidence."""
+    return F.when(value["kind"] == "s", F.to_json(F.array(value["text"])).substr(F.lit(2), F.length(F.to_json(F.array(value["text"]))) - 2)).otherwise(
+        F.coalesce(value["json"], value["text"]))
 
 
 def strings(value: Column, key: str) -> Column:
     """The property's string items."""
-    texts = F.transform(get_array(value, key), string_of)
-    return F.filter(texts, lambda t: t.isNotNull())
+    return F.transform(F.filter(get_array(value, key), lambda v: v["kind"] == "s"), lambda v: v["text"])
 
 
 def scalar_texts(value: Column, key: str) -> Column:
-    return F.transform(
-        get_array(value, key), lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-    )
+    return F.transform(get_array(value, key), lambda v: F.coalesce(v["text"], F.lit("[object Object]")))
 
 
 def types(record: Column) -> Column:
     """The record's own types as text."""
-    return F.filter(scalar_texts(record, "@type"), lambda t: t.isNotNull())
-
+    return F.coalesce(record["types"], F.array().cast("array<string>"))
 
-def _flatten(value: Column, depth: int, keep: Callable[[Column], Column]) -> Column:
-    own = F.when(is_object(value) & keep(value), F.array(value)).otherwise(_none())
-    if depth == 0:
-        return own
-    inside = F.coalesce(
-        F.try_variant_get(value, "$", _VARIANTS),
-        F.when(is_object(value), get_array(value, "@graph")),
-        _none(),
-    )
-    return F.concat(own, F.flatten(F.transform(inside, lambda v: _flatten(v, depth - 1, keep))))
 
-
-def records(blocks: Column, typed_only: bool = True, depth: int = 6) -> Column:
+def records(typed_only: bool = True) -> Column:
     """Records through arrays and ``@graph`` in document order."""
-    keep = (lambda v: truthy(get(v, "@type"))) if typed_only else (lambda v: F.lit(True))
-    per_block = F.transform(parsed(blocks), lambda v: F.coalesce(_flatten(v, depth, keep), _none()))
-    return F.flatten(per_block)
+    return F.filter(nodes(), lambda v: v["flat"] & v["typed"] if typed_only else v["flat"])
 
 
-def top_blocks(blocks: Column) -> Column:
-    """Parsed values with a top-level array spread into its items."""
-    good = F.filter(parsed(blocks), lambda v: v.isNotNull())
-    return F.flatten(F.transform(good, items))
+def top_blocks() -> Column:
+    """Values of the blocks with a top-level array spread into its items."""
+    return F.filter(nodes(), lambda v: v["top"])
 
 
-def _walk(value: Column, depth: int) -> Column:
-    own = F.when(is_object(value), F.array(value)).otherwise(_none())
-    if depth == 0:
-        return own
-    inside = F.coalesce(
-        F.try_variant_get(value, "$", _VARIANTS),
-        F.map_values(F.try_variant_get(value, "$", "map<string,variant>")),
-        _none(),
-    )
-    return F.concat(own, F.flatten(F.transform(inside, lambda v: _walk(v, depth - 1))))
+def objects() -> Column:
+    """Every object at any level."""
+    return F.filter(nodes(), lambda v: v["kind"] == "o")
 
 
-def objects(blocks: Column, depth: int = DEPTH) -> Column:
-    """Every object at any level."""
-    good = F.filter(parsed(blocks), lambda v: v.isNotNull())
-    return F.flatten(F.transform(good, lambda v: _walk(v, depth)))
+def _once(value: Column, work: Callable[[Column], Column]) -> Column:
+    """``work`` on a value that is computed once, not again for every node it is held against."""
+    return F.get(F.transform(F.array(value), work), 0)
 
 
-def objects_of(values: Column, depth: int = DEPTH) -> Column:
-    """J4 starting from records instead of script texts."""
-    return F.flatten(F.transform(values, lambda v: _walk(v, depth)))
+def objects_of(values: Column) -> Column:
+    """J4 from some records on: these and all objects inside them."""
+    inside = lambda spans: F.filter(nodes(), lambda v: (v["kind"] == "o") & F.exists(spans, lambda r: v["n"].between(r["n"], r["last"])))
+    return _once(F.transform(values, lambda r: F.struct(r["n"].alias("n"), r["last"].alias("last"))), inside)
 
 
-def deep_types(blocks: Column) -> Column:
+def deep_types() -> Column:
     """J5, first form: string types of every object."""
-    return F.flatten(F.transform(objects(blocks), lambda r: strings(r, "@type")))
+    return F.flatten(F.transform(objects(), lambda r: strings(r, "@type")))
 
 
-def graph_types(record: Column, depth: int = 4) -> Column:
+def graph_types(record: Column) -> Column:
     """J5, second form: own types plus those reached through ``@graph`` arrays."""
-    own = strings(record, "@type")
-    if depth == 0:
-        return own
-    children = F.coalesce(F.try_variant_get(record, '$["@graph"]', _VARIANTS), _none())
-    return F.concat(own, F.flatten(F.transform(children, lambda c: graph_types(c, depth - 1))))
+    reached = lambda n, last: F.filter(nodes(), lambda v: (v["kind"] == "o") & v["n"].between(n, last) & (v["chain"] <= n))
+    of = lambda r: F.flatten(F.transform(reached(r["n"], r["last"]), lambda v: strings(v, "@type")))
+    nothing = F.array().cast("array<string>")
+    return _once(record, lambda r: F.when((r["kind"] == "o") & (r["last"] > r["n"]), of(r)).otherwise(nothing))
 
 
 def any_type(types_: Column, pattern: str, flags: str = "") -> Column:
@@ -164,31 +150,13 @@ def first(values: Column) -> Column:
     return F.get(values, 0)
 
 
-_TEXT_KEYS = ("name", "url", "@id")
-
-
-def _text_paths(prefix: str, depth: int = 2) -> list[str]:
-    """JSON paths a text may come from, in order of preference."""
-    out = [prefix]
-    if depth:
-        for key in _TEXT_KEYS:
-            out += _text_paths(f'{prefix}["{key}"]', depth - 1)
-    return out
-
-
-def text_value(value: Column, numbers: bool = False, prefix: str = "$") -> Column:
+def text_value(value: Column, numbers: bool = False) -> Column:
     """A string, else the text of name, url or ``@id``; numbers only where asked for."""
-    kinds = "^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)" if numbers else "^STRING"
-    found = F.array(*[F.try_variant_get(value, path, "variant") for path in _text_paths(prefix)])
-    texts = F.transform(
-        F.filter(found, lambda v: F.schema_of_variant(v).rlike(kinds)),
-        lambda v: trim_blank(F.try_variant_get(v, "$", "string")),
-    )
-    return F.coalesce(F.get(F.filter(texts, lambda t: t != ""), 0), F.lit(""))
+    return F.coalesce(value["counted" if numbers else "said"], F.lit(""))
 
 
 def text_of(record: Column, key: str, numbers: bool = False) -> Column:
-    return text_value(record, numbers, f'$["{key}"]')
+    return text_value(get(record, key), numbers)
 
 
 # Address parts in the order they are written out.
@@ -197,7 +165,7 @@ ADDRESS_PARTS = ("streetAddress", "addressLocality", "addressRegion", "postalCod
 
 def address_text(record: Column) -> Column:
     """Address parts joined with commas."""
-    parts = F.array(*[text_value(record, True, f'$["address"]["{key}"]') for key in ADDRESS_PARTS])
+    parts = F.array(*[text_of(get(record, "address"), key, True) for key in ADDRESS_PARTS])
     return F.array_join(F.filter(parts, lambda p: p != ""), ", ")
 
 
@@ -227,21 +195,22 @@ def phones(record: Column) -> Column:
     return F.concat(own, F.filter(contacts, lambda t: t != ""))
 
 
-def has_property(values: Column, key: str) -> Column:
-    """The property on a record, else on its geo, else on its address."""
+def own_or_nested(record: Column, key: str) -> Column:
+    """The property on a record, else on its geo, else on its address."""
+    geo, address = get(record, "geo"), get(record, "address")
+    nested = F.when(is_object(geo), has_key(geo, key)).when(is_object(address), has_key(address, key))
+    return has_key(record, key) | F.coalesce(nested, F.lit(False))
 
-    def test(record: Column) -> Column:
-        geo, address = get(record, "geo"), get(record, "address")
-        nested = F.when(is_object(geo), has_key(geo, key)).when(is_object(address), has_key(address, key))
-        return has_key(record, key) | F.coalesce(nested, F.lit(False))
 
-    return F.exists(objects_of(values), test)
+def has_property(values: Column, key: str) -> Column:
+    """The property on one of the records or inside them."""
+    return F.exists(objects_of(values), lambda r: own_or_nested(r, key))
 
 
 def non_https_urls(record: Column) -> Column:
-    """J9."""
-    urls = P.find_all(F.replace(F.to_json(record), F.lit("\\/"), F.lit("/")), r"https?://[^\"',\]\s}]+", flags="")
-    return F.filter(urls, lambda u: ~u.startswith("https://"))
+    """Plain addresses in the record's texts and keys, at any depth."""
+    inside = lambda r: F.filter(nodes(), lambda v: v["plain_urls"].isNotNull() & v["n"].between(r["n"], r["last"]))
+    return _once(record, lambda r: F.flatten(F.transform(inside(r), lambda v: v["plain_urls"])))
 
 
 def duplicate_ids(values: Column) -> Column:
@@ -274,8 +243,8 @@ def review_aggregate(values: Column) -> Column:
 
 def is_suspicious_rating(values: Column) -> Column:
     agg = review_aggregate(values)
-    number = lambda key: F.coalesce(F.try_variant_get(agg, f"$.{key}", "double"), F.lit(0.0))
-    return (number("ratingValue") == 5) & (number("reviewCount") >= 20)
+    value = lambda key: F.coalesce(number(agg, key), F.lit(0.0))
+    return (value("ratingValue") == 5) & (value("reviewCount") >= 20)
 
 
 def same_as_urls(values: Column) -> Column:
@@ -285,10 +254,6 @@ def same_as_urls(values: Column) -> Column:
 def breadcrumb_names(values: Column) -> Column:
     """Item names of the first breadcrumb record."""
     trail = get(first(of_type(values, ["BreadcrumbList"])), "itemListElement")
-    entries = F.coalesce(F.try_variant_get(trail, "$", _VARIANTS), _none())
-
-    def name(entry: Column) -> Column:
-        own = F.try_variant_get(entry, "$.name", "string")
-        return trim_blank(F.coalesce(own, F.try_variant_get(entry, "$.item.name", "string"), F.lit("")))
-
+    entries = F.when(trail["kind"] == "a", F.transform(trail["items"], _at)).otherwise(_none())
+    name = lambda entry: trim_blank(F.coalesce(scalar(entry, "name"), scalar(get(entry, "item"), "name"), F.lit("")))
     return F.filter(F.transform(entries, name), lambda n: n != "")

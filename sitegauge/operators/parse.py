@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from . import structured
+
 # The helper travels inside the task, so executors need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -49,6 +51,7 @@ _DOM_FIELDS = [
     ("h2_sections", "array<struct<title:string,text:string>>",
      pa.list_(pa.struct([("title", pa.string()), ("text", pa.string())]))),
     ("jsonld", "array<string>", pa.list_(pa.string())),
+    ("ld", structured.TABLE, structured.ARROW_TABLE),
     ("parse_error", "string", pa.string()),
     *[(name, f"array<{ELEMENT}>", pa.list_(_ARROW_ELEMENT)) for name in FAMILIES],
 ]
@@ -467,7 +470,7 @@ def parse_page(source: str, base: str) -> dict:
         "title": title, "body_text": slice_of(tree.body), "visible_words": len(visible.split()),
         "first_p": first_p, "dom_nodes": len(tree.tag), "http_refs": http_refs,
         "class_text": "\n".join(classes), "id_text": "\n".join(ids), "tag_counts": list(counts.items()),
-        "h2_sections": _h2_sections(tree, text), "jsonld": jsonld, "parse_error": None, **families,
+        "h2_sections": _h2_sections(tree, text), "jsonld": jsonld, "ld": structured.table_of(jsonld), "parse_error": None, **families,
     }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,17 +192,16 @@ def page_columns(pages: DataFrame) -> DataFrame:
     footer = T.collapse(F.substring(raw, F.floor(F.length(raw) * 0.7).cast("int") + 1, F.length(raw)))
     contact = T.collapse(D.joined(F.filter(
         c("nodes"), lambda e: P.test(D.attr(e, "class"), "contact|address|phone|email|location|office", "")), ""))
-    business = J.first(F.filter(J.objects(c("jsonld")), lambda r: J.any_type(
+    business = J.first(F.filter(J.objects(), lambda r: J.any_type(
         J.graph_types(r), "LocalBusiness|Organization|Store|Corporation", "i")))
     nap_text = F.concat_ws(" ", contact, footer, body)
     meta_text = F.array_join(F.transform(c("metas"), lambda m: D.attr_or(m, "content")), " ")
     site_name = D.attr(D.first(c("metas"), lambda m: D.attr(m, "property") == "og:site_name"), "content")
     first_text = lambda *keys: F.coalesce(
-        *[F.when(T.trim_blank(F.try_variant_get(c("business"), f"$.{k}", "string")) != "",
-                 T.trim_blank(F.try_variant_get(c("business"), f"$.{k}", "string"))) for k in keys], F.lit("")
+        *[F.when(T.trim_blank(J.scalar(c("business"), k)) != "", T.trim_blank(J.scalar(c("business"), k))) for k in keys], F.lit("")
     )
     parts = F.array(*[
-        F.coalesce(F.try_variant_get(c("business"), f"$.address.{k}", "string"), F.lit(""))
+        F.coalesce(J.scalar(J.get(c("business"), "address"), k), F.lit(""))
         for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")
     ])
     address = F.coalesce(J.string_of(J.get(c("business"), "address")), F.array_join(F.filter(parts, lambda p: p != ""), ", "))
@@ -214,7 +216,7 @@ def page_columns(pages: DataFrame) -> DataFrame:
         F.coalesce(c("site_name"), T.trim_blank(c("title")))
     )
     return first.select(
-        "site_id", "ord", "is_site", "source", F.col("final_url").alias("url"), "jsonld",
+        "site_id", "ord", "is_site", "source", F.col("final_url").alias("url"), "ld",
         body.alias("body"),
         F.concat_ws(" ", c("final_url"), c("title"), h12).alias("search_text"),
         D.n(every, faq).alias("n_faq"), F.size(questions).alias("n_question_heads"),
@@ -243,7 +245,7 @@ def page_columns(pages: DataFrame) -> DataFrame:
 def site_pages(facts: Facts) -> DataFrame:
     """All pages of each site and the likely local pages that answered."""
     need = [
-        "final_url", "html", "title", "body_text", "jsonld", "first_p", "headings", "anchors", "images", "metas", "nodes",
+        "final_url", "html", "title", "body_text", "ld", "first_p", "headings", "anchors", "images", "metas", "nodes",
         "link_tags", "scripts", "tag_counts", "class_text", "id_text",
     ]
     crawled = facts.pages.select(
@@ -486,20 +488,20 @@ def content_columns(rows: DataFrame) -> DataFrame:
     c = F.col
     typed = lambda objects, pattern: F.filter(objects, lambda r: J.any_type(J.graph_types(r), pattern, "i"))
     first = rows.select(
-        "*", J.objects(c("jsonld")).alias("objects"), T.digits(c("body")).alias("body_digits"), F.lower("body").alias("lower_body"),
+        "*", J.objects().alias("objects"), T.digits(c("body")).alias("body_digits"), F.lower("body").alias("lower_body"),
         T.collapse(c("search_text")).alias("search"),
     )
     second = first.select(
         "*", typed(c("objects"), LOCAL_TYPE).alias("local"), typed(c("objects"), "Organization").alias("orgs"),
         typed(c("objects"), "Product").alias("products"), typed(c("objects"), "FAQPage").alias("faqs"),
         J.same_as_urls(typed(c("objects"), f"Organization|{LOCAL_TYPE}")).alias("same_as"),
-        F.flatten(F.transform(J.top_blocks(c("jsonld")), lambda b: J.graph_types(b))).alias("types"),
+        F.flatten(F.transform(J.top_blocks(), lambda b: J.graph_types(b))).alias("types"),
     )
     text = lambda record, key: F.coalesce(J.string_of(J.get(record, key)), F.lit(""))
     claim = lambda phone, name: F.struct(F.substring(T.digits(phone), -7, 7).alias("phone"), F.lower(name).alias("name"))
     own = F.when(c("md_entity"), F.array(claim(c("md_phone"), F.trim(c("md_name"))))).otherwise(F.array().cast(_CLAIMS))
     third = second.select(
-        "*", J.objects_of(c("local"), 6).alias("local_nested"), J.review_aggregate(c("products")).alias("rated"),
+        "*", J.objects_of(c("local")).alias("local_nested"), J.review_aggregate(c("products")).alias("rated"),
         F.array_distinct(F.concat(
             F.transform(F.concat("local", "orgs"), lambda r: claim(text(r, "telephone"), text(r, "name"))), own)).alias("claims"),
         F.array_distinct(F.transform("products", lambda r: F.lower(text(r, "name")))).alias("product_names"),
@@ -512,17 +514,17 @@ def content_columns(rows: DataFrame) -> DataFrame:
     placed = lambda r: F.exists(
         F.array(*[J.get(r, k) for k in ("address", "addressLocality", "addressRegion", "areaServed", "serviceArea")]), J.truthy
     )
-    property_of = lambda *names: F.exists("local_nested", lambda r: _own_or_nested(r, names))
-    sized = lambda r: F.coalesce(F.size(F.try_variant_get(r, "$.mainEntity", "array<variant>")) >= 2, F.lit(False))
+    property_of = lambda *names: F.exists("local_nested", lambda r: reduce(or_, [J.own_or_nested(r, name) for name in names]))
+    sized = lambda r: F.coalesce(F.size(J.get(r, "mainEntity")["items"]) >= 2, F.lit(False))
     carries = lambda key: lambda r: J.truthy(J.get(r, key))
     body = c("body")
     test = lambda pattern: P.test(body, pattern)
-    number = lambda key: F.try_variant_get(c("rated"), f"$.{key}", "double").alias(key)
+    number = lambda key: J.number(c("rated"), key).alias(key)
     return third.select(
         "site_id", "ord", "is_site", "source", "n_faq", "n_question_heads", "n_outbound", "hidden_words", "n_images", "n_alt",
         "n_stock", "n_videos", "first_p", "bio_link", "data_nosnippet", "md_entity", "md_latitude", "md_longitude", "md_area",
         "map_embed", "map_latitude", "map_longitude", "nap_name", "nap_address", "nap_phone", "types", "claims", "product_names",
-        P.count(body, r"\?", "").alias("n_marks"), J.error_count(c("jsonld")).alias("n_errors"),
+        P.count(body, r"\?", "").alias("n_marks"), J.error_count().alias("n_errors"),
         F.size(typed(c("objects"), "VideoObject")).alias("n_video_records"),
         J.any_type(c("types"), "FAQPage").alias("faq_typed"),
         F.size("same_as").alias("n_same_as"),
@@ -621,18 +623,9 @@ def _verdicts() -> list[tuple[list[int], Verdict]]:
     return verdicts
 
 
-def _own_or_nested(record: Column, names: tuple[str, ...]) -> Column:
-    geo, address = J.get(record, "geo"), J.get(record, "address")
-    out = F.lit(False)
-    for name in names:
-        nested = F.when(J.is_object(geo), J.has_key(geo, name)).when(J.is_object(address), J.has_key(address, name))
-        out = out | J.has_key(record, name) | F.coalesce(nested, F.lit(False))
-    return out
-
-
-def speakable_found(blocks: Column) -> Column:
+def speakable_found() -> Column:
     """Real form of check 74: a speakable type or property somewhere."""
     return F.exists(
-        J.objects(blocks),
+        J.objects(),
         lambda r: J.any_type(J.graph_types(r), "SpeakableSpecification", "i") | J.has_key(r, "speakable"),
     )

@@ -69,7 +69,7 @@ def features(pages: DataFrame) -> DataFrame:
         D.n(svgs, lambda s: ~described(s)).alias("n_svg_bare"),
         D.any_of(F.col("images"), data_alt).alias("data_risk"),
         F.size(D.links_rel("preload", lambda e: F.lower(D.attr_or(e, "as")) == "image", case_free=True)).alias("n_preload"),
-        F.size(J.of_type(J.records(F.col("jsonld")), ["ImageObject"])).alias("n_image_objects"),
+        F.size(J.of_type(J.records(), ["ImageObject"])).alias("n_image_objects"),
     )
 
 

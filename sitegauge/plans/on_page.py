@@ -54,7 +54,7 @@ def features(pages: DataFrame) -> DataFrame:
         )
 
     base = pages.withColumn("site_host", U.bare_host(F.col("url"))).select(
-        "site_id", "page_id", "parse_error", F.col("url"), "body_text", "jsonld", "anchors", "images", "nodes", "headings",
+        "site_id", "page_id", "parse_error", F.col("url"), "body_text", "anchors", "images", "nodes", "headings",
         T.collapse(F.col("body_text")).alias("body"),
         F.transform("headings", D.level).alias("levels"),
         F.size(D.level_jumps(F.col("headings"))).alias("n_jumps"),
@@ -68,7 +68,7 @@ def features(pages: DataFrame) -> DataFrame:
         D.n(quotes, cited).alias("n_cited"),
         D.n(D.tagged(nodes, "dfn"), lambda e: T.trim_blank(T.text_or_empty(e["text"])) != "").alias("n_dfn"),
         D.n(D.tagged(nodes, "time"), lambda e: T.trim_blank(D.attr_or(e, "datetime")) != "").alias("n_datetime"),
-        F.transform(J.breadcrumb_names(J.records(F.col("jsonld"), typed_only=False)), T.normalized).alias("crumbs_schema"),
+        F.transform(J.breadcrumb_names(J.records(typed_only=False)), T.normalized).alias("crumbs_schema"),
         F.transform(D.breadcrumb_texts(), T.normalized).alias("crumbs_dom"),
         D.see_also_count().alias("n_see_also"),
         F.size(D.contextual_internal(F.col("site_host"))).alias("n_contextual"),
@@ -89,7 +89,7 @@ def features(pages: DataFrame) -> DataFrame:
         T.dominant_case(F.col("cases")).alias("case_kind"),
         F.array_join("crumbs_schema", " > ").alias("trail_schema"),
         F.array_join("crumbs_dom", " > ").alias("trail_dom"),
-    ).drop("body_text", "jsonld", "anchors", "images", "nodes", "headings")
+    ).drop("body_text", "anchors", "images", "nodes", "headings")
 
 
 def audit(pages: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ def features(pages: DataFrame) -> DataFrame:
         "site_id", "page_id", "url", "parse_error",
         T.collapse(F.col("body_text")).alias("body"),
         F.col("body_text").alias("raw"),
-        J.records(F.col("jsonld")).alias("recs"),
-        J.error_count(F.col("jsonld")).alias("n_errors"),
+        "ld", J.records().alias("recs"),
+        J.error_count().alias("n_errors"),
         F.size("jsonld").alias("n_blocks"),
         ((D.tag_count("details") > 0) | faq_marks).alias("faq_dom"),
         map_frame.alias("map_frame"),
@@ -155,7 +155,7 @@ def audit(pages: DataFrame) -> DataFrame:
     linkedin = lambda items: F.exists(items, lambda s: P.test(s, r"linkedin\.com"))
     authority = F.exists(same_as, lambda s: P.test(s, r"wikidata\.org|crunchbase\.com"))
     offers = F.when(J.is_object(J.get(product, "offers")), J.get(product, "offers"))
-    scalar = lambda record, key: F.coalesce(F.try_variant_get(record, f'$["{key}"]', "string"), F.lit(""))
+    scalar = lambda record, key: F.coalesce(J.scalar(record, key), F.lit(""))
     items = J.get_array(faq, "mainEntity")
     faq_match = (F.size(items) > 0) & F.forall(items, lambda i: shows(J.text_value(i), 40))
     geo = J.get(local, "geo")
@@ -165,7 +165,7 @@ def audit(pages: DataFrame) -> DataFrame:
     availability = F.regexp_replace(T.normalized(scalar(offers, "availability")), "https schema org ", "")
 
     def simple(ids: list[int], record: Column, key: str, skipped: Column) -> tuple[list[int], Verdict]:
-        return ids, Verdict(has(record, key), skipped=skipped, evidence={key: F.to_json(J.get(record, key))})
+        return ids, Verdict(has(record, key), skipped=skipped, evidence={key: J.shown(J.get(record, key))})
 
     not_local, not_article, not_person = ~is_local, ~is_article, ~is_person
     verdicts = [

@@ -84,7 +84,7 @@ def page_columns(pages: DataFrame) -> DataFrame:
     inline = D.inline_script_text()
     first = pages.select(
         "*", U.path(url).alias("path"), U.bare_host(url).alias("site_host"),
-        J.top_blocks(c("jsonld")).alias("blocks"), J.deep_types(c("jsonld")).alias("types"),
+        J.top_blocks().alias("blocks"), J.deep_types().alias("types"),
         D.image_stats().alias("img"), D.label_stats().alias("labels"),
     )
     return first.select(
@@ -116,7 +116,7 @@ def page_columns(pages: DataFrame) -> DataFrame:
         F.size(preloads).alias("n_preload"),
         F.size(D.links_rel("preconnect")).alias("n_preconnect"),
         F.size(blocks).alias("n_blocks"),
-        J.error_count(c("jsonld"), blank_is_error=False).alias("n_errors"),
+        J.error_count(blank_is_error=False).alias("n_errors"),
         F.forall(blocks, context_ok).alias("contexts_ok"),
         typed("Organization").alias("t_org"), typed("WebSite").alias("t_website"),
         typed("BreadcrumbList").alias("t_breadcrumb"),

@@ -54,7 +54,7 @@ def audit(pages: DataFrame, sites: DataFrame, targets: DataFrame, as_of: Column)
         headers.alias("headers"),
         T.collapse(c("body_text")).alias("body"),
         D.footer_text().alias("footer"),
-        J.records(c("jsonld")).alias("recs"),
+        "ld", J.records().alias("recs"),
         D.matching_link(host, "contact|get in touch")["abs"].alias("contact_url"),
         D.matching_link(host, "privacy")["abs"].alias("privacy_url"),
     )
@@ -75,7 +75,7 @@ def audit(pages: DataFrame, sites: DataFrame, targets: DataFrame, as_of: Column)
             F.concat_ws(" ", "body", "footer", "contact", "privacy").alias("all_text"),
             J.text_of(c("entity"), "name", True).alias("schema_name"),
             J.address_text(c("entity")).alias("address"),
-            J.text_value(c("entity"), True, '$["address"]["addressLocality"]').alias("city"),
+            J.text_of(J.get(c("entity"), "address"), "addressLocality", True).alias("city"),
             J.phones(c("entity")).alias("schema_phones"),
             J.dates(c("recs")).alias("dates"),
             J.prices(J.of_type(c("recs"), ["Product"])).alias("prices"),

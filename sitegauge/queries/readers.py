@@ -12,6 +12,7 @@ from ..functions import urls as U
 from ..operators import scoring as S
 from ..operators.parse import parse_pages
 from ..operators.sitemaps import feed_average_words
+from ..operators.structured import with_nodes
 from ..plans import answer_engine as A
 from ..sources.captures import certificate_ok
 from .checks import _site_pages
@@ -145,11 +146,11 @@ def page_types(spark, d):
     link = pick(11, "https://a.example/a.PDF", "https://a.example/b.webp?x", "https://a.example/c")
     content = pick(13, "text/html; charset=utf-8", "application/javascript", "image/png", "application/xml", "application/octet-stream")
     blocks = F.array(pick(17, '{"@type":"SpeakableSpecification"}', '{"@type":"Article","speakable":{"x":1}}', '{"@type":"Article"}'))
-    rows = _keys(spark, d)
+    rows = with_nodes(_keys(spark, d).withColumn("jsonld", blocks))
     return rows.select(
         "k", A.alternatives_score(F.array(first), F.array(page_text)).alias("alternatives"), A.is_use_case(second, U.path_words(second)).alias("use_case"),
         A.trust_score(A.trust_types(policy)).alias("trust"), U.is_crawlable(link).alias("crawlable"), U.content_kind(content).alias("kind"),
-        S.grade_description((c("k") % 101).cast("int")).alias("grade_text"), A.speakable_found(blocks).alias("speakable"))
+        S.grade_description((c("k") % 101).cast("int")).alias("grade_text"), A.speakable_found().alias("speakable"))
 
 
 @register("answer_sections", """SELECT k, CAST(n AS INT) AS section, CASE n WHEN 0 THEN 'First ' || k ELSE 'Second' END AS title, CAST(CASE n WHEN 0 THEN 2 + CASE WHEN k % 2 = 0 THEN 45 ELSE 0 END ELSE 3 END AS INT) AS words,

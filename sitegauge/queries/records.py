@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonld as J
 from ..functions import text as T
+from ..operators.structured import with_nodes
 from .common import table
 
 QUERIES: dict = {}
@@ -53,13 +54,12 @@ _BAD = f"({_K} % 17 = 0)"
  NOT {_BAD} AND {_K} % 5 IN (0, 1) AS has_trail FROM part""")
 def record_parsing(spark, d):
     """Errors under both blank rules, records, types through the graph and at every depth."""
-    j = F.col("jsonld")
-    return part_blocks(spark, d).select(
-        "p_partkey", J.error_count(j).alias("errors"), J.error_count(j, False).alias("errors_lenient"), F.size(J.records(j)).alias("n_records"),
-        F.size(J.records(j, typed_only=False)).alias("n_untyped"),
-        F.array_join(F.flatten(F.transform(J.records(j), J.types)), ",").alias("types"),
-        F.array_join(F.array_sort(J.deep_types(j)), ",").alias("deep_types"),
-        (F.size(J.of_type(J.records(j), ["BreadcrumbList"])) > 0).alias("has_trail"),
+    return with_nodes(part_blocks(spark, d)).select(
+        "p_partkey", J.error_count().alias("errors"), J.error_count(False).alias("errors_lenient"), F.size(J.records()).alias("n_records"),
+        F.size(J.records(typed_only=False)).alias("n_untyped"),
+        F.array_join(F.flatten(F.transform(J.records(), J.types)), ",").alias("types"),
+        F.array_join(F.array_sort(J.deep_types()), ",").alias("deep_types"),
+        (F.size(J.of_type(J.records(), ["BreadcrumbList"])) > 0).alias("has_trail"),
     )
 
 
@@ -70,12 +70,12 @@ def record_parsing(spark, d):
 def record_values(spark, d):
     """Text values, presence, coverage, ratings, insecure addresses and trails."""
     c = F.col
-    rows = part_blocks(spark, d).select("p_partkey", J.records(c("jsonld")).alias("recs")).select(
+    rows = with_nodes(part_blocks(spark, d)).select("p_partkey", "ld", J.records().alias("recs")).select(
         "*", J.of_type(c("recs"), ["Product"]).alias("products")).select("*", J.first(c("products")).alias("p"))
     return rows.select(
         "p_partkey", J.text_of(c("p"), "name").alias("name"), J.text_of(c("p"), "brand").alias("brand"), J.text_of(c("p"), "@id").alias("id"),
         J.has_key(c("p"), "brand").alias("brand_key"), J.truthy(J.get(c("p"), "brand")).alias("brand_set"),
-        F.round(F.try_variant_get(c("p"), "$.offers.price", "double"), 2).alias("price"), J.product_coverage(c("products")).alias("coverage"),
+        F.round(J.number(J.get(c("p"), "offers"), "price"), 2).alias("price"), J.product_coverage(c("products")).alias("coverage"),
         J.is_suspicious_rating(c("products")).alias("suspicious"), J.is_complete_product(c("products")).alias("complete"),
         F.size(F.flatten(F.transform("recs", J.non_https_urls))).alias("insecure"), F.array_join(J.breadcrumb_names(c("recs")), " > ").alias("trail"),
     )
@@ -103,8 +103,8 @@ def organisation_records(spark, d):
         ',"foundingDate":"2001","datePublished":"2024-01-0', (k % 9 + 1).cast("string"), '"}',
     )
     blocks = F.when(k % 10 == 0, F.array(org, text('{"@type":"Thing","@id":"#', k.cast("string"), '"}'))).otherwise(F.array(org))
-    base = rows.select(k, blocks.alias("jsonld")).select("*", J.records(c("jsonld")).alias("recs")).select("*", J.first(c("recs")).alias("org"))
-    links = J.same_as_urls(F.filter(J.objects(c("jsonld")), lambda r: J.any_type(J.graph_types(r), "LocalBusiness")))
+    base = with_nodes(rows.select(k, blocks.alias("jsonld"))).select("*", J.records().alias("recs")).select("*", J.first(c("recs")).alias("org"))
+    links = J.same_as_urls(F.filter(J.objects(), lambda r: J.any_type(J.graph_types(r), "LocalBusiness")))
     local = F.filter("recs", lambda r: J.any_type(J.types(r), "LocalBusiness"))
     digits = T.phone_digits(J.phones(c("org")))
     return base.select(
@@ -113,3 +113,28 @@ def organisation_records(spark, d):
         J.has_property(local, "latitude").alias("latitude"), J.has_property(local, "areaServed").alias("area"),
         F.size(J.duplicate_ids(c("recs"))).alias("n_duplicates"), F.array_join(J.dates(c("recs")), ",").alias("dates"),
     )
+
+
+@register("nested_records", f"""SELECT {_K}, CAST(3 + {_K} % 28 AS INT) AS depth, CAST(CASE WHEN {_K} % 2 = 0 THEN 2 ELSE 1 END AS INT) AS n_records, 'Deep' || CASE WHEN {_K} % 2 = 0 THEN ',Side' ELSE '' END AS graph_types,
+ CAST(2 * (3 + {_K} % 28) + 3 + CASE WHEN {_K} % 2 = 0 THEN 1 ELSE 0 END AS INT) AS n_objects, p_name AS name, p_brand AS brand_inside, {_K} % 3 = 0 AS latitude, CAST(CASE WHEN {_K} % 5 = 0 THEN 1 ELSE 0 END AS INT) AS insecure FROM part""")
+def nested_records(spark, d):
+    """J2, J4-J7, J9 at 3 to 30 levels: records and types through nested graphs, texts through chains of names, objects and addresses inside."""
+    c = F.col
+    k = c("p_partkey")
+    depth = (k % 28 + 3).cast("int")
+    deep = lambda opens, inner, closes: F.concat(F.repeat(F.lit(opens), depth), *inner, F.repeat(F.lit(closes), depth))
+    record = [
+        F.lit('{"@type":"Deep","name":'), deep('{"name":', [F.lit('" '), c("p_name"), F.lit(' "')], "}"), F.lit(',"about":[{"maker":{"brand":"'), c("p_brand"), F.lit('"'),
+        F.when(k % 3 == 0, ',"latitude":null').otherwise(""), F.lit(',"link":"'), F.when(k % 5 == 0, "http").otherwise("https"), F.lit('://x.example/"}}]}'),
+        F.when(k % 2 == 0, ',[[{"@type":"Listed"}]],{"@type":"Side"}').otherwise(""),
+    ]
+    block = deep('{"@graph":[', record, "]}")
+    rows = with_nodes(table(spark, d, "part").select(k, "p_name", "p_brand", F.array(block).alias("jsonld")))
+    top = J.first(J.top_blocks())
+    maker = J.first(F.filter(J.objects(), lambda r: J.has_key(r, "brand")))
+    listed = F.when(k % 2 == 0, 1).otherwise(0)
+    return rows.select(
+        k, (F.size(F.filter(J.objects(), lambda r: J.has_key(r, "@graph")))).alias("depth"), (F.size(J.records()) - listed).alias("n_records"),
+        F.array_join(J.graph_types(top), ",").alias("graph_types"), (F.size(J.objects()) - listed).alias("n_objects"),
+        J.text_of(J.first(J.of_type(J.records(), ["Deep"])), "name").alias("name"), J.text_of(maker, "brand").alias("brand_inside"),
+        J.has_property(J.of_type(J.records(), ["Deep"]), "latitude").alias("latitude"), F.size(J.non_https_urls(top)).alias("insecure"))

@@ -16,6 +16,7 @@ from sitegauge.functions import urls as U
 from sitegauge.functions.numbers import clamp_score, half_up
 from sitegauge.operators import scoring as S
 from sitegauge.operators.ranking import first_distinct
+from sitegauge.operators.structured import with_nodes
 
 
 def one(spark, **columns):
@@ -76,18 +77,66 @@ def test_header_readers(spark):
     assert (r.page, r.js, r.n, r.s, r.none) == (False, True, 0.0, -1, None)
 
 
+def nodes_of(spark, *blocks):
+    return with_nodes(frame(spark, [{"jsonld": list(blocks)}], "jsonld array<string>"))
+
+
 def test_json_null_is_present_but_not_truthy(spark):
-    v = F.try_parse_json(F.lit('{"a":null,"b":0,"c":"","d":[]}'))
-    r = one(spark, a=J.has_key(v, "a"), t=J.truthy(J.get(v, "a")), b=J.truthy(J.get(v, "b")), c=J.truthy(J.get(v, "c")), d=J.truthy(J.get(v, "d")), z=J.has_key(v, "z"))
-    assert (r.a, r.t, r.b, r.c, r.d, r.z) == (True, False, False, False, True, False)
+    v = J.first(J.top_blocks())
+    r = nodes_of(spark, '{"a":null,"b":0,"c":"","d":[],"e":"0"}').select(
+        J.has_key(v, "a").alias("a"), J.has_key(v, "z").alias("z"), *(J.truthy(J.get(v, k)).alias(f"t_{k}") for k in "abcdez")).first()
+    assert tuple(r) == (True, False, False, False, False, True, True, False)
 
 
 def test_graph_wrapper_takes_its_children_types(spark):
     block = '{"@graph":[{"@type":"LocalBusiness","geo":{"@type":"GeoCoordinates"}}]}'
-    r = one(spark, g=J.graph_types(F.try_parse_json(F.lit(block))), d=J.deep_types(F.array(F.lit(block))))
+    r = nodes_of(spark, block).select(J.graph_types(J.first(J.top_blocks())).alias("g"), J.deep_types().alias("d")).first()
     assert r.g == ["LocalBusiness"] and sorted(r.d) == ["GeoCoordinates", "LocalBusiness"]
 
 
+def test_any_depth_of_structured_data(spark):
+    for depth in (3, 30, 400, 30_000):
+        block = '{"@graph":[' * depth + '{"@type":"Deep","name":' + '{"url":' * depth + '" end "' + "}" * depth + "}" + "]}" * depth
+        r = nodes_of(spark, block).select(
+            J.graph_types(J.first(J.top_blocks())).alias("g"), F.size(J.records()).alias("n"), J.text_of(J.first(J.records()), "name").alias("t"),
+            F.size(J.objects()).alias("objects"), J.error_count().alias("errors")).first()
+        assert (r.g, r.n, r.t, r.objects, r.errors) == (["Deep"], 1, "end", 2 * depth + 1, 0)
+
+
+def test_json_reader_for_deep_texts_agrees_with_the_built_in_one():
+    import json
+    import random
+
+    from sitegauge.operators.structured import _deep_parse, parse_json
+
+    r = random.Random(3)
+
+    def value(depth):
+        kind = r.randrange(8 if depth else 6)
+        if kind == 6:
+            return [value(depth - 1) for _ in range(r.randrange(4))]
+        if kind == 7:
+            return {r.choice(["a", "b", "é\"", ""]): value(depth - 1) for _ in range(r.randrange(4))}
+        return [1, -2.5e3, "x \n y", True, None, "é"][kind]
+
+    for _ in range(300):
+        text = json.dumps(value(4), indent=r.choice([None, 1]))
+        assert _deep_parse(text) == json.loads(text)
+        cut = text[: r.randrange(len(text))] + r.choice(["", "]", "}", ",", "1", '"'])
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            want = ValueError
+        try:
+            got = _deep_parse(cut)
+        except ValueError:
+            got = ValueError
+        assert got == want, cut
+    for bad in ("", " ", "NaN", "[Infinity]", "{'a':1}"):
+        with pytest.raises(ValueError):
+            parse_json(bad)
+
+
 CHECK = "site_id int, audit string, category string, check_id int, weight double, passed boolean, skipped boolean, warning boolean, severity string, scope string"
 
 
