@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -16,11 +17,12 @@ from ..functions import robots as R
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.numbers import half_up, rate
+from ..operators import phrases
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.parse import parse_pages
 from ..operators.ranking import last_wins
 from ..operators.scoring import ANSWER, ANSWER_CATEGORY_WEIGHTS
-from ..sources.captures import WELL_KNOWN, one_per_url
+from ..sources.captures import WELL_KNOWN, one_per_url, one_row
 from .facts import Facts
 from .rules import CheckDef, Verdict, check_rows
 
@@ -257,11 +259,14 @@ def site_pages(facts: Facts) -> DataFrame:
         F.struct(F.lit((1 << 60) + i).alias("ord"), F.lit(role).alias("source"), F.concat(origin, F.lit(path)).alias("url"))
         for i, (role, path) in enumerate(local)
     ])).alias("w")).select("site_id", "w.*")
-    answered = facts.parsed_log.where(
+    narrow = page_columns(crawled)
+    blank = lambda kind: F.lit(None).cast(kind)
+    answered = one_row(page_columns(facts.parsed_log.where(
         F.col("user_agent").isNull() & F.col("status").between(200, 299) & (T.trim_blank(F.col("html")) != "")
-    ).select("url", F.col("url").alias("final_url"), *[n for n in need if n != "final_url"]).dropDuplicates(["url"])
-    extra = wanted.join(answered, "url").select("site_id", "ord", F.lit(False).alias("is_site"), "source", *need)
-    return page_columns(crawled.unionByName(extra))
+    ).select(blank(crawled.schema["site_id"].dataType).alias("site_id"), blank("bigint").alias("ord"), F.lit(False).alias("is_site"),
+             blank("string").alias("source"), F.col("url").alias("final_url"), *[n for n in need if n != "final_url"])).drop("site_id", "ord", "is_site", "source"), ("url",))
+    extra = wanted.join(answered, "url").withColumn("is_site", F.lit(False))
+    return narrow.unionByName(extra.select(*narrow.columns))
 
 
 _CLAIMS = "array<struct<phone:string,name:string>>"
@@ -300,7 +305,7 @@ def site_columns(rows: DataFrame, content: DataFrame, facts: Facts) -> DataFrame
         "*", (c("phone_words") & c("address_words")).alias("nap"),
         (~c("has_local") & ~c("has_orgs") & ~c("md_entity")).alias("no_entity"),
     ), "answer_folded")
-    elsewhere = facts.keep(shown_elsewhere(folded, content, rows), "answer_elsewhere")
+    elsewhere = facts.keep(shown_elsewhere(folded, content, rows, facts.keep), "answer_elsewhere")
     overlaps = facts.keep(overlap_columns(rows), "answer_overlaps")
     number = lambda key: F.coalesce(c("rating")[key], F.lit(0.0))
     agrees = [(c("first_nap")[k] == "") | c(f"one_{k}") for k in keys]
@@ -324,38 +329,30 @@ def site_columns(rows: DataFrame, content: DataFrame, facts: Facts) -> DataFrame
     )
 
 
-def shown_elsewhere(folded: DataFrame, content: DataFrame, rows: DataFrame) -> DataFrame:
+def shown_elsewhere(folded: DataFrame, content: DataFrame, rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Phones, names and products that their own pages do not show, looked up on all pages of the site.
 
-    Only sites without a match on one page get here; their terms meet the page texts inside the row.
+    Only sites without a match on one page get here; their terms meet the pages in a positional index.
     """
     c = F.col
     open_sites = folded.select(
         "site_id", (~c("nap") & ~c("no_entity") & ~c("claim_shown")).alias("open_claim"),
         (c("has_products") & ~c("product_shown")).alias("open_product"),
     ).where("open_claim or open_product")
-    none = lambda kind: F.array().cast(kind)
-    wanted = content.select("site_id", "is_site", "claims", "product_names").join(open_sites, "site_id").groupBy("site_id").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.when(c("open_claim"), c("claims")).otherwise(none(_CLAIMS))))).alias("claims"),
-        F.array_distinct(F.flatten(F.collect_set(
-            F.when(c("open_product") & c("is_site"), c("product_names")).otherwise(none("array<string>"))))).alias("product_names"),
-    )
-    lower, digits = c("lower_body"), c("body_digits")
-    term = lambda mark, value: F.concat(F.lit(mark), value)
-    listed = lambda values, text, mark: F.transform(F.filter(values, lambda v: F.contains(text, v)), lambda v: term(mark, v))
-    found = rows.join(wanted, "site_id").select(
-        "site_id", "is_site", "claims", "product_names", F.lower("body").alias("lower_body"), T.digits(c("body")).alias("body_digits"),
-    ).select("site_id", F.explode(F.concat(
-        listed(F.array_distinct(c("claims.phone")), digits, "p"), listed(F.array_distinct(c("claims.name")), lower, "n"),
-        F.when(c("is_site"), listed(c("product_names"), lower, "s")).otherwise(none("array<string>")),
-    )).alias("term")).distinct().groupBy("site_id").agg(F.collect_list("term").alias("terms"))
-    shown = lambda mark, value: F.array_contains("terms", term(mark, value))
-    return wanted.join(found, "site_id").select(
-        "site_id",
-        F.exists("claims", lambda k: ((k["phone"] == "") | shown("p", k["phone"])) & ((k["name"] == "") | shown("n", k["name"]))
-                 ).alias("claim_elsewhere"),
-        F.exists("product_names", lambda n: shown("s", n)).alias("product_elsewhere"),
-    )
+    wanted = content.select("site_id", "is_site", "claims", "product_names").join(open_sites, "site_id")
+    claims = keep(wanted.where("open_claim").select("site_id", F.explode("claims").alias("claim")).select(
+        "site_id", "claim.phone", "claim.name").distinct(), "open_claims")
+    products = keep(wanted.where("open_product and is_site").select("site_id", F.explode("product_names").alias("phrase")).distinct(), "open_products")
+    texts = rows.select("site_id", c("ord").alias("page"), c("is_site").alias("own"), F.lower("body").alias("text"))
+    names = keep(phrases.shown(texts, claims.select("site_id", c("name").alias("phrase")).union(products), keep=keep), "shown_names")
+    phones = phrases.shown_digits(
+        rows.select("site_id", T.digits(c("body")).alias("digits")), claims.where("phone != ''").select("site_id", c("phone").alias("number")))
+    told = claims.join(names.select("site_id", c("phrase").alias("name"), F.lit(True).alias("named")), ["site_id", "name"], "left").join(
+        phones.select("site_id", c("number").alias("phone"), F.lit(True).alias("called")), ["site_id", "phone"], "left").groupBy("site_id").agg(
+        F.bool_or(((c("phone") == "") | c("called").isNotNull()) & ((c("name") == "") | c("named").isNotNull())).alias("claim_elsewhere"))
+    sold = products.join(names.where("on_site"), ["site_id", "phrase"], "left_semi").select("site_id", F.lit(True).alias("product_elsewhere")).distinct()
+    return open_sites.select("site_id").join(told, "site_id", "left").join(sold, "site_id", "left").select(
+        "site_id", F.coalesce("claim_elsewhere", F.lit(False)).alias("claim_elsewhere"), F.coalesce("product_elsewhere", F.lit(False)).alias("product_elsewhere"))
 
 
 def overlap_columns(rows: DataFrame) -> DataFrame:
@@ -397,9 +394,9 @@ def trust_columns(facts: Facts, addresses: DataFrame) -> DataFrame:
     candidates = trust_candidates(facts, addresses)
     text = trust_text(F.col("url"), F.col("anchor"))
     titles = facts.parsed_log.where(F.col("user_agent").isNull() & F.col("status").between(200, 299)).select(
-        "url", F.concat_ws(" ", "title", D.first_h1()).alias("head")
-    ).unionByName(facts.pages.select("url", F.concat_ws(" ", "title", D.first_h1()).alias("head"))).groupBy("url").agg(
-        F.first("head").alias("head")
+        "url", F.concat_ws(" ", "title", D.first_h1()).alias("head"), F.lit(0).alias("turn")
+    ).unionByName(facts.pages.select("url", F.concat_ws(" ", "title", D.first_h1()).alias("head"), F.lit(1).alias("turn"))).groupBy("url").agg(
+        F.min_by("head", F.struct("turn", "head")).alias("head")
     )
     broad = candidates.where(P.test(text, TRUST_WORDS)).join(titles, "url")
     found = candidates.select("site_id", F.explode(trust_types(text)).alias("type")).unionByName(

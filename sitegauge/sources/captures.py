@@ -91,8 +91,13 @@ def one_per_url(rows: DataFrame, keys: tuple[str, ...] = ("req_url",)) -> DataFr
 
 
 def content_hash(rows: DataFrame, columns: Sequence[str]) -> Column:
-    """Hash of some columns; maps count as their sorted entries."""
-    plain = lambda f: F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+    """Hash of some columns; maps count as their sorted entries, values with maps inside as their JSON."""
+
+    def plain(f: T.StructField) -> Column:
+        if isinstance(f.dataType, T.MapType):
+            return F.array_sort(F.map_entries(f.name))
+        return F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name)
+
     return F.xxhash64(*[plain(f) for f in rows.schema if f.name in columns])
 
 
