@@ -1,19 +1,21 @@
 """Quality rules: repetition counts, and the divergence of a text's histograms from its language.
 
-Each document gives a character-class histogram and a histogram of common words. The reference of a language is the mean
-of the normalised histograms of all its documents (so one long text weighs as much as a short one). A document is rejected
+Each document gives a character-class histogram and, where its language has a list, a histogram of common words. Every value of
+``lang`` has a reference of its own: the mean of the normalised histograms of all its documents (so one long text weighs as much
+as a short one), if at least ``min_documents`` are long enough to measure. A document is rejected
 when its Jensen-Shannon distance (base 2, 0 to 1) from the reference is above a limit, or when both distances are above
 lower limits; texts below a minimum length are not judged by that histogram, as short texts stray by chance.
 
 The base rule rejects texts of fewer than ten words and texts with more than a fifth of the words in repeated 5-word
 windows.
 
-Scale: two scans and no shuffle of texts. The first adds up histograms per language (a fixed list, all else is one more
-language), which Spark merges as a handful of rows; the second measures, decides and may pass the text through.
+Scale: two scans and no shuffle of texts while there are at most ``MOST_LANGUAGES`` references. The first adds up histograms per
+language, which Spark merges as a few rows per language; the second measures, decides and may pass the text through. The number
+of references is counted before they travel with the tasks; beyond that bound each row gets its own by a join on the language.
 
-Defined cases: null text is an empty text and fails the base rule, a null or unknown language uses the reference of all
-such documents and is judged by characters only, a language without measurable documents judges nothing, repeated rows are
-judged one by one, an empty table gives an empty table, and input columns named like a measure give way to it.
+Defined cases: null text is an empty text and fails the base rule; a null language, or one with too few measurable documents, is
+judged by the base rule only; a language without a word list is judged by characters only; repeated rows are
+judged one by one; an empty table gives an empty table; input columns named like a measure give way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, bounded_batches, text_slices
+from .common import arrow_rows, bounded_batches, stage, text_slices
 
 # The most common words of each language that has a word reference.
 COMMON_WORDS = {
@@ -37,7 +39,8 @@ COMMON_WORDS = {
     "es": "al con de del el en es la las lo los no para por que se su un una y".split(),
     "fr": "au avec dans de des du elle en est et il la le les par pas pour que qui sur un une".split(),
 }
-OTHER = "other"
+MOST_LANGUAGES = 2000
+HELD_LANGUAGES = 10_000
 CLASSES = ("lower", "upper", "letter_beyond_ascii", "digit", "space", "stop", "symbol")
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -57,6 +60,7 @@ class Rules:
     both_char: float = 0.145
     both_word: float = 0.25
     both_min: int = 100
+    min_documents: int = 10
 
 
 def _class_table() -> np.ndarray:
@@ -78,15 +82,11 @@ _POINTS = np.array([not 0x80 <= b < 0xC0 for b in range(256)])
 _PLAIN = bytes(b if chr(b).isalnum() and b < 0x80 or b >= 0x80 else 0x20 for b in range(256))
 
 
-def language_key(lang: str | None) -> str:
-    return lang if lang in COMMON_WORDS else OTHER
-
-
-def histograms(data: bytes, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def histograms(data: bytes, key: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Byte counts, character-class counts, common-word counts (the last cell is all other words) and number of words."""
     counted = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
     words = data.lower().translate(_PLAIN).split()
-    if key == OTHER:
+    if key not in COMMON_WORDS:
         return counted, counted @ CLASS_TABLE, np.zeros(0), len(words)
     seen = Counter(words)
     common = [seen.get(w.encode(), 0) for w in COMMON_WORDS[key]]
@@ -107,32 +107,37 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
-def reference_histograms(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict[str, tuple]:
-    """Language -> (character reference, word reference), from all rows of ``docs``; at most one row per fixed language comes back."""
+def reference_histograms(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, chars, words): the references of every language of ``docs``, written down; null where too few documents measure."""
     bounded_batches(docs)
-    schema = pa.schema([("key", pa.string()), ("kind", pa.string()), ("total", pa.list_(pa.float64()))])
+    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+    def rows_of(held: dict) -> pa.RecordBatch:
+        rows = [(*key, n, total.tolist()) for key, (n, total) in held.items()]
+        return arrow_rows(schema, {f: [r[i] for r in rows] for i, f in enumerate(schema.names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for value, language in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    key = language_key(language)
+                for value, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     _, chars, words, n_words = histograms((value or "").encode(), key)
                     for kind, found, enough in (("c", chars, chars.sum() >= rules.char_min), ("w", words, n_words >= rules.word_min)):
                         if enough and len(found) and found.sum():
-                            held[key, kind] = held.get((key, kind), 0) + found / found.sum()
-        rows = list(held.items())
-        yield arrow_rows(schema, {"key": [k for (k, _), _ in rows], "kind": [k for (_, k), _ in rows], "total": [v.tolist() for _, v in rows]})
-
-    parts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(run, "key string, kind string, total array<double>")
-    cells = parts.select("key", "kind", F.posexplode("total").alias("cell", "value"))
-    sums = cells.groupBy("key", "kind", "cell").agg(F.sum("value").alias("value"))
-    out: dict = {}
-    for row in sums.collect():  # languages x kinds x cells, fixed by COMMON_WORDS
-        out.setdefault(row["key"], {}).setdefault(row["kind"], {})[row["cell"]] = row["value"]
-    flat = lambda cells: np.array([round(cells[i], 6) for i in sorted(cells)])  # sums differ in the last bits between runs
-    return {key: (flat(kinds.get("c", {})), flat(kinds.get("w", {}))) for key, kinds in out.items()}
+                            n, total = held.get((key, kind), (0, 0))
+                            held[key, kind] = n + 1, total + found / found.sum()
+                if len(held) > HELD_LANGUAGES:
+                    yield rows_of(held)
+                    held = {}
+        yield rows_of(held)
+
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    parts = rows.mapInArrow(run, "lang string, kind string, n bigint, total array<double>")
+    cells = parts.select("lang", "kind", "n", F.posexplode("total").alias("cell", "value"))
+    # sums differ in the last bits between runs
+    sums = cells.groupBy("lang", "kind", "cell").agg(F.round(F.sum("value"), 6).alias("value"), F.sum("n").alias("n")).where(F.col("n") >= rules.min_documents)
+    kind = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("cell", "value")))), lambda c: c["value"])  # at most some 25 cells
+    return stage(sums.groupBy("lang").agg(kind("c").alias("chars"), kind("w").alias("words")), "language_references")
 
 
 def repeated_words(words: list) -> int:
@@ -179,16 +184,15 @@ MEASURES = T.StructType([
      T.StructField("word_distance", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
 
-def measure(value: str | None, lang: str | None, references: dict, rules: Rules) -> tuple:
-    """The measures of one text, in the order of :data:`MEASURES`."""
+def measure(value: str | None, lang: str | None, reference: tuple | None, rules: Rules) -> tuple:
+    """The measures of one text, in the order of :data:`MEASURES`; ``reference`` holds its language's character and word histograms."""
     data = (value or "").encode()
-    key = language_key(lang)
-    counted, chars, common, n_plain = histograms(data, key)
+    counted, chars, common, n_plain = histograms(data, lang)
     words = data.split()
     n, repeats = len(words), repeated_words(words)
     points = int(counted[_POINTS].sum())
     failed = n < rules.min_words or 100 * repeats > rules.repeat_percent * n
-    ref_chars, ref_words = references.get(key, (np.zeros(0), np.zeros(0)))
+    ref_chars, ref_words = (np.array(r if r is not None else ()) for r in reference or (None, None))
     by_char = js_distance(chars, ref_chars) if points >= rules.char_min and len(ref_chars) else None
     by_word = js_distance(common, ref_words) if n_plain >= rules.word_min and len(ref_words) else None
     both = n_plain >= rules.both_min and (by_char or 0) > rules.both_char and (by_word or 0) > rules.both_word
@@ -204,18 +208,24 @@ def judge(
     only_kept: bool = False,
 ) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with the measures; ``only_kept`` returns kept rows without measures."""
-    references = reference_histograms(docs, rules, text, lang)
+    stored = reference_histograms(docs, rules, text, lang)
+    few = stored.count() <= MOST_LANGUAGES
+    references = {r["lang"]: (np.array(r["chars"]), np.array(r["words"])) for r in stored.collect()} if few else {}
     names = MEASURES.fieldNames()
     columns = [c for c in (docs.columns if keep is None else keep) if only_kept or c not in names]
-    inputs = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)], F.col(text).alias("text"), F.col(lang).alias("lang"))
+    inputs = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)], F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    if not few:
+        inputs = inputs.join(stored, "lang", "left").select(*(f"k{i}" for i in range(len(columns))), "text", "lang", "chars", "words")
     kinds = [docs.schema[c].dataType for c in columns]
     schema = T.StructType([T.StructField(f"k{i}", k) for i, k in enumerate(kinds)] + ([] if only_kept else list(MEASURES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                texts, langs = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "lang"))
-                found = [measure(t, g, references, rules) for t, g in zip(texts, langs)]
+                cell = lambda c: part.column(part.schema.get_field_index(c)).to_pylist()
+                texts, langs = cell("text"), cell("lang")
+                own = [references.get(g) for g in langs] if few else zip(cell("chars"), cell("words"))
+                found = [measure(t, g, r, rules) for t, g, r in zip(texts, langs, own)]
                 held = pa.RecordBatch.from_arrays(part.columns[: len(columns)], schema=pa.schema([part.schema.field(i) for i in range(len(columns))]))
                 if only_kept:
                     yield held.filter(pa.array([f[-1] for f in found], type=pa.bool_()))

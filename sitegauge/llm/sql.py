@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .line_dedup import MIN_LENGTH
 from .mixing import GRID, Mix
-from .quality import COMMON_WORDS, OTHER, Rules
+from .quality import COMMON_WORDS, Rules
 from .substring_dedup import WINDOW
 
 ORACLES: dict[str, str] = {}
@@ -95,10 +95,8 @@ _CLASSES = (
 )
 _COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in _CLASSES)
 _COMMON = ", ".join(f"('{lang}', {i}, '{w}')" for lang, words in COMMON_WORDS.items() for i, w in enumerate(words))
-_LANGS = ", ".join(f"'{lang}'" for lang in COMMON_WORDS)
 QUALITY_CTES = f"""
-base AS (SELECT row_id, doc_id, coalesce(text, '') AS t,
-  CASE WHEN lang IN ({_LANGS}) THEN lang ELSE '{OTHER}' END AS key FROM numbered),
+base AS (SELECT row_id, doc_id, coalesce(text, '') AS t, lang AS key FROM numbered),
 split AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, regexp_extract_all({lowered('t')}, '{PLAIN}') AS plain FROM base),
 wins AS (SELECT row_id, i, array_to_string(w[i:i + 4], ' ') AS win
   FROM (SELECT row_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)),
@@ -115,7 +113,7 @@ wcells AS (SELECT s.row_id, s.key, 'w' AS kind, m.cell, coalesce(k.c, 0)::DOUBLE
 rest AS (SELECT row_id, key, kind, 999 AS cell, any_value(size) - sum(v) AS v, any_value(size) AS size FROM wcells GROUP BY row_id, key, kind),
 cells AS (SELECT * FROM (FROM ccells UNION ALL FROM wcells UNION ALL FROM rest)
   WHERE size >= CASE kind WHEN 'c' THEN {_R.char_min} ELSE {_R.word_min} END AND size > 0),
-ref AS (SELECT key, kind, cell, round(sum(v / size), 6) AS r FROM cells GROUP BY ALL),
+ref AS (SELECT key, kind, cell, round(sum(v / size), 6) AS r FROM cells WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) >= {_R.min_documents}),
 refs AS (SELECT *, r / sum(r) OVER (PARTITION BY key, kind) AS q FROM ref),
 part AS (SELECT row_id, kind, v / size AS p, q, (v / size + q) / 2 AS m FROM cells JOIN refs USING (key, kind, cell)),
 dist AS (SELECT row_id, kind, sqrt(greatest(0, (sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END)

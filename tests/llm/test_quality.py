@@ -21,7 +21,7 @@ def test_counts_match_brute_force():
     r = random.Random(6)
     for _ in range(400):
         text = "".join(r.choice(["a", "b", "é", "日本", "#", "|", "\n", "\n", "\t", " ", " ", "word", "\x0b", " "]) for _ in range(r.randrange(0, 90)))
-        assert Q.measure(text, "en", {}, Q.Rules())[:5] == brute(text)
+        assert Q.measure(text, "en", None, Q.Rules())[:5] == brute(text)
 
 
 def test_windows_of_large_vocabularies():
@@ -61,3 +61,18 @@ def test_odd_rows(spark):
     got = Q.judge(docs).collect()
     assert len(got) == 5 and [r["kept"] for r in got if r["doc_id"] == 2] == [True]
     assert Q.judge(docs.limit(0)).count() == 0
+
+
+def test_every_language_has_its_own_reference(spark, monkeypatch):
+    """Clean texts of two scripts beside each other stay, in any mix; a text in the script of another language goes."""
+    r = random.Random(9)
+    latin = lambda: " ".join(r.choice("casa della sera molto bello andare quando insieme sempre strada".split()) for _ in range(120)) + "."
+    cyrillic = lambda: " ".join(r.choice("дом вечер очень красивый идти когда вместе всегда улица ночь".split()) for _ in range(120)) + "."
+    for most in (Q.MOST_LANGUAGES, 1):
+        monkeypatch.setattr(Q, "MOST_LANGUAGES", most)
+        for n_latin, n_cyrillic in ((25, 25), (45, 12), (12, 45)):
+            rows = [(i, latin(), "it") for i in range(n_latin)] + [(100 + i, cyrillic(), "ru") for i in range(n_cyrillic)]
+            rows += [(200, cyrillic(), "it"), (201, cyrillic(), None), (202, latin(), "one of a kind"), (203, latin(), "ru")]
+            docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 as chars", "2 as n").repartition(3)
+            got = Q.judge(docs, keep=["doc_id", "chars", "n"])
+            assert {x["doc_id"] for x in got.where("NOT kept").collect()} == {200, 203} and got.count() == len(rows)
