@@ -1,7 +1,7 @@
 """Main-text extraction by minimum-cut labelling of text blocks.
 
 A page is cut into text blocks (runs of text between block-level tags). A linear classifier over the block's place in the page,
-its words, links and punctuation gives each block a cost for being content and one for being boilerplate; these are terminal
+its words, links and punctuation, and the whole names of the elements around it (a cost, not a veto), gives each block a cost for being content and one for being boilerplate; these are terminal
 capacities. Neighbours in page order, and neighbours under one parent element, are tied by smoothness capacities. The maximum
 flow from content to boilerplate separates the blocks: what the source still reaches is content.
 
@@ -9,7 +9,8 @@ Text: character references are decoded, white space in a block becomes one space
 
 Scale: pages are independent, so this is one pass over the scan without a shuffle; a task holds a few megabytes of pages.
 
-Defined cases: null and empty pages, and pages without content, give an empty text; unclosed and stray tags are tolerated;
+Defined cases: null and empty pages, and pages without content, give an empty text; unclosed and stray tags are tolerated, and an
+unclosed button or the like ends at the next block; a form that wraps an article, or many words for its controls, is no form;
 script, style and other raw elements, comments and hidden elements never give text; repeated rows give repeated results; an
 empty table gives an empty table; other columns are not read.
 """
@@ -43,18 +44,25 @@ CLOSES = {  # a start tag that ends an open element of these kinds
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "body": {"head"},
 }
 SCOPE = frozenset("article aside blockquote body div footer form header main nav section table ul ol dl menu fieldset".split())
-AWAY = frozenset("nav footer aside form menu dialog search head".split())
+AWAY = frozenset("nav footer aside menu dialog search head".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-AWAY_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])",
-    re.I,
+AWAY_WORD = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|cookies?|consent|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|"
+    r"popup|promo\w*|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widgets?"
 )
-HOME_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story)(?=$|[\s_-])", re.I)
+REPLY_WORD = re.compile(r"comments?|disqus|replies|respond")
+HOME_WORD = re.compile(r"article|articlebody|content|entry|main|post|story")
+STATE_HEADS = frozenset("has no not with without is hide show".split())  # names that tell how a page is set up, not what an element is
+STATE_TAILS = frozenset("open closed free enabled disabled on off active layout wrapper container page template body grid row".split())
+FORM_WORDS = 80  # words for each control (and one more) from which on a form is a wrapper
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 WORD = re.compile(r"\w+")
 SCALE = 1000
+RAW_TAG = {t: re.compile(rf"<(/)?{t}(?=[\s/>])[^<>]*?(/)?(?=>)", re.I) for t in RAW}
+NESTING = frozenset("svg math template object".split())
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+CONTROLS = frozenset("input select textarea button".split())
 
 
 @dataclass(frozen=True)
@@ -63,6 +71,7 @@ class Costs:
 
     home: float = 5.0
     away: float = -9.0
+    away_name: float = -5.0
     per_word: float = 0.06
     most_words: int = 40
     links: float = -4.0
@@ -81,41 +90,100 @@ class Block:
     home: bool
     away: bool
     link_share: float
+    away_name: bool = False
+    forms: tuple[int, ...] = ()
 
 
+@dataclass
 class _Element:
-    __slots__ = ("away", "home", "number", "tag")
+    """An open element with what it and its ancestors say about content."""
+
+    tag: str
+    number: int
+    home: bool = False
+    away: bool = False  # by its kind: never content
+    away_name: bool = False  # by its name: a cost, which a main element inside takes back
+    forms: tuple[int, ...] = ()
+
+
+@dataclass
+class _Form:
+    words: int = 0
+    controls: int = 0
+    holds_home: bool = False
 
-    def __init__(self, tag: str, number: int, home: bool, away: bool):
-        self.tag, self.number, self.home, self.away = tag, number, home, away
+    def is_wrapper(self) -> bool:
+        return self.holds_home or self.words >= FORM_WORDS * (self.controls + 1)
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def _open(tag: str, source: str, number: int, parent: _Element) -> _Element:
-    """The element with what it and its ancestors say about content."""
-    home, away = parent.home or tag in ("article", "main"), parent.away or tag in AWAY
+def name_kind(name: str) -> str:
+    """What one whole class name or id says: "home", "away", "reply" or nothing."""
+    parts = [p for p in re.split("[-_]+", name.lower()) if p]
+    if not parts or parts[0] in STATE_HEADS or parts[-1] in STATE_TAILS:
+        return ""
+    away = [bool(AWAY_WORD.fullmatch(p)) for p in parts]
+    if any(REPLY_WORD.fullmatch(p) for p in parts):
+        return "reply"
+    if any(HOME_WORD.fullmatch(p) for p in parts):
+        return "home" if not any(away) else "away" if away[-1] and parts[-1] != "header" else ""
+    return "away" if away[0] or away[-1] else ""
+
+
+def _open(tag: str, source: str, number: int, parent: _Element, forms: list[_Form]) -> _Element:
+    """The element below ``parent``."""
+    out = _Element(tag, number, parent.home or tag in ("article", "main"), parent.away or tag in AWAY, parent.away_name, parent.forms)
     if tag == "header" and not parent.home:
-        away = True
+        out.away = True
+    if tag == "form":
+        forms.append(_Form())
+        out.forms = (*parent.forms, len(forms) - 1)
+    is_main = tag == "main"
     if source and tag not in ("html", "body"):
         given = _attributes(source)
-        names = f"{given.get('class', '')} {given.get('id', '')}"
+        kinds = {name_kind(n) for n in f"{given.get('class', '')} {given.get('id', '')}".split()}
         roles = set(given.get("role", "").lower().split())
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        if hidden or roles & AWAY_ROLES or AWAY_NAME.search(names):
-            away = True
-        elif "main" in roles or given.get("itemprop") == "articleBody" or HOME_NAME.search(names):
-            home = True
-    return _Element(tag, number, home, away)
+        is_main = is_main or "main" in roles or given.get("itemprop") == "articleBody"
+        if hidden or roles & AWAY_ROLES or "reply" in kinds:
+            out.away = True
+        elif is_main or kinds >= {"home"} and "away" not in kinds:
+            out.home = True
+        elif "away" in kinds and "home" not in kinds and tag not in ("article", "main"):
+            out.away_name = True
+    if is_main:
+        out.away_name = False
+    if is_main or tag == "article":
+        for f in out.forms:
+            forms[f].holds_home = True
+    return out
+
+
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where the content of a raw element ends. One that isn't closed before its like opens again ends at the next block-level tag."""
+    close = RAW[tag].search(html, at)
+    if tag in ("script", "style"):
+        return len(html) if close is None else (html.find(">", close.end()) + 1 or len(html))
+    open_ = 1
+    for m in RAW_TAG[tag].finditer(html, at):
+        open_ += -1 if m[1] else 0 if m[2] else 1
+        if not open_:
+            return html.find(">", m.end()) + 1 or len(html)
+        if open_ > 1 and tag not in NESTING:
+            break
+    block = BLOCK_TAG.search(html, at)
+    return len(html) if block is None else block.start()
 
 
 def blocks_of(html: str | None) -> list[Block]:
     """Text blocks of a page in page order."""
     html = html or ""
     out: list[Block] = []
-    stack = [_Element("", 0, False, False)]
+    forms: list[_Form] = []
+    stack = [_Element("", 0)]
     pieces: list[str] = []
     number = linked = total = in_link = at = 0
 
@@ -126,7 +194,9 @@ def blocks_of(html: str | None) -> list[Block]:
             if text:
                 top = stack[-1]
                 parent = stack[-2] if len(stack) > 1 and top.tag not in SCOPE else top
-                out.append(Block(text, parent.number, top.tag, top.home, top.away, linked / total if total else 0.0))
+                out.append(Block(text, parent.number, top.tag, top.home, top.away, linked / total if total else 0.0, top.away_name, top.forms))
+                for f in top.forms:
+                    forms[f].words += len(text.split())
             pieces.clear()
         linked = total = 0
 
@@ -170,12 +240,14 @@ def blocks_of(html: str | None) -> list[Block]:
             source = html[name.end() : gt]
         at = gt + 1
         tag = name[0].lower()
+        if tag in CONTROLS and not closing and 'type="hidden"' not in source:
+            for f in stack[-1].forms:
+                forms[f].controls += 1
         if tag in RAW:
             if tag in ("iframe", "object", "video", "audio", "canvas"):
                 flush()
             if not closing and not source.endswith("/"):
-                close = RAW[tag].search(html, at)
-                at = end if close is None else (html.find(">", close.end()) + 1 or end)
+                at = _raw_end(html, tag, at)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -203,8 +275,10 @@ def blocks_of(html: str | None) -> list[Block]:
             elif stack[i].tag in SCOPE:
                 break
         number += 1
-        stack.append(_open(tag, source, number, stack[-1]))
+        stack.append(_open(tag, source, number, stack[-1], forms))
     flush()
+    for block in out:
+        block.away = block.away or not all(forms[f].is_wrapper() for f in block.forms)
     return out
 
 
@@ -214,7 +288,7 @@ def content_scores(blocks: list[Block], costs: Costs = Costs()) -> list[float]:
     for b in blocks:
         words = len(WORD.findall(b.text))
         out.append(
-            costs.bias + (costs.away if b.away else costs.home if b.home else 0.0) + costs.per_word * min(words, costs.most_words)
+            costs.bias + (costs.away if b.away else costs.home * b.home + costs.away_name * b.away_name) + costs.per_word * min(words, costs.most_words)
             + costs.links * b.link_share + (costs.sentence if b.text[-1] in ".!?…\"'»”" else 0.0)
             + (costs.heading if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0)
         )

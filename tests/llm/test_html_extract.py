@@ -61,3 +61,43 @@ def test_articles_of_the_given_pages(spark):
         article = re.search(r"<article>(.*?)</article>", row["html"], re.S)[1]
         parts = [" ".join(unescape(re.sub(r"</?b>|<br>", " ", p)).split()) for p in re.split(r"</?(?:h1|p)>", article)]
         assert got[row["page_id"]] == "\n\n".join(p for p in parts if p)
+
+
+ARTICLE = "<h1>The title of it</h1>" + "<p>This is a paragraph of some length, which tells a story in whole sentences.</p>" * 3
+WANT = "The title of it" + "\n\nThis is a paragraph of some length, which tells a story in whole sentences." * 3
+
+
+def test_names_of_wrappers_do_not_drop_the_article():
+    names = ("has-sidebar", "no-sidebar", "content share", "single-post comments-open", "page-widget-free", "sidebar-layout", "with-menu", "is-modal", "")
+    for name in names:
+        for inner in ("<article>%s</article>", "<main>%s</main>"):
+            html = f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{inner % ARTICLE}</div><footer>Imprint of us</footer>"
+            assert X.main_text(html) == WANT, (name, inner)
+    for name in ("sidebar", "widget", "header", "promo"):
+        assert X.main_text(f"<div class='{name}'><main>{ARTICLE}</main></div>") == WANT, name
+    head = ARTICLE.replace("<h1>", "<div class='entry-header'><h1>").replace("</h1>", "</h1></div>")
+    assert X.main_text(f"<article>{head}</article>") == WANT
+
+
+def test_boilerplate_by_name_still_goes():
+    for name in ("sidebar", "site-footer", "cookie-notice", "widget-area", "main-navigation", "post-share", "comments-area", "comment-list", "ad", "ad-slot", "newsletter"):
+        for order in (0, 1):
+            parts = [f"<article>{ARTICLE}</article>", f"<div id='{name}'><p>Some words that stand beside the text, one sentence long.</p></div>"]
+            assert X.main_text("".join(parts[::-1] if order else parts)) == WANT, name
+    assert X.main_text(f"<article>{ARTICLE}<div class='post-comments'><article class='comment post'><p>I liked the story very much, thanks a lot.</p></article></div></article>") == WANT
+
+
+def test_forms():
+    assert X.main_text(f"<form action=x><input type=\"hidden\" name=v><nav><a href=/>Home</a></nav><article>{ARTICLE}</article></form>") == WANT
+    long = "<p>" + "Many words of a page that has no article at all, all of it in a form. " * 8 + "</p>"
+    assert X.main_text(f"<form><div>{long}{long}</div><input name=q></form>") != ""
+    assert X.main_text(f"<article>{ARTICLE}<form><p>Your name, please, and your address.</p><input name=a><input name=b></form></article>") == WANT
+
+
+def test_unclosed_elements_end_at_the_next_block():
+    for tag in ("button", "select", "noscript", "object", "textarea", "canvas", "svg", "video", "iframe"):
+        assert X.main_text(f"<div><{tag}>Menu</div><article>{ARTICLE}</article>") == WANT, tag
+        assert X.main_text(f"<div><{tag}>Menu</div><article>{ARTICLE}</article><p><{tag}>x</{tag}></p>") == WANT, tag
+        assert X.main_text(f"<article>{ARTICLE}<{tag}>Menu</{tag}></article>") == WANT, tag
+    assert X.main_text(f"<article><svg><g><svg></svg></g><text>no</text></svg>{ARTICLE}</article>") == WANT
+    assert X.main_text(f"<article>{ARTICLE}</article><script>var a = 1; <p>no</p>") == WANT
