@@ -6,9 +6,10 @@ longest run of words, ending there, that occurs in an item. Runs of at least ``w
 shorter than a window, are hits. Words of hits are removed; a document whose hits cover more than ``max_coverage`` of its
 words is dropped.
 
-Scale: one pass over the texts, no shuffle, no exchange of texts. The benchmark is a test set: it is taken in blocks of at most
-``BLOCK_WORDS`` words, one automaton each, so that what is broadcast and held by a task is bounded; with more than one
-block the texts pass the blocks one after another and the hits are merged within the row. Only runs in which every pair of
+Scale: one pass over the texts, no shuffle, no exchange of texts. The benchmark is a test set: it is taken in blocks of about
+``BLOCK_WORDS`` words, one automaton each, and long items are cut into pieces that overlap by a window less one word. A task
+holds one automaton at a time: with more than one block it takes ``HELD_BYTES`` of texts, passes them through the blocks one after
+another and merges the hits within the row. Only runs in which every pair of
 words occurs in the block are fed to the automaton; others cannot hold a match of two words.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, text_slices
 
 BLOCK_WORDS = 500_000  # words of benchmark text in one automaton (about 250 MB of Python objects at most)
+HELD_BYTES = 64 << 20  # texts that meet all blocks together where there are several
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _PLAIN = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -180,14 +182,42 @@ class Automaton:
         return spans, found
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
+def item_pieces(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> DataFrame:
+    """(item, text) with items of more than ``block_words`` words cut into overlapping pieces, in which every window stands whole."""
+    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("w"))
+    most = max(block_words, 2 * window)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(most - window + 1))
+    return rows.select("item", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, F.lit(most)), " "))).alias("text"))
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
     """The benchmark cut by hash into blocks of about ``block_words`` words."""
-    total = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
+    rows = item_pieces(benchmark, item_id, text, window, block_words)
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // (2 * block_words)))  # a word and its gap take two characters at least
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
+def block_automaton(rows: list[tuple[str, str]], window: int) -> Automaton:
+    return Automaton([(item, words_of(body)) for item, body in rows], window)
+
+
+def hits_of(parts: list[list[str | None]], blocks: list[list[tuple[str, str]]], window: int, only: Automaton | None) -> list[tuple[list, list]]:
+    """Merged hit ranges and item ids for lists of texts; the automaton of one block goes before the next is built."""
+    out = [([[] for _ in texts], [set() for _ in texts]) for texts in parts]
+    for rows in blocks:
+        automaton = only or block_automaton(rows, window)
+        for texts, (spans, items) in zip(parts, out):
+            for i, body in enumerate(texts):
+                new_spans, new_items = automaton.hits(words_of(body))
+                if new_spans:
+                    spans[i] = merged(spans[i] + new_spans)
+                    items[i] |= new_items
+        del automaton
+    return [(spans, [sorted(x) for x in items]) for spans, items in out]
+
+
 Finish = Callable[[dict, list, list, list], pa.RecordBatch]
 
 
@@ -195,36 +225,33 @@ def scan(
     docs: DataFrame, keep: list[str], benchmark: DataFrame, limits: Limits, finish: Finish, schema: T.StructType, text: str,
     item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One pass per block of items. The last one hands columns ``k0``, ``k1``, ... of ``keep``, texts, merged hit ranges and item ids to ``finish``."""
-    out = bounded_batches(docs).select(
-        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"),
-        F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    between, window = out.schema, limits.window
-    blocks = item_blocks(benchmark, item_id, item_text, block_words)
-    for number, block in enumerate(blocks, 1):
-        rows = [(r["item"] if r["item"] is not None else "", r["text"]) for r in block.collect()]  # at most block_words words
-        packed, last = docs.sparkSession.sparkContext.broadcast(rows), number == len(blocks)
-
-        def run(batches: Iterator[pa.RecordBatch], packed=packed, last=last) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton([(item, words_of(body)) for item, body in packed.value], window)
-            for batch in batches:
-                for part in text_slices(batch, "text"):
-                    cells = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-                    texts, spans, items = (cells[n].to_pylist() for n in ("text", "spans", "items"))
-                    for i, body in enumerate(texts):
-                        new_spans, new_items = automaton.hits(words_of(body))
-                        ranges = merged([(s["start"], s["end"]) for s in spans[i]] + new_spans)
-                        spans[i], items[i] = ranges, sorted({*items[i], *new_items})
-                    if last:
-                        yield finish(cells, texts, spans, items)
-                        continue
-                    cells["spans"] = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], type=cells["spans"].type)
-                    cells["items"] = pa.array(items, type=cells["items"].type)
-                    yield pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
-
-        out = out.mapInArrow(run, schema if last else between)
-    return out
+    """One pass over the texts. ``finish`` gets columns ``k0``, ``k1``, ... of ``keep``, texts, merged hit ranges and item ids."""
+    rows = bounded_batches(docs).select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))
+    window, packed = limits.window, []
+    for block in item_blocks(benchmark, item_id, item_text, window, block_words):
+        items = [(r["item"] if r["item"] is not None else "", r["text"]) for r in block.collect()]  # about block_words words
+        packed.append(docs.sparkSession.sparkContext.broadcast(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = block_automaton(packed[0].value, window) if len(packed) == 1 else None
+
+        def finished(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = [{n: part.column(i) for i, n in enumerate(part.schema.names)} for part in held]
+            texts = [c["text"].to_pylist() for c in cells]
+            for c, t, (spans, items) in zip(cells, texts, hits_of(texts, [p.value for p in packed], window, only)):
+                yield finish(c, t, spans, items)
+
+        held, size = [], 0
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                held.append(part)
+                size += part.nbytes
+                if only or size >= HELD_BYTES:
+                    yield from finished(held)
+                    held, size = [], 0
+        yield from finished(held)
+
+    return rows.mapInArrow(run, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

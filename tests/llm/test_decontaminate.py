@@ -55,7 +55,7 @@ def test_report_in_blocks_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     coded = [(str(i), D.words_of(t)) for i, t in items]
     for block_words in (D.BLOCK_WORDS, 60):
-        assert (len(D.item_blocks(bench, "item_id", "text", block_words)) > 1) == (block_words == 60)
+        assert (len(D.item_blocks(bench, "item_id", "text", 10, block_words)) > 1) == (block_words == 60)
         got = {r["doc_id"]: r for r in D.report(table, bench, block_words=block_words).collect()}
         for i, text in docs:
             hit, found = brute(D.words_of(text), coded, 10)
@@ -85,3 +85,33 @@ def test_odd_rows(spark):
     assert D.decontaminate(docs, bench).count() == 3
     assert D.decontaminate(docs, bench.limit(0)).count() == 4 and D.report(docs.limit(0), bench).count() == 0
     assert re.fullmatch("[0-9a-f]{64}", got[0]["items_sha256"])
+
+
+def test_one_automaton_at_a_time(monkeypatch):
+    import gc
+    import weakref
+
+    live, most = weakref.WeakSet(), []
+
+    class Counted(D.Automaton):
+        def __init__(self, *args):
+            super().__init__(*args)
+            live.add(self)
+            gc.collect()
+            most.append(len(live))
+
+    monkeypatch.setattr(D, "Automaton", Counted)
+    blocks = [[(str(b), " ".join(f"w{b}x{i}" for i in range(30)))] for b in range(12)]
+    text = "before " + blocks[3][0][1] + " between " + blocks[9][0][1]
+    assert D.hits_of([[text, None], [""]], blocks, 10, None) == [([[(1, 31), (32, 62)], []], [["3", "9"], []]), ([[]], [[]])]
+    assert len(most) == 12 and max(most) == 1
+
+
+def test_long_items_are_cut_without_loss(spark):
+    words = [f"w{i}" for i in range(500)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b c"), (3, None)], "item_id int, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i:i + 10])) for i in range(0, 491, 7)] + [(1000, " ".join(words[40:400])), (1001, "x a b c y")], "doc_id bigint, text string")
+    for block_words in (D.BLOCK_WORDS, 60, 20):
+        got = {r["doc_id"]: r for r in D.report(docs, bench, block_words=block_words).collect()}
+        assert all(got[i]["n_hit"] == 10 and got[i]["n_items"] == 1 for i in range(0, 491, 7))
+        assert (got[1000]["n_hit"], got[1001]["n_hit"], got[1001]["n_items"]) == (360, 3, 1)
