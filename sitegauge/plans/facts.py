@@ -21,7 +21,7 @@ from ..functions import urls as U
 from ..operators.links import assign_order, page_facts
 from ..operators.parse import parse_pages
 from ..operators.sitemaps import feed_average_words
-from ..session import stage
+from ..session import stage, stage_by
 from ..sources import captures as C
 
 
@@ -121,6 +121,8 @@ def answer_facts(log: DataFrame) -> DataFrame:
 def build(spark: SparkSession, inputs: dict[str, DataFrame], staged: bool) -> Facts:
     """Parse once, derive facts once. With ``staged`` both are written and read back."""
     keep = (lambda df, name: stage(df, name)) if staged else (lambda df, name: df)
+    # answers are looked up by many roles: bucketed by address they stay where they are
+    keep_by = (lambda df, name: stage_by(df, name, "req_url")) if staged else (lambda df, name: df)
     log = complete_columns(inputs.get("fetch_log", C.empty(spark, C.FETCH_LOG)), C.FETCH_LOG, spark)
     pages = C.page_rows(complete_pages(inputs["pages"]))
     parsed = keep(parse_pages(pages, base="final_url"), "page_features")
@@ -144,8 +146,8 @@ def build(spark: SparkSession, inputs: dict[str, DataFrame], staged: bool) -> Fa
         )
     )
     return Facts(
-        sites=inputs["sites"], pages=parsed, parsed_log=parsed_log, answers=keep(answers, "answers"),
-        manual=manual.select("req_url", "status", "location"), index=keep(index, "index"), log=log,
+        sites=inputs["sites"], pages=parsed, parsed_log=parsed_log, answers=keep_by(answers, "answers"),
+        manual=keep_by(manual.select("req_url", "status", "location"), "manual_answers"), index=keep_by(index, "index"), log=log,
         certs=inputs.get("tls_certs", C.empty(spark, C.TLS_CERTS)),
         vitals=complete_columns(inputs.get("lab_vitals", C.empty(spark, C.LAB_VITALS)), C.LAB_VITALS, spark),
         rendered=inputs.get("rendered_pages"), staged=staged,

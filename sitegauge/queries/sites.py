@@ -13,8 +13,9 @@ from ..operators import links as L
 from ..operators import ranking as R
 from ..operators import scoring as S
 from ..operators import sitemaps as SM
+from ..operators.selection import kth_value, upper_median
 from ..plans.technical import duplicate_rates
-from ..session import small_table, stage
+from ..session import LEAST_BUCKETS, small_table, stage, stage_by
 from .common import HOST_SQL, parsed_pages, site_pages, table
 
 QUERIES: dict = {}
@@ -119,11 +120,11 @@ f AS (SELECT DISTINCT site_id, url FROM links)
 SELECT site_id, CAST(count(*) AS BIGINT) AS n_links, CAST(count(*) FILTER (coalesce(status, 599) >= 400) AS BIGINT) AS broken, coalesce(bool_and(coalesce(status, 599) < 400), true) AS all_live FROM f LEFT JOIN log USING (url) GROUP BY ALL""")
 def broken_links(spark, d):
     """G1: all internal links per site against a fetch log derived from the link targets."""
-    links = stage(L.link_rows(parsed_pages(spark, d)).where("internal").select("site_id", "url").distinct(), "internal_links")
-    log = links.select(F.col("url").alias("req_url")).distinct().where(F.length("req_url") % 5 != 0).withColumn(
-        "status", F.when(F.length("req_url") % 7 == 0, 404).otherwise(200))
+    links = stage_by(L.link_rows(parsed_pages(spark, d)).where("internal").select("site_id", F.col("url").alias("req_url")).distinct(), "internal_links", "req_url", LEAST_BUCKETS)
+    log = stage_by(links.select("req_url").distinct().where(F.length("req_url") % 5 != 0).withColumn(
+        "status", F.when(F.length("req_url") % 7 == 0, 404).otherwise(200)), "fetch_log", "req_url", LEAST_BUCKETS)
     live = F.coalesce("status", F.lit(599)) < 400
-    return L.answer(links.withColumnRenamed("url", "req_url"), log).groupBy("site_id").agg(
+    return L.answer(links, log).groupBy("site_id").agg(
         F.count(F.lit(1)).alias("n_links"), F.count_if(~live).alias("broken"), F.bool_and(live).alias("all_live"))
 
 
@@ -232,3 +233,16 @@ def site_extremes(spark, d):
         F.max("l_quantity").alias("largest"), (F.max("l_quantity") - F.min("l_quantity")).alias("spread"),
         F.bool_and(c("l_discount") < 0.1).alias("every_ok"), F.bool_or(c("l_tax") > 0.07).alias("some_high"),
         F.round(rate(good, F.count(F.lit(1))), 9).alias("rate"), half_up(rate(good, F.count(F.lit(1))) * 100).alias("percent"))
+
+
+_HOT = "CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END"
+
+
+@register("site_medians", f"""SELECT site_id, count(*) AS n, list_sort(list(v))[count(*) // 2 + 1] AS median, list_sort(list(v))[count(*) * 9 // 10 + 1] AS ninth FROM (
+ SELECT {_HOT} AS site_id, CASE WHEN l_linenumber = 7 THEN -l_extendedprice WHEN l_linenumber = 6 THEN l_quantity ELSE l_extendedprice END AS v FROM lineitem) GROUP BY ALL""")
+def site_medians(spark, d):
+    """AG5: upper median and ninth decile per site, one site with a third of all rows."""
+    value = F.expr("CASE WHEN l_linenumber = 7 THEN -l_extendedprice WHEN l_linenumber = 6 THEN l_quantity ELSE l_extendedprice END")
+    rows = table(spark, d, "lineitem").select(F.expr(_HOT).alias("site_id"), value.alias("v"))
+    ninth = kth_value(rows, ["site_id"], "v", lambda n: F.floor(n * 9 / 10), "ninth")
+    return ninth.join(upper_median(rows, ["site_id"], "v"), "site_id")

@@ -55,6 +55,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BUCKET_ROWS = 1 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 8, 8192
+
+
+def stage_by(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once, bucketed and sorted by ``key``: joins and aggregates on the key read it without an exchange.
+
+    The number of buckets, a power of two, follows from the rows; give that of another table to join the two in place.
+    """
+    spark = df.sparkSession
+    plain = stage(df, name)
+    if buckets is None:
+        buckets = LEAST_BUCKETS
+        rows = plain.count()
+        while buckets < MOST_BUCKETS and rows > buckets * BUCKET_ROWS:
+            buckets *= 2
+    table = f"{name}_{uuid.uuid4().hex}"
+    plain.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option(
+        "path", f"{shared_dir(spark)}/sitegauge/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed dimension table as a local relation.
 
