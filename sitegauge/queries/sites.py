@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dom as D
@@ -15,7 +17,8 @@ from ..operators import scoring as S
 from ..operators import sitemaps as SM
 from ..operators.selection import kth_value, upper_median
 from ..plans.technical import duplicate_rates
-from ..session import LEAST_BUCKETS, small_table, stage, stage_by
+from ..session import LEAST_BUCKETS, shared_dir, stage, stage_by
+from ..streaming import health as SH
 from .common import HOST_SQL, parsed_pages, site_pages, table
 
 QUERIES: dict = {}
@@ -58,12 +61,7 @@ def _health_facts(spark, d):
     )
 
 
-# Fixed values: (check id, weight, severity, scope) of the checks behind the site health score.
-_HEALTH = ((16, 8, "MAJOR", "page"), (17, 5, "MAJOR", "page"), (22, 6, "MAJOR", "domain"), (24, 7, "MAJOR", "page"), (25, 4, "MINOR", "page"),
-           (26, 5, "MAJOR", "page"), (96, 4, "MINOR", "page"))
-
-
-@register("site_health", f"""WITH {_FACTS},
+_HEALTH_SQL = f"""WITH {_FACTS},
 dup AS (SELECT site_id, title, count(*) AS n FROM facts GROUP BY ALL), dups AS (SELECT site_id, sum(CASE WHEN n > 1 AND title <> '' THEN n ELSE 0 END) / sum(n) AS dup FROM dup GROUP BY ALL),
 s AS (SELECT site_id, count(*) AS n_pages, count(*) FILTER (title <> '') / count(*) AS t, count(*) FILTER (length(title) BETWEEN 30 AND 60) / count(*) AS tl, count(*) FILTER (n_h1 >= 1) / count(*) AS u, count(*) FILTER (n_h1 = 1) / count(*) AS o,
   count(*) FILTER (n_h1 = 1 AND length(h1) BETWEEN 10 AND 90) / count(*) AS hl, bool_and(n_links >= 3) AS links FROM facts GROUP BY ALL),
@@ -71,29 +69,30 @@ k AS (SELECT site_id, n_pages, t >= 0.95 AS c16, tl >= 0.8 AS c17, dup <= 0.1 AS
 p AS (SELECT *, CAST(floor((c16::INT * 8 + c17::INT * 5 + c24::INT * 7 + c25::INT * 4 + c26::INT * 5 + c96::INT * 4) / 33 * 100 + 0.5) AS INT) AS page_score, c22::INT * 100 AS domain_score FROM k)
 SELECT site_id, CAST(n_pages AS INT) AS n_pages, page_score, domain_score, CAST(floor(page_score * 0.7::DOUBLE + domain_score * 0.3::DOUBLE + 0.5) AS INT) AS score,
  CASE WHEN floor(page_score * 0.7::DOUBLE + domain_score * 0.3::DOUBLE + 0.5) >= 85 THEN 'A' WHEN floor(page_score * 0.7::DOUBLE + domain_score * 0.3::DOUBLE + 0.5) >= 70 THEN 'B' WHEN floor(page_score * 0.7::DOUBLE + domain_score * 0.3::DOUBLE + 0.5) >= 55 THEN 'C'
-   WHEN floor(page_score * 0.7::DOUBLE + domain_score * 0.3::DOUBLE + 0.5) >= 40 THEN 'D' ELSE 'F' END AS grade FROM p""")
+   WHEN floor(page_score * 0.7::DOUBLE + domain_score * 0.3::DOUBLE + 0.5) >= 40 THEN 'D' ELSE 'F' END AS grade FROM p"""
+
+
+@register("site_health", _HEALTH_SQL)
 def site_health(spark, d):
     """Flagship: scan, parse, aggregate, join, long check rows, score and grade per host."""
-    from ..plans.rules import Verdict, check_rows
-
-    c = F.col
     facts = stage(_health_facts(spark, d), "health_facts")  # parsed once, read by two aggregates
-    share = lambda condition: F.count_if(condition) / F.count(F.lit(1))
-    sites = facts.groupBy("site_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n_pages"), share(c("title") != "").alias("titled"),
-        share(T.utf16_length(c("title")).between(30, 60)).alias("title_length"), share(c("n_h1") >= 1).alias("usable"),
-        share(c("n_h1") == 1).alias("single"), share((c("n_h1") == 1) & c("h1_length").between(10, 90)).alias("h1_length"),
-        share("hierarchy_ok").alias("hierarchy"), F.bool_and(c("n_links") >= 3).alias("linked"),
-    ).join(duplicate_rates(facts), "site_id")
-    verdicts = {
-        16: c("titled") >= 0.95, 17: c("title_length") >= 0.8, 22: c("duplicate_titles") <= 0.1,
-        24: (c("usable") >= 0.7) | (c("single") >= 0.6), 25: c("h1_length") >= 0.6, 26: c("hierarchy") >= 0.6, 96: c("linked"),
-    }
-    rows = check_rows(sites, ["site_id", "n_pages"], S.TECHNICAL, [([i], Verdict(v)) for i, v in verdicts.items()])
-    defs = small_table(spark, [(i, float(w), s, sc) for i, w, s, sc in _HEALTH], "check_id int, weight double, severity string, scope string")
-    checks = rows.join(F.broadcast(defs), "check_id")
-    pages = facts.groupBy("site_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
-    return S.technical_scores(checks).join(pages, "site_id").select("site_id", "n_pages", "page_score", "domain_score", "score", "grade")
+    totals = facts.groupBy("site_id").agg(*(F.count_if(mark).alias(name) for name, mark in SH.marks().items()))
+    titles = facts.where("title != ''").groupBy("site_id", "title").agg(F.count("*").alias("n")).where("n > 1")
+    return SH.scores(totals, titles.groupBy("site_id").agg(F.sum("n").alias("repeated")))
+
+
+@register("stream_site_health", _HEALTH_SQL)
+def stream_site_health(spark, d):
+    """2.13: the same health from batches that repeat pages, replace earlier captures and bring old ones late."""
+    facts = stage(_health_facts(spark, d).withColumn("captured_at", F.timestamp_seconds(F.lit(1000))), "health_facts")
+    old = facts.withColumns({"captured_at": F.timestamp_seconds(F.lit(10)), "title": F.lit("old title"), "n_links": F.lit(0), "n_h1": F.lit(0)})
+    part = F.pmod("page_id", F.lit(3))
+    out = f"{shared_dir(spark)}/sitegauge/health-{uuid.uuid4().hex}"
+    batches = (old.where(part != 0), facts.where(part == 1).union(facts.where(part == 1)), facts.where(part != 2).union(old.where(part == 1)), facts.where(part == 2).union(old))
+    for epoch, batch in enumerate(batches):
+        SH.update(batch, epoch, out)
+        SH.update(batch, epoch, out)  # a replayed batch
+    return SH.current(spark, out)
 
 
 @register("duplicate_titles", f"""WITH {_FACTS}, g AS (SELECT site_id, title, count(*) AS n FROM facts GROUP BY ALL)
