@@ -18,6 +18,7 @@ from ..operators import sitemaps as SM
 from ..operators.selection import kth_value, upper_median
 from ..plans.technical import duplicate_rates
 from ..session import LEAST_BUCKETS, shared_dir, stage, stage_by
+from ..sources import archives
 from ..streaming import health as SH
 from .common import HOST_SQL, parsed_pages, site_pages, table
 
@@ -245,3 +246,16 @@ def site_medians(spark, d):
     rows = table(spark, d, "lineitem").select(F.expr(_HOT).alias("site_id"), value.alias("v"))
     ninth = kth_value(rows, ["site_id"], "v", lambda n: F.floor(n * 9 / 10), "ninth")
     return ninth.join(upper_median(rows, ["site_id"], "v"), "site_id")
+
+
+@register("capture_formats", "SELECT f.fmt, page_id, url, md5(html) AS html_md5, length(html) AS n_chars FROM pages CROSS JOIN (VALUES ('parquet'), ('json'), ('warc')) f(fmt)")
+def capture_formats(spark, d):
+    """A1: all pages written and read back as Parquet, JSON lines and WARC archives."""
+    pages = table(spark, d, "pages")
+    out = f"{shared_dir(spark)}/sitegauge/captures-{uuid.uuid4().hex}"
+    read = []
+    for fmt in archives.FORMATS:
+        archives.write_pages(pages, f"{out}/{fmt}", fmt)
+        read.append(archives.read_pages(spark, f"{out}/{fmt}", fmt).select(
+            F.lit(fmt).alias("fmt"), "page_id", "url", F.md5(F.encode("html", "UTF-8")).alias("html_md5"), F.length("html").cast("bigint").alias("n_chars")))
+    return read[0].union(read[1]).union(read[2])

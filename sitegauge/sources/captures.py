@@ -43,16 +43,6 @@ WELL_KNOWN = (
 )
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """A1: Parquet, ORC, JSON or CSV captures; give ``schema`` for text formats to avoid inference."""
-    reader = spark.read.format(fmt)
-    if schema:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
-    return reader.load(path)
-
-
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return small_table(spark, [], schema)
 
