@@ -255,7 +255,7 @@ def capture_formats(spark, d):
     out = f"{shared_dir(spark)}/sitegauge/captures-{uuid.uuid4().hex}"
     read = []
     for fmt in archives.FORMATS:
-        archives.write_pages(pages, f"{out}/{fmt}", fmt)
+        archives.write_pages(pages, f"{out}/{fmt}", fmt, compressed=fmt == "json")
         read.append(archives.read_pages(spark, f"{out}/{fmt}", fmt).select(
             F.lit(fmt).alias("fmt"), "page_id", "url", F.md5(F.encode("html", "UTF-8")).alias("html_md5"), F.length("html").cast("bigint").alias("n_chars")))
     return read[0].union(read[1]).union(read[2])

@@ -37,12 +37,12 @@ def warc_record(page_id: Column, url: Column, html: Column, fetched_at: Column)
 
 
 def write_pages(pages: DataFrame, path: str, fmt: str, compressed: bool = False) -> None:
-    """Write page_id, url and html (and fetched_at, where there is one) as ``fmt``."""
+    """Write page_id, url and html (and fetched_at, where there is one) as ``fmt``; ``compressed`` text files are read whole, others in ranges."""
     if fmt not in FORMATS:
         raise ValueError(f"one of {', '.join(FORMATS)}, not {fmt}")
     if fmt != "warc":
-        rows = pages.select("page_id", "url", "html")
-        rows.write.mode("errorifexists").option("ignoreNullFields", "false").format(fmt).save(path)
+        out = pages.select("page_id", "url", "html").write.mode("errorifexists").option("ignoreNullFields", "false").format(fmt)
+        (out.option("compression", "gzip") if compressed and fmt == "json" else out).save(path)
         return
     at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
     records = pages.select(warc_record(F.col("page_id"), F.col("url"), F.col("html"), at).alias("value"))

@@ -15,7 +15,7 @@ ROWS = [
 KEY = lambda df: sorted((repr((r["page_id"], r["url"], r["html"])) for r in df.collect()))
 
 
-@pytest.mark.parametrize("fmt, compressed", [("parquet", False), ("json", False), ("warc", False), ("warc", True)])
+@pytest.mark.parametrize("fmt, compressed", [("parquet", False), ("json", False), ("json", True), ("warc", False), ("warc", True)])
 def test_round_trip(spark, tmp_path, fmt, compressed):
     pages = frame(spark, ROWS, A.PAGES).selectExpr("*", "1 as head", "'x' as value").repartition(2)
     A.write_pages(pages, f"{tmp_path}/p", fmt, compressed)
