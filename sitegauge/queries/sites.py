@@ -259,3 +259,10 @@ def capture_formats(spark, d):
         read.append(archives.read_pages(spark, f"{out}/{fmt}", fmt).select(
             F.lit(fmt).alias("fmt"), "page_id", "url", F.md5(F.encode("html", "UTF-8")).alias("html_md5"), F.length("html").cast("bigint").alias("n_chars")))
     return read[0].union(read[1]).union(read[2])
+
+
+@register("source_medians", "SELECT source, count(*) AS n, list_sort(list(CAST(length(text) AS DOUBLE)))[count(*) // 2 + 1] AS median FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def source_medians(spark, d):
+    """AG5 over texts: upper median of the lengths per source; one source holds a third of the rows."""
+    rows = table(spark, d, "documents").select("source", F.length("text").alias("n_points"))
+    return kth_value(rows, ["source"], "n_points", lambda n: F.floor(n / 2), "median")
