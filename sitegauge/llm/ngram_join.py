@@ -395,6 +395,11 @@ def links_of(kept: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, mark (hash of the text), n_shingles, component_id."""
+    return grouped(docs, ngram, percent, doc_id, text).drop("root")
+
+
+def grouped(docs: DataFrame, ngram: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """:func:`groups` with ``root``, which names the group also where no row of it has an id; null for texts without words."""
     rows = bounded_batches(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("mark", text_mark(F.col("text")))
     sets = stage(document_sets(rows, ngram, percent), "ngram_sets")
     maps = sets.where("bits is not null").groupBy("sid").agg(F.first("low").alias("low"), F.first("bits").alias("bits"))
@@ -405,18 +410,33 @@ def groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, doc_id:
     firsts = sets.where("sid is not null").groupBy("sid").agg(F.min(document_rank(F.col("doc_id"))).alias("first"))
     firsts = firsts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(firsts.join(least, "root").select("sid", "component_id"), "ngram_named")
-    empty = sets.where("sid is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"))
+    named = stage(firsts.join(least, "root").select("sid", "root", "component_id"), "ngram_named")
+    empty = sets.where("sid is null").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("root"))
     full = sets.where("sid is not null").select("sid", "doc_id", "mark", "n").join(named, "sid")
-    full = full.select("doc_id", "mark", "n", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
-    return full.unionByName(empty).select("doc_id", "mark", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+    full = full.select("doc_id", "mark", "n", F.nullif("component_id", F.lit(LAST)).alias("component_id"), "root")
+    return full.unionByName(empty).select("doc_id", "mark", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose group holds one of smaller id."""
-    found = groups(docs, ngram, percent, doc_id, text)
-    later = found.where("component_id is not null and (doc_id is null or doc_id != component_id)")
-    later = stage(later.select(document_rank(F.col("doc_id")).alias("__rank"), F.col("mark").alias("__mark")).distinct(), "ngram_later")
+    """One row of ``docs`` per group: that of the smallest id (null last), then of the smallest text hash, then the one with the largest hash of
+    all columns. Texts without words are in no group and all stay."""
+    keys = [document_rank(F.col("doc_id")).alias("__rank"), F.col("mark").alias("__mark")]
+    found = stage(grouped(docs, ngram, percent, doc_id, text).where("root is not null").select("doc_id", "mark", "component_id", "root"), "ngram_found")
+    # rows that share the group's smallest id are as a rule one
+    ahead = found.where("doc_id <=> component_id").select(*keys, "root")
+    firsts = ahead.groupBy("root").agg(F.min("__mark").alias("first"))
+    later = found.where("not doc_id <=> component_id").select(*keys).union(ahead.join(firsts, "root").where("__mark != first").select("__rank", "__mark"))
+    later = stage(later.distinct(), "ngram_later")
     marked = docs.withColumns({"__rank": document_rank(F.col(doc_id).cast("bigint")), "__mark": text_mark(F.col(text))})
     later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later  # texts stay where they are if the ids are few
-    return marked.join(later, ["__rank", "__mark"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.join(later, ["__rank", "__mark"], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    twins = stage(ahead.groupBy("__rank", "__mark").count().where("count > 1").drop("count"), "ngram_twins")
+    n_twins = twins.count()
+    if not n_twins:
+        return kept.select(*columns)
+    twins = F.broadcast(twins) if n_twins <= BROADCAST_ROWS else twins
+    rest = kept.join(twins, ["__rank", "__mark"], "left_anti").select(*columns)
+    whole = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    one = kept.join(twins, ["__rank", "__mark"], "left_semi").groupBy("__rank", "__mark").agg(F.max_by(whole, F.xxhash64(F.to_json(whole))).alias("one"))
+    return rest.union(one.select(*[F.col("one")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)]))

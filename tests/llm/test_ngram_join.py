@@ -133,3 +133,16 @@ def test_odd_rows(spark):
     long = " ".join(str(i) for i in range(60_000))
     docs = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id bigint, text string")
     assert [r["component_id"] for r in J.groups(docs).collect()] == [1, 1]
+
+
+def test_one_row_of_each_group_stays(spark):
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    rows = [(1, same, "x"), (1, same, "y"), (1, near, "z"), (2, same, "x"), (None, same, "x")]  # one group
+    rows += [(None, "alone " + " ".join(f"v{i}" for i in range(40)), "p")] * 3  # no id at all, repeated whole
+    rows += [(None, " ".join(f"u{i}" for i in range(40)), "p"), (None, " ".join(f"u{i}" for i in range(41)), "q"), (None, " ".join(f"u{i}" for i in range(41)), None)]
+    rows += [(9, "", "e"), (9, "", "e"), (None, None, "e"), (None, None, "e")]  # no words: in no group
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, root string").repartition(4)
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:2], r["root"] or "") for r in J.one_of_each(docs).collect())
+    assert [g[:2] for g in got] == [("1", "w0"), ("9", ""), ("9", ""), ("None", ""), ("None", ""), ("None", "al"), ("None", "u0")]
+    again = sorted((str(r["doc_id"]), (r["text"] or "")[:2], r["root"] or "") for r in J.one_of_each(docs.repartition(7)).collect())
+    assert again == got
