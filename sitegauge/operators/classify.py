@@ -1,7 +1,7 @@
 """Business classification against a keyword taxonomy.
 
-Keyword runs are found inside each text and meet the keywords in an equi-join with a small broadcast table;
-there is no page x keyword product. Counts fold per page, signal and keyword before the shuffle.
+All keywords are found in one walk over each text, through one prefix tree, and meet the taxonomy in an equi-join with
+a small broadcast table; there is no page x keyword product. Counts fold per page, signal and keyword before the shuffle.
 """
 
 from __future__ import annotations
@@ -78,46 +78,58 @@ def signal_rows(rows: DataFrame, texts: dict[str, Column], key: str = "page_id")
     return rows.select(key, F.explode(packed).alias("s")).select(key, "s.*").where(F.col("text") != "")
 
 
-def keyword_grams() -> dict[int, list[str]]:
-    """The keywords' word runs by their number of words (fixed, about 380)."""
-    out: dict[int, set[str]] = {}
-    for items in (INDUSTRIES, SUB_INDUSTRIES, BUSINESS_MODELS):
-        for gram in (_gram(k) for _, _, keywords in items for k in keywords):
-            out.setdefault(len(gram.split()), set()).add(gram)
-    return {n: sorted(found) for n, found in sorted(out.items())}
+def all_grams() -> list[str]:
+    """The word runs of all keywords (fixed, about 380)."""
+    return sorted({_gram(k) for items in (INDUSTRIES, SUB_INDUSTRIES, BUSINESS_MODELS) for _, _, ks in items for k in ks if len(k) >= SHORTEST_KEYWORD})
+
+
+def trie_pattern(grams: list[str]) -> str:
+    """The runs as one prefix tree: common beginnings are read once, and the longest run is tried first."""
+    tree: dict = {}
+    for gram in grams:
+        node = tree
+        for sign in gram:
+            node = node.setdefault(sign, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [sign + written(below) for sign, below in sorted(node.items()) if sign]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return body + "?" if "" in node else body
+
+    return written(tree)
+
+
+def prefix_rows(grams: list[str]) -> list[tuple[str, str]]:
+    """The longest run found at a word, and each run that starts with the same words, itself included."""
+    known = set(grams)
+    out = []
+    for gram in grams:
+        words = gram.split()
+        out += [(gram, " ".join(words[:n])) for n in range(1, len(words) + 1) if " ".join(words[:n]) in known]
+    return out
 
 
 def grams(text: Column) -> Column:
-    """The runs of neighbouring words that are keywords, found inside the row: only hits leave it.
+    """The longest keyword run at every word of a text, in one walk through the tree; only hits leave the row.
 
-    Letters beyond ASCII end a word for the keywords, and keep their neighbours apart.
+    The match is a look-ahead, so a run may start inside another one. Signs beyond ASCII end a word for the
+    keywords, and keep their neighbours apart. The text is normalised: one blank between words.
     """
-    plain = F.regexp_replace(text, r"[^a-z0-9_ ]+", " \u0001 ")
-    words = F.filter(F.split(plain, " "), lambda w: w != "")
-
-    def runs(tokens: Column, n: int) -> Column:
-        wanted = keyword_grams()[n]
-        if n == 1:
-            return F.filter(tokens, lambda w: w.isin(wanted))
-        # single elements are read by position: slicing would copy the whole text at every word
-        first, last = ({g.split()[at] for g in wanted} for at in (0, -1))
-        places = F.filter(
-            F.sequence(F.lit(0), F.size(tokens) - n),
-            lambda i: F.get(tokens, i).isin(sorted(first)) & F.get(tokens, i + n - 1).isin(sorted(last)),
-        )
-        found = F.transform(places, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
-        return F.when(F.size(tokens) >= n, F.filter(found, lambda g: g.isin(wanted))).otherwise(F.array().cast("array<string>"))
-
-    return T.let(words, lambda tokens: F.concat(*[runs(tokens, n) for n in keyword_grams()]))
+    pattern = rf"(?<![a-z0-9_])(?=({trie_pattern(all_grams())})(?![a-z0-9_]))"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def keyword_hits(signals: DataFrame, key: str = "page_id") -> DataFrame:
     """C2, first half: occurrences per page, signal and keyword."""
     spark = signals.sparkSession
-    keywords = keyword_table(spark)
-    exploded = signals.select(key, "signal_ord", "signal", "weight", F.explode(grams(F.col("text"))).alias("gram"))
+    runs = small_table(spark, prefix_rows(all_grams()), "longest string, gram string")
+    wanted = runs.join(F.broadcast(keyword_table(spark)), "gram").drop("gram")
+    exploded = signals.select(key, "signal_ord", "signal", "weight", F.explode(grams(F.col("text"))).alias("longest"))
     return (
-        exploded.join(F.broadcast(keywords), "gram")
+        exploded.join(F.broadcast(wanted), "longest")
         .groupBy(key, "kind", "item_ord", "label", "signal_ord", "signal", "weight", "keyword_ord", "keyword", "phrase")
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
     )
@@ -155,19 +167,22 @@ def _ranked(kind: str, items: tuple) -> Column:
         for i, (label, extra, _) in enumerate(items)
     ])
 
-    def scored(item: Column) -> Column:
-        hit = F.get(F.filter(hits, lambda h: h["item_ord"] == item["ord"]), 0)
+    def row(score: Column, item: Column, strong: Column, keywords: Column) -> Column:
         return F.struct(
-            F.coalesce(hit["score"], F.lit(0).cast("decimal(38,8)")).alias("score"), item["ord"].alias("ord"),
-            item["label"].alias("label"), item["parent"].alias("parent"), item["allowed"].alias("allowed"),
-            F.coalesce(hit["strong"], none).alias("strong"), F.coalesce(hit["keywords"], none).alias("keywords"),
+            score.cast("decimal(38,8)").alias("score"), item["ord"].alias("ord"), item["label"].alias("label"),
+            item["parent"].alias("parent"), item["allowed"].alias("allowed"), strong.alias("strong"), keywords.alias("keywords"),
         )
 
-    order = lambda a, b: (
-        F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["ord"] < b["ord"], -1)
-        .when(a["ord"] > b["ord"], 1).otherwise(0)
-    )
-    return F.array_sort(F.transform(fixed, scored), order)
+    # only items with hits are sorted, by score and place; a hit scores above zero, so all others follow in order
+    found = F.sort_array(F.transform(hits, lambda h: F.struct(
+        (-h["score"]).alias("down"), h["item_ord"].alias("ord"), h["score"].alias("score"), h["strong"].alias("strong"),
+        h["keywords"].alias("keywords"),
+    )))
+    ranked = F.transform(found, lambda h: row(h["score"], F.get(fixed, h["ord"]), h["strong"], h["keywords"]))
+    ords = F.transform(hits, lambda h: h["item_ord"])
+    others = T.let(ords, lambda seen: F.transform(
+        F.filter(fixed, lambda item: ~F.array_contains(seen, item["ord"])), lambda item: row(F.lit(0), item, none, none)))
+    return F.concat(ranked, others)
 
 
 def _enough(item: Column, score: int, signals: int = 1) -> Column:
