@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -11,6 +13,8 @@ from ..operators import classify as CL
 from ..operators import ranking as R
 from ..operators import trends
 from ..operators.taxonomy import BUSINESS_MODELS, INDUSTRIES, SUB_INDUSTRIES
+from ..session import shared_dir
+from ..sources import report_store as STORE
 from .common import table
 
 QUERIES: dict = {}
@@ -269,6 +273,18 @@ def latest_reports(spark, d):
     return trends.latest_per_id(rows, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
 
 
+@register("report_store", """SELECT user_id AS id, event_id, event_type, value FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def report_store(spark, d):
+    """Events as versions of a report per user, saved in three parts, the first one again, and read back."""
+    c = F.col
+    path = f"{shared_dir(spark)}/sitegauge/{uuid.uuid4().hex}/store"
+    rows = table(spark, d, "events").select(c("user_id").alias("id"), c("ts").alias("created_at"), "event_id", "event_type", "value")
+    for part in (0, 1, 2, 0):
+        STORE.save_reports(rows.where(c("event_id") % 3 == part), path, version=("created_at", "event_id"))
+    return STORE.read_reports(spark, path).select("id", "event_id", "event_type", "value")
+
+
 @register("first_rows", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= 4")
 def first_rows(spark, d):
     """W1."""

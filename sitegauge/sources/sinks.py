@@ -1,12 +1,10 @@
-"""Report sinks."""
+"""Report sinks (A6, A7); the store is in :mod:`report_store`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.trends import latest_per_id
-
 
 def write_json(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A6."""
@@ -19,18 +17,3 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists", key: str
     ordered.select(key, "c1", "c2", "c3", "c4", "c5").write.mode(mode).option("quoteAll", "true").option(
         "emptyValue", ""
     ).csv(path)
-
-
-def append_reports(reports: DataFrame, path: str) -> None:
-    """An append-only table partitioned by day; saving again replaces on read."""
-    reports.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
-
-
-def read_reports(spark: SparkSession, path: str, report_id: str | None = None, since: str | None = None) -> DataFrame:
-    """The newest version per id; id and day filters reach the scan."""
-    rows = spark.read.parquet(path)
-    if since:
-        rows = rows.where(F.col("day") >= F.lit(since).cast("date"))
-    if report_id is not None:
-        rows = rows.where(F.col("id") == report_id)
-    return latest_per_id(rows.drop("day"), "id", "created_at")

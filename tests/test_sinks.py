@@ -1,8 +1,7 @@
-"""Report sinks and the store: written and read back."""
+"""Report sinks: written and read back."""
 
 import csv
 import json
-from datetime import datetime
 from glob import glob
 
 from sitegauge.sources import sinks
@@ -25,13 +24,3 @@ def test_csv_lines_of_a_site_stay_together(spark, tmp_path):
         for site in set(sites):
             assert [line[1] for line in lines if line[0] == site] == ['c "01"', 'c "02"', 'c "11"', 'c "12"']
     assert sum(len(list(csv.reader(open(p, encoding="utf-8"), escapechar="\\"))) for p in glob(f"{tmp_path}/c/*.csv")) == 12
-
-
-def test_store_returns_the_newest_version(spark, tmp_path):
-    at = lambda day, hour=0: datetime(2024, 1, day, hour)
-    schema = "id string, created_at timestamp, body string"
-    sinks.append_reports(spark.createDataFrame([("a", at(1), "old"), ("b", at(1), "b1")], schema), f"{tmp_path}/s")
-    sinks.append_reports(spark.createDataFrame([("a", at(2, 5), "new")], schema), f"{tmp_path}/s")
-    read = lambda **kw: {r["id"]: r["body"] for r in sinks.read_reports(spark, f"{tmp_path}/s", **kw).collect()}
-    assert read() == {"a": "new", "b": "b1"}
-    assert read(report_id="b") == {"b": "b1"} and read(since="2024-01-02") == {"a": "new"}
