@@ -5,15 +5,17 @@ as the prompt; what follows in each is rendered as its completion, with the span
 texts and their end marks, which are the only places to train on. Turns are rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``.
 
 Where a corpus has plain conversations only, :func:`next_answers` makes pairs: the rejected side is the same conversation with
-its last assistant turn answered by the conversation of the next id.
+its last assistant turn answered by the next conversation that has one, whatever the gap between the ids; the last one takes
+the first one's. Every conversation with an assistant turn makes a pair as soon as there are two.
 
-Scale: turns are gathered to conversations by one exchange (a conversation becomes one training row in any case); a pair is an
-equi-join of two narrow keys. Everything is built-in expressions.
+Scale: turns are gathered to conversations by one exchange (a conversation becomes one training row in any case) and written;
+ids are sorted in ranges, and only one row of each range goes into the window that joins the ranges up. Answers meet narrow id
+pairs, and those the conversations, by one-to-one equi-joins. Everything is built-in expressions.
 
 Defined cases: turns are ordered by number, then role, then text, null numbers last; repeated turns are kept; a null role is
 an empty role, a null text an empty text; marks inside a text are escaped by a backslash; equal conversations have empty
-completions; conversations without an assistant turn, without an id or without a next conversation make no pair in
-:func:`next_answers`; an empty table gives an empty table; other columns are not read.
+completions; conversations without an assistant turn or without an id make no pair in :func:`next_answers`, nor does the only
+one with an assistant turn; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+from .ordered import following, ordered
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 LAST_TURN = (1 << 63) - 1
 
@@ -38,17 +43,24 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
     return listed.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def next_ids(ids: DataFrame) -> DataFrame:
+    """Each distinct ``conv_id`` with the next one as ``rejected_id``, the greatest with the smallest."""
+    n, first = ids.agg(F.count("conv_id"), F.min("conv_id")).first()
+    along = following(ordered(ids, n, "conv_id"), [], "conv_id", "rejected_id")
+    wrapped = F.coalesce("rejected_id", F.lit(first).cast(ids.schema["conv_id"].dataType))
+    return along.select("conv_id", wrapped.alias("rejected_id")).where("rejected_id <> conv_id")
+
+
 def next_answers(convs: DataFrame) -> DataFrame:
     """Pairs (pair_id, chosen_id, rejected_id, chosen, rejected) from single conversations."""
+    held = stage(convs.where(F.col("conv_id").isNotNull() & F.exists("turns", lambda t: t["role"] == "assistant")), "conversations")
     answers = F.filter("turns", lambda t: t["role"] == "assistant")
-    donors = convs.where(F.size(answers) > 0).select(
-        F.col("conv_id").alias("rejected_id"), (F.col("conv_id") - 1).alias("conv_id"), F.element_at(answers, -1)["text"].alias("answer"),
-    )
+    donors = held.select(F.col("conv_id").alias("rejected_id"), F.element_at(answers, -1)["text"].alias("answer"))
+    given = next_ids(held.select("conv_id")).join(donors, "rejected_id")
     place = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
     swapped = F.transform("turns", lambda t, i: F.when(
         i == F.col("place"), F.struct(t["role"].alias("role"), F.col("answer").alias("text"))).otherwise(t))
-    pairs = convs.withColumn("place", place).where("place is not null").join(donors, "conv_id")
-    return pairs.select(
+    return held.withColumn("place", place).join(given, "conv_id").select(
         F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), "rejected_id", F.col("turns").alias("chosen"),
         swapped.alias("rejected"),
     )

@@ -160,8 +160,9 @@ WITH t AS (SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM t),
 last_ AS (SELECT conv_id, max(i) AS place FROM n WHERE role = 'assistant' GROUP BY conv_id),
 answers AS (SELECT n.conv_id, text AS answer FROM n JOIN last_ l ON l.conv_id = n.conv_id AND l.place = n.i),
-sides AS (SELECT n.conv_id, n.i, a.conv_id AS rejected_id, role, text, CASE WHEN n.i = place THEN answer ELSE text END AS other
-  FROM n JOIN last_ USING (conv_id) JOIN answers a ON a.conv_id = n.conv_id + 1),
+nexts AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS rejected_id FROM answers),
+sides AS (SELECT n.conv_id, n.i, rejected_id, role, text, CASE WHEN n.i = place THEN answer ELSE text END AS other
+  FROM n JOIN last_ USING (conv_id) JOIN nexts USING (conv_id) JOIN answers a ON a.conv_id = rejected_id WHERE rejected_id <> n.conv_id),
 marked AS (SELECT *, '<|im_start|>' || replace(role, '<|im_', '<\\|im_') || chr(10) AS head,
   replace(text, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10) AS b1, replace(other, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10) AS b2 FROM sides),
 listed AS (SELECT conv_id, rejected_id, list({{'role': role, 'h': length(head), 'r': head || b1}} ORDER BY i) AS c,

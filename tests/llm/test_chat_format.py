@@ -50,7 +50,7 @@ def test_next_answers_and_odd_rows(spark):
     ]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r["pair_id"]: r for r in C.formatted(C.next_answers(C.conversations(table))).collect()}
-    assert set(got) == {1, 4}
+    assert {i: r["rejected_id"] for i, r in got.items()} == {1: 2, 2: 4, 4: 5, 5: 1}
     one = brute([("user", "q"), ("assistant", "a"), ("user", "q2")], [("user", "q"), ("assistant", "b"), ("user", "q2")])
     assert (got[1]["n_common"], got[1]["prompt"], got[1]["chosen"], got[1]["rejected"]) == one[:4]
     four = brute([("", ""), ("", ""), ("assistant", "late")], [("", ""), ("", ""), ("assistant", "")])
@@ -62,3 +62,19 @@ def test_long_text(spark):
     table = spark.createDataFrame([(1, 0, "assistant", "x" * 3_000_000), (2, 0, "assistant", "y")], "conv_id bigint, turn bigint, role string, text string")
     row = C.formatted(C.next_answers(C.conversations(table))).first()
     assert len(row["chosen"]) > 3_000_000 and row["n_common"] == 0
+    assert C.formatted(C.next_answers(C.conversations(table))).count() == 2
+
+
+def test_gaps_between_ids_lose_no_pair(spark, monkeypatch):
+    """Ids far apart, over many ranges; conversations without an answer between them; one alone makes no pair."""
+    monkeypatch.setattr("sitegauge.llm.ordered.ROWS", 7)
+    r = random.Random(8)
+    ids = sorted(r.sample(range(-10**12, 10**12), 100))
+    answered = [i for n, i in enumerate(ids) if n % 3]
+    rows = [(i, 0, "user", "q") for i in ids] + [(i, 1, "assistant", f"a{i}") for i in answered]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = C.next_answers(C.conversations(table)).collect()
+    assert {g["pair_id"]: g["rejected_id"] for g in got} == dict(zip(answered, answered[1:] + answered[:1]))
+    assert all(g["rejected"][1]["text"] == f"a{g['rejected_id']}" and g["chosen"][1]["text"] == f"a{g['pair_id']}" for g in got)
+    alone = table.where(f"conv_id = {answered[0]}")
+    assert C.next_answers(C.conversations(alone)).count() == 0
