@@ -15,6 +15,8 @@ from ..operators.trends import latest_per_id
 from ..session import stage
 
 SHARDS = 16
+# fitted to the ids of each file, 64 KB at least; without the second setting every filter has a megabyte
+BLOOM = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 NO_DAY = "1970-01-01"
 
 
@@ -58,9 +60,8 @@ def save_reports(reports: DataFrame, path: str, version: tuple[str, ...] = ("cre
         batch = newest(kept.unionByName(batch, allowMissingColumns=True))
     rows = stage(batch.drop("_saved"), "reports")
     order = ("home_day", "home_shard", "id")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#id", "true").partitionBy(
-        "home_day", "home_shard").parquet(path)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").options(
+        **BLOOM, partitionOverwriteMode="dynamic").partitionBy("home_day", "home_shard").parquet(path)
 
 
 def read_reports(spark: SparkSession, path: str, report_id=None, since: str | None = None, merge_schema: bool = False) -> DataFrame:

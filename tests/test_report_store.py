@@ -1,5 +1,6 @@
 """The report store: replaced by id, one version, few files opened or rewritten."""
 
+import os
 from datetime import datetime, timedelta
 from glob import glob
 
@@ -66,6 +67,7 @@ def test_a_save_rewrites_only_its_folders(spark, tmp_path):
 def test_a_get_opens_one_folder_of_a_day(spark, tmp_path):
     path = f"{tmp_path}/s"
     save_reports(frame(spark, [(f"r{i}", at(1 + i % 5), "x" * 50) for i in range(1000)]), path)
+    assert all(os.path.getsize(f) < 80_000 for f in files(path))  # the smallest filter has 64 KB
     n_days = 5
     whole = files_read(read_reports(spark, path))
     assert whole >= n_days * (SHARDS - 1)
