@@ -16,6 +16,7 @@ from ..functions import dom as D
 from ..functions import headers as H
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import large
 from ..sources.captures import one_per_url, one_row
 
 
@@ -31,7 +32,7 @@ def assign_order(pages: DataFrame) -> DataFrame:
     if "is_primary" in ordered.columns:
         return ordered
     home = ordered.groupBy("site_id").agg(F.min("ord").alias("_home"))
-    return ordered.join(home, "site_id").withColumn("is_primary", F.col("ord") == F.col("_home")).drop("_home")
+    return ordered.join(large(home), "site_id").withColumn("is_primary", F.col("ord") == F.col("_home")).drop("_home")
 
 
 def link_rows(pages: DataFrame, base: str = "final_url") -> DataFrame:
@@ -72,7 +73,7 @@ def wanted_rows(sites: DataFrame, roles: Mapping[str, Column], key: str = "site_
 
 def answer(wanted: DataFrame, facts: DataFrame, url: str = "req_url") -> DataFrame:
     """Wanted addresses with what is known about them; unknown ones keep NULLs."""
-    return wanted.join(facts, url, "left")
+    return wanted.join(large(facts), url, "left")
 
 
 def by_role(answered: DataFrame, roles: Sequence[str], columns: Sequence[str], key: str = "site_id") -> DataFrame:
@@ -126,7 +127,7 @@ def canonical_chain(starts: DataFrame, facts: DataFrame, steps: int = 3, key: st
         moved = F.coalesce(F.col("next"), F.lit(""))
         on = (moved != "") & (moved != F.col("at"))
         ended = ended.unionByName(looped.where(F.col("at").isNull()).select(key, "hops", "loop"))
-        state = looped.where(F.col("at").isNotNull()).join(edges, "at", "left").select(
+        state = looped.where(F.col("at").isNotNull()).join(large(edges), "at", "left").select(
             key, F.when(on, F.col("next")).alias("at"),
             (F.col("hops") + F.when(on, 1).otherwise(0)).alias("hops"), "seen", "loop",
         )
@@ -139,7 +140,7 @@ def orphan_pages(pages: DataFrame, links: DataFrame, url: str = "final_url") ->
     """Pages other than the home page that no internal link points to."""
     targets = links.where(F.col("internal")).select("site_id", U.canonicalize(F.col("url")).alias("key")).distinct()
     candidates = pages.where(~F.col("is_primary")).withColumn("key", U.canonicalize(F.col(url)))
-    return candidates.join(targets, ["site_id", "key"], "left_anti").drop("key")
+    return candidates.join(large(targets), ["site_id", "key"], "left_anti").drop("key")
 
 
 def agents_side_by_side(log: DataFrame, agents: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom as D
@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.scoring import EXPERTISE
+from ..session import large, stage
 from ..sources.captures import one_row
 from .rules import CheckDef, Verdict, check_rows
 
@@ -51,14 +52,13 @@ ROLES = {
 }
 
 
-def role_links(pages: DataFrame) -> DataFrame:
+def role_columns() -> list[Column]:
     """First matching same-site link per role, plus the bio link."""
     site = F.col("site_host")
-    return pages.withColumn("site_host", U.bare_host(F.col("url"))).select(
-        "site_id", "page_id", "url", "site_host",
+    return [
         *[D.matching_link(site, pattern)["abs"].alias(role) for role, pattern in ROLES.items()],
         D.bio_link(site)["abs"].alias("bio_home"),
-    )
+    ]
 
 
 def target_facts(parsed: DataFrame, url: str = "url") -> DataFrame:
@@ -93,11 +93,13 @@ _FACTS = (
 
 
 def audit(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets``: :func:`target_facts` of every captured page."""
+    """``targets``: :func:`target_facts` of every captured page.
+
+    Pages are parsed once: what is read of them is written as one narrow row each, and so are the targets.
+    """
     c = F.col
-    links = role_links(pages)
     roles = list(ROLES)
-    found = by_role(answer(wanted_rows(links, {r: c(r) for r in roles}), targets), roles, _FACTS)
+    targets = stage(targets, "expertise_targets")
     host = U.bare_host(c("url"))
     citation = (
         D.n(c("anchors"), lambda a: D.attr_or(a, "href").startswith("http") & a["up"].rlike("/(article|main)/"))
@@ -105,8 +107,8 @@ def audit(pages: DataFrame, targets: DataFrame) -> DataFrame:
         + D.n(c("anchors"), lambda a: D.has(a, "href") & D.inside(a, "sup")
               & ~(D.attr_or(a, "href").startswith("http") & a["up"].rlike("/(article|main)/")))
     )
-    home = pages.select(
-        "site_id", "page_id", "parse_error",
+    found_on = pages.withColumn("site_host", U.bare_host(c("url"))).select(
+        "site_id", "page_id", "parse_error", *role_columns(),
         D.has_byline().alias("home_byline"),
         (D.tag_count("article") > 0).alias("has_article"),
         P.test(c("html"), "blog|article|news|insight").alias("article_words"),
@@ -115,17 +117,21 @@ def audit(pages: DataFrame, targets: DataFrame) -> DataFrame:
         D.any_of(D.outbound_links(host), lambda a: a["host"].rlike(r"\.(edu|gov)$")).alias("edu_gov"),
         citation.alias("n_citations"),
     )
+    found_on = stage(found_on, "expertise_home")
+    links = found_on.select("site_id", *roles, "bio_home")
+    home = found_on.drop(*roles, "bio_home")
+    found = by_role(answer(wanted_rows(links, {r: c(r) for r in roles}), targets), roles, _FACTS)
     # the bio link comes from the article page when that page has one
-    joined = home.join(links.select("site_id", "bio_home", *[c(r).alias(f"{r}_url") for r in roles]), "site_id").join(
-        found, "site_id", "left"
+    joined = home.join(large(links.select("site_id", "bio_home", *[c(r).alias(f"{r}_url") for r in roles])), "site_id").join(
+        large(found), "site_id", "left"
     )
     article_bio = c("article")["bio"]
     joined = joined.withColumn(
         "bio_url", F.coalesce(F.when(article_bio != "", article_bio), c("bio_home"))
     )
     bio = targets.select(F.col("req_url").alias("bio_url"), F.struct(*_FACTS).alias("bio"))
-    known = joined.select("site_id", "bio_url").where(F.coalesce("bio_url", F.lit("")) != "").join(bio, "bio_url").drop("bio_url")
-    wide = joined.join(known, "site_id", "left")
+    known = joined.select("site_id", "bio_url").where(F.coalesce("bio_url", F.lit("")) != "").join(large(bio), "bio_url").drop("bio_url")
+    wide = joined.join(large(known), "site_id", "left")
     value = lambda role, fact, default=0: F.coalesce(c(role)[fact], F.lit(default))
     flag = lambda role, fact="found": F.coalesce(c(role)[fact], F.lit(False))
     is_article = flag("article") | c("has_article") | c("article_words")

@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.ranking import first_k
 from ..operators.scoring import INDEX
+from ..session import large, stage
 from .rules import CheckDef, Verdict, check_rows
 
 # Id, category, name, highest score, severity.
@@ -102,7 +103,7 @@ def audit(
     sample: int | None = SITEMAP_SAMPLE, compat: bool = False, index_status: DataFrame | None = None,
 ) -> DataFrame:
     """``facts``: page facts per address; ``plain`` / ``manual``: answers with and without redirects."""
-    home = features(pages, compat)
+    home = stage(features(pages, compat), "index_features")  # parsed once, read by four branches
     target = facts.select(
         F.col("req_url").alias("canonical"), F.col("status").alias("target_status"),
         F.col("noindex").alias("target_noindex"), F.col("canonical").alias("second_canonical"),
@@ -119,11 +120,11 @@ def audit(
     )
     short = facts.select("req_url", "noindex", "canonical")
     sampled = first_k(sitemap_urls, ["site_id"], [F.col("place")], sample)
-    first_hop = sampled.select("site_id", F.col("url").alias("req_url")).join(short, "req_url", "left")
+    first_hop = sampled.select("site_id", F.col("url").alias("req_url")).join(large(short), "req_url", "left")
     second = facts.select(F.col("req_url").alias("canonical"), F.col("noindex").alias("canonical_noindex"))
     onward = F.coalesce("canonical", F.lit("")) != ""
     blocked = (
-        first_hop.where(onward).join(second, "canonical", "left").select("site_id", "noindex", "canonical_noindex")
+        first_hop.where(onward).join(large(second), "canonical", "left").select("site_id", "noindex", "canonical_noindex")
         .unionByName(first_hop.where(~onward).select("site_id", "noindex", F.lit(None).cast("boolean").alias("canonical_noindex")))
         .groupBy("site_id")
         .agg(
@@ -132,12 +133,12 @@ def audit(
             F.count(F.lit(1)).cast("int").alias("n_sampled"),
         )
     )
-    targets = home.where(F.col("canonical") != "").select("site_id", "page_id", "canonical").join(target, "canonical").drop("canonical")
+    targets = home.where(F.col("canonical") != "").select("site_id", "page_id", "canonical").join(large(target), "canonical").drop("canonical")
     wide = (
-        home.join(targets, ["site_id", "page_id"], "left")
-        .join(redirects, "site_id", "left")
-        .join(probes, "site_id", "left")
-        .join(blocked, "site_id", "left")
+        home.join(large(targets), ["site_id", "page_id"], "left")
+        .join(large(redirects), "site_id", "left")
+        .join(large(probes), "site_id", "left")
+        .join(large(blocked), "site_id", "left")
     )
     if index_status is not None:
         wide = wide.join(index_status.select("site_id", "google_indexed", "bing_indexed", "coverage_errors"), "site_id", "left")

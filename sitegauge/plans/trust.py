@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators.links import answer, by_role, wanted_rows
 from ..operators.scoring import TRUST
+from ..session import large, stage
 from ..sources.captures import one_row
 from .rules import CheckDef, Verdict, check_rows
 from .structured_data import LOCAL_TYPES, ORG_TYPES
@@ -58,14 +59,15 @@ def audit(pages: DataFrame, sites: DataFrame, targets: DataFrame, as_of: Column)
         D.matching_link(host, "contact|get in touch")["abs"].alias("contact_url"),
         D.matching_link(host, "privacy")["abs"].alias("privacy_url"),
     )
+    home = stage(home, "trust_home")  # parsed once, read by two branches
     linked = by_role(
         answer(wanted_rows(home, {"contact": c("contact_url"), "privacy": c("privacy_url")}), targets),
         ["contact", "privacy"], ["text"],
     )
     entity = F.coalesce(J.first(J.of_type(c("recs"), LOCAL_TYPES)), J.first(J.of_type(c("recs"), ORG_TYPES)))
     wide = (
-        home.join(linked, "site_id", "left")
-        .join(sites.select("site_id", "brand_name", "business_email"), "site_id", "left")
+        home.join(large(linked), "site_id", "left")
+        .join(large(sites.select("site_id", "brand_name", "business_email")), "site_id", "left")
         .withColumn("contact", F.coalesce(c("contact")["text"], F.lit("")))
         .withColumn("privacy", F.coalesce(c("privacy")["text"], F.lit("")))
         .withColumn("entity", entity)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.links import page_facts
 from ..operators.parse import parse_pages
 from ..plans import eeat, image, indexability, on_page, structured_data, trust
+from ..session import stage
 from .common import table
 
 QUERIES: dict = {}
@@ -237,7 +238,7 @@ def checks_indexability(spark, d):
         ("k % 7 = 0", '<link rel="canonical" href="https://s§.example/u">', '<link rel="canonical" href="https://s§.example/t">'),
     ], [], _TARGET).where(_KNOWN).withColumn("status", F.expr("CASE WHEN k % 13 = 0 THEN 404 ELSE 200 END"))
     parsed = parse_pages(home.drop("k"))
-    facts = page_facts(parsed.unionByName(parse_pages(target.drop("k"))))
+    facts = stage(page_facts(parsed.unionByName(parse_pages(target.drop("k")))), "page_facts")  # read by three joins
     keys = home.select("k", "url")
     answers = lambda condition, url, status, location: keys.where(condition).select(
         F.expr(url).alias("req_url"), F.lit(status).alias("status"), F.expr(location).alias("location"))
