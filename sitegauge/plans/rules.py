@@ -68,8 +68,9 @@ def check_rows(
     """One row per key and check id.
 
     Each verdict is computed once and published under all its ids; the fan-out happens inside the
-    row, so nothing is shuffled here. Checks of a page that could not be parsed (``parse_error``) are skipped
-    with that reason.
+    row, so nothing is shuffled here. The outcomes are a column of their own before they are exploded: a projection
+    computes an expression that several checks share once, a generator computes it anew at every mention. Checks of a
+    page that could not be parsed (``parse_error``) are skipped with that reason.
     """
     broken = F.col("parse_error").isNotNull() if "parse_error" in wide.columns else None
     skipped = lambda v: _bool(v.skipped) if broken is None else broken | _bool(v.skipped)
@@ -86,7 +87,8 @@ def check_rows(
         for ids, v in verdicts
     ])
     return (
-        wide.select(*keys, F.explode(outcome).alias("o"))
+        wide.select(*keys, outcome.alias("_outcomes"))
+        .select(*keys, F.explode_outer("_outcomes").alias("o"))
         .select(*keys, F.lit(audit).alias("audit"), F.explode("o.ids").alias("check_id"), "o.*")
         .drop("ids")
     )
