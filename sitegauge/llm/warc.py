@@ -5,8 +5,8 @@ with one payload the one with the smallest id stays a ``response``, the others b
 refer to it. Archives are written as gzip files by Spark's own writer, with fresh headers (record id, date, lengths, digest).
 Reading parses the records by their lengths; :func:`resolve` joins revisits back to the payload of their response.
 
-Scale: only (digest, id) rows are shuffled, and pre-aggregated per task, so a payload that a third of all captures share costs
-one row per task. Payloads stay where they were scanned unless there are too many revisits for a broadcast, which Spark
+Scale: payloads are hashed twice, for the staged (digest, id) rows and for the records. Only the former are shuffled, and
+pre-aggregated per task, so a payload that a third of all captures share costs one row per task. Payloads stay where they were scanned unless there are too many revisits for a broadcast, which Spark
 decides by the size of the staged table. Files hold at most ``RECORDS_PER_FILE`` records, which bounds a reader's memory.
 
 Defined cases: a null payload is an empty one; payloads shorter than ``min_bytes`` are all responses; null ids rank last, and
@@ -36,26 +36,24 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(value: Column) -> Column:
-    """Base32 SHA-1: 160 bits are eight groups of 20 bits, each of four letters."""
+    """Base32 SHA-1: 15 hex digits are 12 digits of base 32, which ``conv`` writes as 0-9A-V without leading zeros."""
     hexed = F.sha1(value)
-    letters = []
-    for group in range(8):
-        bits = F.conv(F.substring(hexed, group * 5 + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            at = F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1
-            letters.append(F.substring(F.lit(BASE32), at, F.lit(1)))
-    return F.concat(*letters)
+    digits = [F.lpad(F.conv(F.substring(hexed, start, length), 16, 32), length * 4 // 5, "0") for start, length in ((1, 15), (16, 15), (31, 10))]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def captures(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Id, address, payload text, its size in bytes and its digest."""
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(payload, F.lit("")).alias("payload"))
-    return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": base32_sha1(F.encode("payload", "UTF-8"))})
+    return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
 
 
 def revisits(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(digest, id, id of the response) of all captures but the first of each payload."""
-    headers = rows.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", "page_id")
+    """(digest, id, id of the response) of all captures but the first of each payload.
+
+    The headers are staged: both sides of the join read them, and its filter on the digest would hash payloads once per use of the hash.
+    """
+    headers = stage(rows.where(F.col("payload_bytes") >= min_bytes).select("payload_digest", "page_id"), "warc_headers")
     first = headers.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = headers.join(first, "payload_digest").where("refers_to is not null and (page_id is null or page_id > refers_to)")
     return again.select("payload_digest", "page_id", "refers_to").distinct()

@@ -5,6 +5,8 @@ import gzip
 import hashlib
 from glob import glob
 
+from pyspark.sql import functions as F
+
 from sitegauge.llm import warc as W
 
 SCHEMA = "page_id bigint, url string, html string"
@@ -46,3 +48,16 @@ def test_short_payloads_are_not_revisits(spark, tmp_path):
 
 def test_empty(spark):
     assert W.archive_of(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_base32(spark):
+    texts = ["", "é日😀\x00", *(f"payload {i}" for i in range(3000))]  # some digests with leading zeros in a part
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", W.base32_sha1(F.col("x").cast("binary")).alias("d")).collect()
+    assert all(r["d"] == digest(r["x"]) for r in got) and len(got) == len(texts)
+
+
+def test_joins_and_filters_do_not_hash(spark):
+    rows = W.captures(spark.createDataFrame(ROWS, SCHEMA).repartition(3))
+    for df in (W.revisits(rows), W.deduplicated(rows)):
+        nodes = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "sha1" in x]
+        assert not [x[:60] for x in nodes if "Filter" in x or "Join" in x]
